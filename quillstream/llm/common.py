@@ -32,6 +32,15 @@ def words(col: Column, separator: str = SPACE) -> Column:
     return F.filter(F.split(col, separator), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once.
+
+    The optimizer may inline a column into each place that names it, also into a lambda that runs for each element, and
+    may push a filter on it below its projection; a value bound by a lambda of its own is safe from that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder of our own only where it is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

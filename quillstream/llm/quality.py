@@ -41,7 +41,7 @@ def repeated_words(w: Column) -> Column:
 
     def from_parts(p: Column) -> Column:
         low = F.call_function("shiftleft", F.lit(1).cast("long"), p["bits"]) - F.lit(1).cast("long")
-        sorted_ = F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
+        sorted_ = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
         return F.transform(F.array(sorted_), lambda s: _covered(s, low, same, w, n))[0]
 
     # array(x) then transform binds x once, so that it is not evaluated again at each use
@@ -55,7 +55,7 @@ def _covered(s: Column, low: Column, same: Callable, w: Column, n: Column) -> Co
 
     def found(near: Column) -> Column:
         clash = F.exists(near, lambda k: ~same(pos(F.get(s, k)), pos(F.get(s, k - 1))))
-        starts = F.array_sort(F.array_distinct(F.flatten(F.transform(near, lambda k: F.array(pos(F.get(s, k)), pos(F.get(s, k - 1)))))))
+        starts = F.sort_array(F.array_distinct(F.flatten(F.transform(near, lambda k: F.array(pos(F.get(s, k)), pos(F.get(s, k - 1)))))))
         return F.when(F.size(near) == 0, F.lit(0).cast("long")).when(clash, _exactly(w, n)).otherwise(_span(starts))
 
     return F.transform(F.array(near), found)[0]
