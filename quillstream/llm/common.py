@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return own
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of queries that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the reliable checkpoint folder and reads it from there; lost executors don't lose it."""
     spark = df.sparkSession
