@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import decontaminate, html_extract, licenses, quality, secrets, simhash, substrings
+from quillstream.llm import decontaminate, html_extract, licenses, packing, quality, secrets, simhash, substrings
 from quillstream.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure_quality(table(spark, sf_dir, "documents"))
 
 
+def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -39,6 +43,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lexical_packing": op1_lexical_packing,
     "op2_html_extraction": op2_html_extraction,
     "op3_decontamination": op3_decontamination,
     "op5_secret_scan": op5_secret_scan,
