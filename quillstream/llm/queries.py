@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import decontaminate, html_extract, licenses, packing, quality, secrets, simhash, substrings
+from quillstream.llm import decontaminate, html_extract, licenses, packing, quality, secrets, simhash, substrings, training_order
 from quillstream.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.write_shards(table(spark, sf_dir, "documents"), training_order.output_path(spark))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_license_scan": op6_license_scan,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_training_order": op9_training_order,
     "op10_substring_dedup": op10_substring_dedup,
 }
