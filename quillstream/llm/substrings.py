@@ -15,7 +15,7 @@ meet in a node at a depth if their paths agree to it; an internal node at depth
    lays the leaves of every subtree side by side, finds the internal nodes of depth 13 and their smallest document.
 4. Buckets apply the answers to their own texts. A passage in any number of documents costs a group one suffix a bucket.
 
-Paths agree by chance only if 64 bits agree among windows with the same eight first words, or 128 bits otherwise.
+Paths agree by chance only if 64 bits agree among windows with the same eight first words, or over 100 bits otherwise.
 
 Defined results: null or empty texts have no words; texts under 13 words lose nothing; rows that repeat an id never remove
 each other's words; an empty table gives an empty result.
@@ -122,6 +122,29 @@ def _unpacked(t: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     return ids, texts
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as the byte planes of their differences, whose high planes are mostly zero for the shuffle's compressor."""
+    return np.diff(x.astype(np.uint32), prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _expanded(raw) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def _records(prefix: np.ndarray, h13: np.ndarray, doc: np.ndarray) -> bytes:
+    """Suffixes in ascending order of prefix; documents as byte planes."""
+    planes = doc.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return _squeezed(prefix) + h13.astype("<u8").tobytes() + planes
+
+
+def _read_records(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = raw.size // 20
+    b = np.frombuffer(raw, np.uint8)
+    doc = np.ascontiguousarray(b[12 * n :].reshape(8, n).T).view("<i8").ravel()
+    return _expanded(b[: 4 * n].tobytes()), b[4 * n : 12 * n].copy().view("<u8"), doc
+
+
 def _parts(sorted_slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(np.r_[True, sorted_slots[1:] != sorted_slots[:-1]]) if len(sorted_slots) else np.empty(0, np.int64)
     return starts, np.r_[starts[1:], len(sorted_slots)]
@@ -154,10 +177,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         low = keys.astype("<u4")
         s, e = _parts(slot)
         b = t.column("bucket")[0].as_py()
-        return pa.table({"slot": pa.array(slot[s], pa.int32()), "bucket": pa.array([b] * len(s), pa.int32()), "keys": pa.array([low[i:j].tobytes() for i, j in zip(s, e)], pa.binary())})
+        return pa.table({"slot": pa.array(slot[s], pa.int32()), "bucket": pa.array([b] * len(s), pa.int32()), "keys": pa.array([_squeezed(low[i:j]) for i, j in zip(s, e)], pa.binary())})
 
     def sieve_in(t: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x.as_buffer(), "<u4") for x in t.column("keys")]
+        blobs = [_expanded(x.as_buffer()) for x in t.column("keys")]
         every = np.concatenate(blobs)
         values, counts = np.unique(every, return_counts=True)
         shared = values[counts > 1]
@@ -197,31 +220,31 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         for k, parts in split.items():
             own = sl == k
             sub[own] = (prefix[own] & _U(0xFFFFFFFF)) % _U(parts)
+        prefix = prefix & _U(0xFFFFFFFF)  # the slot holds what is left of the 4-word prefix
         order = np.lexsort((doc, h13, prefix, sub, sl))
         prefix, h13, doc, sl, sub = prefix[order], h13[order], doc[order], sl[order], sub[order]
-        first = np.r_[True, (prefix[1:] != prefix[:-1]) | (h13[1:] != h13[:-1])] if len(h13) else np.empty(0, bool)
+        first = np.r_[True, (sl[1:] != sl[:-1]) | (prefix[1:] != prefix[:-1]) | (h13[1:] != h13[:-1])] if len(h13) else np.empty(0, bool)
         prefix, h13, doc, sl, sub = prefix[first], h13[first], doc[first], sl[first], sub[first]
         s, e = _parts(sl * (1 << 32) + sub)
-        blobs = [prefix[i:j].tobytes() + h13[i:j].tobytes() + doc[i:j].astype("<i8").tobytes() for i, j in zip(s, e)]
+        blobs = [_records(prefix[i:j], h13[i:j], doc[i:j]) for i, j in zip(s, e)]
         b = t.column("bucket")[0].as_py()
         return pa.table({"slot": pa.array(sl[s], pa.int32()), "sub": pa.array(sub[s], pa.int32()), "bucket": pa.array([b] * len(s), pa.int32()), "paths": pa.array(blobs, pa.binary())}, schema=schema)
 
     def tree_in(t: pa.Table) -> pa.Table:
         """The subtree of one prefix group: leaves in path order, nodes of depth 13 with two leaves or more, their least document."""
-        raw = [np.frombuffer(x.as_buffer(), np.uint64).reshape(3, -1) for x in t.column("paths")]
-        src = np.repeat(np.arange(len(raw)), [x.shape[1] for x in raw])
+        raw = [_read_records(x.as_buffer()) for x in t.column("paths")]
+        src = np.repeat(np.arange(len(raw)), [len(x[0]) for x in raw])
         prefix, h13, doc = (np.concatenate([x[k] for x in raw]) for k in range(3))
-        doc = doc.view(np.int64)
         order = np.lexsort((doc, h13, prefix))
         prefix, h13, doc, src = prefix[order], h13[order], doc[order], src[order]
         new = np.r_[True, (prefix[1:] != prefix[:-1]) | (h13[1:] != h13[:-1])]
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         told = least < doc
         prefix, h13, least, src = prefix[told], h13[told], least[told], src[told]
-        order = np.argsort(src, kind="stable")
+        order = np.argsort(src, kind="stable")  # ascending prefixes within each source
         prefix, h13, least, src = prefix[order], h13[order], least[order], src[order]
         s, e = _parts(src)
-        return pa.table({"bucket": t.column("bucket").take(pa.array(src[s], pa.int32())), "least": pa.array([prefix[i:j].tobytes() + h13[i:j].tobytes() + least[i:j].astype("<i8").tobytes() for i, j in zip(s, e)], pa.binary())})
+        return pa.table({"bucket": t.column("bucket").take(pa.array(src[s], pa.int32())), "slot": t.column("slot").take(pa.array(src[s], pa.int32())), "least": pa.array([_records(prefix[i:j], h13[i:j], least[i:j]) for i, j in zip(s, e)], pa.binary())})
 
     def apply(t: pa.Table, a: pa.Table) -> pa.Table:
         ids, texts = _unpacked(t)
@@ -234,12 +257,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         node[order] = np.cumsum(new) - 1
         least = doc[heads]
         if a.num_rows and len(heads):
-            raw = [np.frombuffer(x.as_buffer(), np.uint64).reshape(3, -1) for x in a.column("least")]
-            h, g, pre = (np.concatenate([x[k] for x in raw]) for k in (1, 2, 0))
-            g = g.view(np.int64)
+            raw = [_read_records(x.as_buffer()) for x in a.column("least")]
+            pre, h, g = (np.concatenate([x[k] for x in raw]) for k in range(3))
+            pre = (np.repeat(a.column("slot").to_numpy().astype(np.uint64), [len(x[0]) for x in raw]) << _U(32)) | pre
             by = np.lexsort((h, pre))
             h, g, pre = h[by], g[by], pre[by]
-            pair = np.rec.fromarrays([p.prefix[heads], p.h13[heads]])
+            short = (_slots(p.prefix, bits).astype(np.uint64) << _U(32)) | (p.prefix & _U(0xFFFFFFFF))
+            pair = np.rec.fromarrays([short[heads], p.h13[heads]])
             told = np.rec.fromarrays([pre, h])
             k = _places(pair, told)
             hit = k >= 0
@@ -259,7 +283,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
             cols["kept_text"] = pa.array([x.decode() for x in kept], pa.string())
         return pa.table(cols)
 
-    told = packed.groupBy("bucket").cogroup(sieved.select("bucket", "slot", "flags").groupBy("bucket")).applyInArrow(tree_out, "slot int, sub int, bucket int, paths binary").groupBy("slot", "sub").applyInArrow(tree_in, "bucket int, least binary")
+    told = packed.groupBy("bucket").cogroup(sieved.select("bucket", "slot", "flags").groupBy("bucket")).applyInArrow(tree_out, "slot int, sub int, bucket int, paths binary").groupBy("slot", "sub").applyInArrow(tree_in, "bucket int, slot int, least binary")
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return packed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(apply, schema).withColumnRenamed("id", id_column)
 
