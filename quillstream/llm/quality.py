@@ -17,7 +17,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import text_or_empty, words
+from quillstream.llm.common import let, text_or_empty, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -81,23 +81,24 @@ def count_of(text: Column, chars: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
 
 
-def with_words(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds _text and _words, each computed once and used by all measures."""
-    return df.withColumn("_text", text_or_empty(text)).withColumn("_words", words(F.col("_text")))
-
-
-def measures() -> dict[str, Column]:
-    """Measures over _text and _words."""
-    t, w = F.col("_text"), F.col("_words")
+def measures(t: Column, w: Column) -> dict[str, Column]:
+    """Measures of a text and its words."""
     return {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.translate(t, WORD_CHARS, "")).cast("long"),
         "n_symbols": count_of(t, SYMBOLS),
         "n_dup_lines": repeated_lines(t),
         "n_repeat_words": repeated_words(w),
+        "n_lines": F.size(F.split(t, "\n")).cast("long"),
+        "n_capitals": count_of(t, CAPITALS),
     }
 
 
+def over_words(text: str, body: Callable[[Column, Column], Column]) -> Column:
+    """body(text, words), both evaluated once."""
+    return let(text_or_empty(text), lambda t: let(words(t), lambda w: body(t, w)))
+
+
 @dataclass(frozen=True)
 class Rule:
     """fails: from a measure's lookup to the condition under which the text is rejected."""
@@ -117,12 +118,12 @@ RULES = (
 )
 
 
-def more_measures() -> dict[str, Column]:
-    t = F.col("_text")
-    return measures() | {
-        "n_lines": F.size(F.split(t, "\n")).cast("long"),
-        "n_capitals": count_of(t, CAPITALS),
-    }
+def verdict(order: list[Rule], value: Callable[[str], Column]) -> Column:
+    """Name of the first rule in this order that fails, else null; later rules are not evaluated."""
+    out = None
+    for rule in order:
+        out = F.when(rule.fails(value), F.lit(rule.name)) if out is None else out.when(rule.fails(value), F.lit(rule.name))
+    return out.otherwise(F.lit(None).cast("string"))
 
 
 def rule_order(df: DataFrame, text: str = "text", id_column: str = "doc_id", sample_rows: int = 2000, rules=RULES, clock=time.perf_counter) -> list[tuple[Rule, float, float]]:
@@ -135,31 +136,27 @@ def rule_order(df: DataFrame, text: str = "text", id_column: str = "doc_id", sam
     n = df.count()
     share = min(1.0, sample_rows / max(1, n))
     keep = F.abs(F.xxhash64(F.col(id_column)) % 1_000_000) < int(share * 1_000_000) + (share == 1.0)
-    sample = with_words(cut(df.filter(keep).select(id_column, text)), text)
-    values = more_measures()
+    sample = cut(df.filter(keep).select(id_column, text))
 
-    def spent(column: Column) -> tuple[float, int]:
+    def spent(fails: Callable) -> tuple[float, int]:
         began = clock()
+        column = over_words(text, lambda t, w: fails(measures(t, w).__getitem__))
         row = sample.agg(F.count(F.when(column, 1)).alias("rejected"), F.count(F.lit(1)).alias("n")).head()
         return clock() - began, row["rejected"] / max(1, row["n"])
 
-    spent(F.size("_words") < 0)  # warms up code and files
-    base = spent(F.size("_words") < 0)[0]
+    nothing = lambda m: m("n_words") < 0
+    spent(nothing)  # warms up code and files
+    base = spent(nothing)[0]
     found = []
     for rule in rules:
-        seconds, rejected = spent(rule.fails(values.__getitem__))
+        seconds, rejected = spent(rule.fails)
         found.append((rule, max(1e-3, seconds - base), rejected))
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
 
 
 def cascade(df: DataFrame, order: list[Rule], text: str = "text") -> DataFrame:
-    """Adds _rejected_by: the first rule in this order that fails, else null. Later rules are not evaluated then."""
-    values = more_measures()
-    verdict = None
-    for rule in order:
-        condition = rule.fails(values.__getitem__)
-        verdict = F.when(condition, F.lit(rule.name)) if verdict is None else verdict.when(condition, F.lit(rule.name))
-    return with_words(df, text).withColumn("_rejected_by", verdict.otherwise(F.lit(None).cast("string")))
+    """Adds _rejected_by: the first rule in this order that fails, else null."""
+    return df.withColumn("_rejected_by", over_words(text, lambda t, w: verdict(order, measures(t, w).__getitem__)))
 
 
 def filter_quality(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -174,12 +171,8 @@ def measure_quality(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     The measures are needed for every row here, so they are computed once and the cascade reads them as columns.
     """
     order = [rule for rule, _, _ in rule_order(df, text, id_column)]
-    values = more_measures()
-    m = with_words(df.select(id_column, text), text).select(id_column, *[c.alias(k) for k, c in values.items()])
-    verdict = None
-    for rule in order:
-        condition = rule.fails(F.col)
-        verdict = F.when(condition, F.lit(rule.name)) if verdict is None else verdict.when(condition, F.lit(rule.name))
+    every = over_words(text, lambda t, w: F.struct(*[c.alias(k) for k, c in measures(t, w).items()]))
+    m = df.select(id_column, every.alias("_m")).select(id_column, "_m.*")
     base = {r.name: r for r in RULES}
     failed = base["few_words"].fails(F.col) | base["repetitive"].fails(F.col)
-    return m.withColumn("rejected_by", verdict.otherwise(F.lit(None).cast("string"))).select(id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"), "rejected_by")
+    return m.withColumn("rejected_by", verdict(order, F.col)).select(id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"), "rejected_by")
