@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,5 +18,41 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: What the two dialects write differently: @hours(x) an interval, @at(x) a timestamp literal, @days(a, b) whole days from a to b.
+def _dialect(sql: str, spark: bool) -> str:
+    sql = re.sub(r"@hours\(([^()]*)\)", r"make_interval(0, 0, 0, 0, cast(\1 as int))" if spark else r"to_hours(cast(\1 as bigint))", sql)
+    sql = re.sub(r"@at\('([^']*)'\)", r"timestamp_ntz'\1'" if spark else r"timestamp '\1'", sql)
+    sql = re.sub(r"@days\(([^,()]*),([^()]*)\)", r"timestampdiff(DAY, \1, \2)" if spark else r"date_sub('day', \1, \2)", sql)
+    sql = re.sub(r"@each\(([^;]*);\s*(\w+)\s*;\s*(\w+)\)", r"lateral (select explode(\1) as \3) \2" if spark else r"lateral (select unnest(\1) as \3) \2", sql)
+    return sql
+
+
+def sql_query(name: str, sql: str) -> None:
+    """One text for both engines; tables stand in braces."""
+    tables = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(_dialect(sql, True), **{t: read(spark, sf_dir, t) for t in tables})
+
+    QUERIES[name] = Query(run, re.sub(r"\{(\w+)\}", r"\1", _dialect(sql, False)))
+
+
+def frame_query(name: str, sql: str | None = None):
+    """Registers a DataFrame function with its own oracle."""
+
+    def wrap(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = Query(f, sql)
+        return f
+
+    return wrap
+
+
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return QUERIES["C1_hybrid_search"].run(spark, sf_dir)
+
+
+from quillstream.plans import relational, retrieval  # noqa: E402,F401  (they register their queries)
