@@ -83,8 +83,7 @@ def search(docs: DataFrame, items: DataFrame, text: str = "text", id_column: str
     read = docs.select(F.col(id_column).alias("_doc"), F.col(text)).join(checked_broadcast(wanted), "_doc", "left_semi")
     read = read.select("_doc", shingle_texts(_words(text)).alias("_dt"))
     texts = w.select("_item", shingle_texts(F.col("_w")).alias("_it")).filter(F.size("_it") > 0)
-    wanted_items = cut(pairs.join(texts, "_item"))
-    both = read.join(checked_broadcast(wanted_items), "_doc").select("_doc", "_item", F.size(F.array_intersect("_it", "_dt")).alias("n_shared"), F.size("_it").alias("n_item"))
+    both = read.join(checked_broadcast(pairs), "_doc").join(checked_broadcast(texts), "_item").select("_doc", "_item", F.size(F.array_intersect("_it", "_dt")).alias("n_shared"), F.size("_it").alias("n_item"))
     hit = both.filter(100 * F.col("n_shared") >= percent * F.col("n_item"))
     return hit.select(F.col("_doc").alias(id_column), F.col("_item").alias(item_id), F.col("n_shared").cast("long"), F.col("n_item").cast("long"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
