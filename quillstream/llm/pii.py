@@ -23,6 +23,8 @@ from quillstream.llm.common import cut, let
 
 KEY = "surrogates"
 ROUNDS = 6
+#: Rows of changed surrogates up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 
 # Given names by script and gender, and titles by gender.
 GIVEN = {
@@ -216,7 +218,8 @@ def collisions(values: DataFrame, key: str, max_rounds: int = 30) -> DataFrame:
 def replace(docs: DataFrame, text: str = "text", id_column: str = "doc_id", key: str = KEY, counts: bool = False) -> DataFrame:
     """docs with surrogates in its text column; with counts also n_entities and kinds (of the entities, in order)."""
     found = docs.withColumn("_e", entities(F.col(text)))
-    named = docs.filter(F.col(text).rlike(rf"@|\b(?:{_TITLE})\.? \p{{Lu}}|\b(?:{_ALL_GIVEN}) \p{{Lu}}"))
+    has_names = F.coalesce(F.col(text).rlike(rf"@|\b(?:{_TITLE})\.? \p{{Lu}}|\b(?:{_ALL_GIVEN}) \p{{Lu}}"), F.lit(False))
+    named = docs.filter(has_names)
     values = named.select(F.explode_outer(checked_values(entities(F.col(text)))).alias("_v")).select("_v.kind", "_v.canon").filter("canon is not null")
     changed = cut(collisions(values, key))
     maps = "map<string,string>"
@@ -225,7 +228,13 @@ def replace(docs: DataFrame, text: str = "text", id_column: str = "doc_id", key:
     else:
         who = named.select(F.col(id_column).alias("_id"), F.explode_outer(checked_values(entities(F.col(text)))).alias("_v")).select("_id", "_v.*").distinct()
         per = who.join(changed, ["kind", "canon"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "canon").alias("k"), F.col("new").alias("v")))).alias("_m"))
-        found = found.join(per, found[id_column].eqNullSafe(per["_id"]), "left").drop("_id").withColumn("_c", F.when(F.col("_m").isNotNull(), F.array("_m")).otherwise(F.array().cast(f"array<{maps}>"))).drop("_m")
+        per = cut(per)
+        joined = lambda rows, maps_: rows.join(maps_, rows[id_column].eqNullSafe(maps_["_id"]), "left").drop("_id")
+        if per.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            found = joined(found, F.broadcast(per))
+        else:  # only documents that name someone or hold an address are dealt by id
+            found = joined(found.filter(has_names), per).unionByName(found.filter(~has_names).withColumn("_m", F.lit(None).cast(maps)))
+        found = found.withColumn("_c", F.when(F.col("_m").isNotNull(), F.array("_m")).otherwise(F.array().cast(f"array<{maps}>"))).drop("_m")
     gaps = F.split(F.col(text), ENTITY, -1)
     new = lambda e: F.transform(e, lambda x: surrogate(x, F.col("_c"), key))
     filled = let(F.struct(gaps.alias("g"), new(F.col("_e")).alias("s")), lambda x: F.array_join(F.transform(x["g"], lambda g, i: F.concat(g, F.coalesce(F.get(x["s"], i), F.lit("")))), ""))
