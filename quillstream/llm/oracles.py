@@ -1,3 +1,40 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express; the others are tested against brute force in tests/llm."""
 
-SQL: dict[str, str] = {}
+_SPACE = r"'[ \t\n\x0B\f\r]+'"
+_WORDS = f"[x for x in string_split_regex(coalesce(text, ''), {_SPACE}) if x <> '']"
+
+OP3 = r"""
+with dw as (select doc_id, [x for x in string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as w from documents),
+iw as (select item_id, [x for x in string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as w from benchmark),
+ds as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from dw, unnest(range(1, len(w) - 3)) r(i) union select doc_id, array_to_string(w, ' ') from dw where len(w) between 1 and 4),
+its as (select distinct item_id, array_to_string(w[i : i + 4], ' ') as s from iw, unnest(range(1, len(w) - 3)) r(i) union select item_id, array_to_string(w, ' ') from iw where len(w) between 1 and 4),
+n as (select item_id, count(*) as n_item from its group by 1)
+select doc_id, item_id, count(*) as n_shared, any_value(n_item) as n_item, count(*) / any_value(n_item)::double as containment
+from ds join its using (s) join n using (item_id) group by 1, 2 having 100 * count(*) >= 80 * any_value(n_item)
+"""
+
+_CAPITALS = "".join(chr(c) for c in [*range(0x41, 0x5B), *range(0xC0, 0xDF)] if c != 0xD7)
+
+OP8 = f"""
+with d as (select doc_id, coalesce(text, '') as t, {_WORDS} as w from documents),
+win as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from d, unnest(range(1, len(w) - 1)) r(i)),
+twice as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as c from win) x where c > 1),
+cov as (select doc_id, count(distinct i + k) as n from twice, (values (0), (1), (2)) o(k) group by 1),
+line as (select doc_id, unnest(string_split(t, chr(10))) as l from d),
+dup as (select doc_id, count(*) - count(distinct l) as n from line where regexp_matches(l, '[^ \\t\\n\\x0B\\f\\r]') group by 1),
+m as (select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words, len(string_split(t, chr(10))) as n_lines, length(t) - length(regexp_replace(t, '[{_CAPITALS}]', '', 'g')) as n_capitals from d left join cov using (doc_id) left join dup using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+not (n_words < 50 or 100 * n_repeat_words > 50 * n_words or 10 * n_symbols > 3 * n_words or word_chars < 2 * n_words or word_chars > 20 * n_words or (n_dup_lines > 3 and 2 * n_dup_lines > n_lines) or 2 * n_capitals > word_chars) as kept from m
+"""
+
+OP10 = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+win as (select doc_id, i, array_to_string(w[i : i + 12], ' ') as g from d, unnest(range(1, len(w) - 11)) r(i)),
+gone as (select doc_id, i from (select *, min(doc_id) over (partition by g) as first_id from win) x where first_id < doc_id),
+cov as (select distinct doc_id, i + k as i from gone, unnest(range(0, 13)) o(k)),
+word as (select doc_id, i, w[i] as x from d, unnest(range(1, len(w) + 1)) r(i)),
+kept as (select doc_id, string_agg(x, ' ' order by i) as t, count(*) as n from word anti join cov using (doc_id, i) group by 1)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256 from d left join kept using (doc_id)
+"""
+
+SQL: dict[str, str] = {"op3_decontamination": OP3, "op8_quality_rules": OP8, "op10_substring_dedup": OP10}

@@ -175,4 +175,4 @@ def measure_quality(df: DataFrame, text: str = "text", id_column: str = "doc_id"
     m = df.select(id_column, every.alias("_m")).select(id_column, "_m.*")
     base = {r.name: r for r in RULES}
     failed = base["few_words"].fails(F.col) | base["repetitive"].fails(F.col)
-    return m.withColumn("rejected_by", verdict(order, F.col)).select(id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"), "rejected_by")
+    return m.withColumn("rejected_by", verdict(order, F.col)).select(id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
