@@ -37,7 +37,7 @@ def _byte_of_letter() -> dict[str, int]:
 class Encoder:
     """encode(texts) gives the ids of each text as little-endian uint16 bytes, without the closing id."""
 
-    def __init__(self, path: str | None = None, cache_entries: int = 700_000):
+    def __init__(self, path: str | None = None, cache_entries: int = 500_000):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -70,18 +70,17 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        plain: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
-                out[i] = np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-            else:
-                plain.append((i, text.lower().split()))
-        step = 256  # documents whose new chunks are learnt together
-        for k in range(0, len(plain), step):
-            part = plain[k : k + step]
-            every = set().union(*[w for _, w in part])
+        step = 256  # documents whose new chunks are learnt together; no more are held as chunks at once
+        for k in range(0, len(texts), step):
+            plain: list[tuple[int, list[str]]] = []
+            for i, text in enumerate(texts[k : k + step], k):
+                if not text:
+                    continue
+                if _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
+                    out[i] = np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+                else:
+                    plain.append((i, text.lower().split()))
+            every = set().union(*[w for _, w in plain])
             new = every.difference(self.cache)
             if len(self.cache) + len(new) > self.entries:
                 self.cache.clear()
@@ -89,7 +88,7 @@ class Encoder:
             if new:
                 self._learn(list(new))
             get = self.cache.__getitem__
-            for i, ws in part:
+            for i, ws in plain:
                 out[i] = b"".join(map(get, ws))
         return out
 
