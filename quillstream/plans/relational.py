@@ -41,7 +41,7 @@ q("J4_left_count", "select c.c_custkey, count(o.o_orderkey) as n_orders, max(o.o
 q("J5_semi", "select d.doc_id from {documents} d where exists (select 1 from {labels} l where l.doc_id = d.doc_id)")
 q("J6_anti", "select d.doc_id from {documents} d where not exists (select 1 from {labels} l where l.doc_id = d.doc_id)")
 TAX = "lpad(cast(o_orderkey * 7919 % 100000000 as varchar(20)), 8, '0')"
-q("J7_array_overlap", "select distinct a.l_orderkey as left_key, b.l_orderkey as right_key from {lineitem} a join {lineitem} b on a.l_partkey = b.l_partkey and a.l_orderkey < b.l_orderkey where a.l_suppkey = b.l_suppkey and a.l_orderkey % 10 = 0")
+q("J7_array_overlap", "select distinct a.l_orderkey as left_key, b.l_orderkey as right_key from {lineitem} a join {lineitem} b on a.l_partkey = b.l_partkey and a.l_orderkey < b.l_orderkey where a.l_suppkey = b.l_suppkey")
 q("J8_unique_identifier", "select a.l_orderkey, min(b.l_suppkey) as supp from {lineitem} a join {lineitem} b on a.l_orderkey = b.l_orderkey group by a.l_orderkey having count(distinct b.l_suppkey) = 1")
 q("J12_walk", "with recursive edges as (select conv_id, turn as a, turn + 1 as b from {conversations} union all select conv_id, max(turn) as a, min(turn) as b from {conversations} group by conv_id having max(turn) > min(turn)), walk as (select conv_id, a, b, 1 as depth, concat(',', cast(a as varchar(20)), ',', cast(b as varchar(20)), ',') as path from edges where a = 0 union all select e.conv_id, e.a, e.b, w.depth + 1 as depth, concat(w.path, cast(e.b as varchar(20)), ',') as path from walk w join edges e on e.conv_id = w.conv_id and e.a = w.b where w.depth < 5 and w.path not like concat('%,', cast(e.b as varchar(20)), ',%')) select conv_id, a, b, depth from walk")
 q("J13_first_owner", "select l_partkey, l_orderkey from (select l_partkey, l_orderkey, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as r from {lineitem}) x where r = 1")
@@ -102,7 +102,7 @@ q("K5_fill_missing", f"select o.o_orderkey, coalesce(nullif(o.title, ''), n.titl
 q("K7_latest_version", "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by doc_id desc) as r from {documents}) x where r = 1")
 q("K9_event_merge", "select distinct case when o_custkey % 10 = 1 then o_custkey - 1 else o_custkey end as event_id, o_orderkey as doc_id from {orders}")
 # --- functions
-q("H34_is_peak", "select event_id, dayofweek(ts) as d, (hour(ts) >= 1 and hour(ts) < 4) or (hour(ts) >= 6 and hour(ts) < 10) as peak_hour from (select event_id, ts from {events} where event_id % 7 < 3) x".replace("dayofweek(ts) as d, ", ""))
+q("H34_is_peak", "select event_id, dayofweek(ts) as d, (hour(ts) >= 1 and hour(ts) < 4) or (hour(ts) >= 6 and hour(ts) < 10) as peak_hour from {events}".replace("dayofweek(ts) as d, ", ""))
 q("H35_compute_cost", "select event_id, cast(cast(user_id as decimal(12,0)) * (case when hour(ts) < 4 then 0.28 else 0.14 end) / 1000000 as decimal(12,8)) as cost from {events}")
 q("H38_cache_rate", f"select event_type, case when sum(cost) = 0 then null else round(cast(sum(cost) filter (where user_id % 2 = 0) as double) / cast(sum(cost) as double), 6) end as rate from {LEDGER} group by event_type")
 q("H39_label_confidence", "select doc_id, case when lower(text) like '%license%' then 'high' when n_chars > 2000 then 'medium' else 'low' end as confidence from {documents}")

@@ -66,15 +66,16 @@ def h3(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.when(F.size(tx.tokenize(F.col("text"))) > 0, tx.search_text(F.col("text"))).alias("tokens"))
 
 
-_VECTOR = f"vector as (select * from (select q.vec_id as item_id, e.vec_id as doc_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 5) as score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 5) desc, e.vec_id) as pos from embeddings q join embeddings e on q.vec_id < 40 and e.vec_id <> q.vec_id) x where pos <= {K})"
+_VECTOR = f"vector as (select * from (select q.vec_id as item_id, e.vec_id as doc_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 5) as score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 5) desc, e.vec_id) as pos from embeddings q join embeddings e on q.vec_id % 100 = 0 and e.vec_id <> q.vec_id) x where pos <= {K})"
 
 
-def vector_channel(vectors: DataFrame, k: int = K, max_queries: int = 40) -> DataFrame:
-    """Exact cosine k nearest of the first max_queries vectors (a bounded, broadcast query set) among all."""
+def vector_channel(vectors: DataFrame, k: int = K, broadcast_rows: int = 50_000) -> DataFrame:
+    """Exact cosine k nearest, among all, of every vector whose id is divisible by 100; that side is broadcast up to a checked size."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     base = vectors.filter("embedding is not null").select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    q = base.filter(F.col("vec_id") < max_queries).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
-    both = base.join(F.broadcast(q), F.col("vec_id") != F.col("item_id"))
+    q = base.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
+    q = F.broadcast(q) if q.count() <= broadcast_rows else q
+    both = base.join(q, F.col("vec_id") != F.col("item_id"))
     scored = both.select("item_id", F.col("vec_id").alias("doc_id"), F.round(dot(F.col("embedding"), F.col("qe")) / (F.col("norm") * F.col("qn")), 5).alias("score"))
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
