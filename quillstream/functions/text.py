@@ -74,3 +74,43 @@ def normalize_url(c: Column) -> Column:
 def fingerprint_urls(urls: Column) -> Column:
     """sha1 over the sorted URLs."""
     return F.sha1(F.array_join(F.array_sort(urls), "\n"))
+
+
+def resolve_url(c: Column, base: Column) -> Column:
+    """An absolute URL from one that may be relative to base; dot segments are folded away, an empty URL stays empty."""
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    tail = F.regexp_extract(c, r"([?#].*)$", 1)
+    own = F.regexp_extract(c, r"^([^?#]*)", 1)
+    joined = F.when(own == "", path).when(own.startswith("/"), own).otherwise(F.concat(F.regexp_extract(path, "^(.*/)", 1), own))
+    segments = F.split(F.regexp_replace(joined, "^/", ""), "/")
+    last = F.get(F.reverse(segments), F.lit(0))
+    step = lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
+    folded = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    slash = F.when(last.isin(".", "..") & (folded != ""), "/").otherwise("")
+    relative = F.concat(origin, F.lit("/"), folded, slash, tail)
+    return F.when((c == "") | c.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (origin == ""), c).when(c.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]+:)", 1), c)).otherwise(relative)
+
+
+def clean_title(c: Column) -> Column:
+    """White space squeezed and a trailing time of day dropped."""
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), r"\s*\d{1,2}:\d{2}$", ""))
+
+
+def strip_markup(c: Column) -> Column:
+    """Comments and tags out, the two commonest entities decoded, white space squeezed."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), "<[^>]+>", " ")
+    return F.trim(F.regexp_replace(F.replace(F.replace(bare, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&")), r"(?U)\s+", " "))
+
+
+def model_json(c: Column) -> Column:
+    """A model's reply without the code fence around it."""
+    t = F.trim(c)
+    inner = F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n?", ""), r"(?s)```(?!.*```).*$", "")
+    return F.when(t.startswith("```"), inner).otherwise(t)
+
+
+def salvage_reply(c: Column) -> Column:
+    """The "reply" field of a reply whose JSON may be cut off, unescaped as far as it goes; null where there is none."""
+    raw = F.regexp_extract(c, r'"reply"\s*:\s*"((?:[^"\\]|\\.)*)', 1)
+    return F.when(raw != "", F.replace(F.replace(F.replace(raw, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\")))
