@@ -31,14 +31,20 @@ def _dialect(sql: str, spark: bool) -> str:
     return sql
 
 
-def sql_query(name: str, sql: str) -> None:
-    """One text for both engines; tables stand in braces."""
+def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Spark's rows of a text for both engines; tables stand in braces."""
     tables = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    return spark.sql(_dialect(sql, True), **{t: read(spark, sf_dir, t) for t in tables})
+
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(_dialect(sql, True), **{t: read(spark, sf_dir, t) for t in tables})
+def oracle(sql: str) -> str:
+    """DuckDB's form of a text for both engines."""
+    return re.sub(r"\{(\w+)\}", r"\1", _dialect(sql, False))
 
-    QUERIES[name] = Query(run, re.sub(r"\{(\w+)\}", r"\1", _dialect(sql, False)))
+
+def sql_query(name: str, sql: str) -> None:
+    """One text for both engines."""
+    QUERIES[name] = Query(lambda spark, sf_dir: frame(spark, sf_dir, sql), oracle(sql))
 
 
 def frame_query(name: str, sql: str | None = None):
@@ -55,4 +61,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["C1_hybrid_search"].run(spark, sf_dir)
 
 
-from quillstream.plans import relational, retrieval  # noqa: E402,F401  (they register their queries)
+from quillstream.plans import composite, ordered, relational, retrieval  # noqa: E402,F401  (they register their queries)

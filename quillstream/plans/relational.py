@@ -10,7 +10,6 @@ DOCS = "(select doc_id, text, lang, source, n_chars, case when doc_id % 17 = 0 t
 LEDGER = "(select event_id, ts, user_id, event_type, cast(value as decimal(18,4)) as cost from {events}) u"
 
 # --- scans and predicates
-q("A1_base_scan", f"select doc_id, source, published, fetched, row_number() over (order by published desc nulls last, fetched desc, doc_id) as pos from {DOCS} order by pos limit 100")
 q("P1_content_class", "select doc_id, source from {documents} where source in ('src0', 'src1')")
 q("P2_relevant", "select l.doc_id from {labels} l where l.quality = 1")
 q("P3_pending_relevance", "select d.doc_id from {documents} d left join {labels} l on d.doc_id = l.doc_id where l.doc_id is null and d.text <> ''")
@@ -24,7 +23,7 @@ q("P9_becomes_dormant", f"select user_id, @days(last_ts, @at('2024-02-20 00:00:0
 q("P10_pollable", f"select user_id, n % 7 as failures, (case when n % 7 >= 5 then 6 else 1 end) * 60 as wait_minutes, last_ts + @hours(case when n % 7 >= 5 then 6 else 1 end) <= @at('2024-01-31 20:00:00') as due from {LAST}")
 q("P11_service_window", "select event_id, case when user_id % 24 <= (user_id + 8) % 24 then hour(ts) >= user_id % 24 and hour(ts) < (user_id + 8) % 24 else hour(ts) >= user_id % 24 or hour(ts) < (user_id + 8) % 24 end as open from {events}")
 q("P12_in_progress", f"select user_id, last_ts + @hours(1) > @at('2024-01-31 12:00:00') as running from {LAST}")
-q("P13_body_queue", f"select doc_id, pos from (select doc_id, row_number() over (order by published desc nulls first, doc_id) as pos from {DOCS} where n_chars < 500 and doc_id % 5 < 3 and source not in ('src0')) x where pos <= 200")
+q("P13_body_queue", f"select doc_id, row_number() over (order by published desc nulls first, doc_id) as pos from (select doc_id, published from (select *, case lang when 'de' then 3 else 0 end as attempts from {DOCS}) y where attempts < 3 and source not in ('src0') order by published desc nulls first, doc_id limit 200) x")
 q("P14_document_filters", "select d.doc_id, d.source from {documents} d join {labels} l on d.doc_id = l.doc_id where d.source = 'src1' and l.quality = 1 and lower(d.text) like '%the%'")
 q("P15_facets", "select case when l.quality is null then 'unknown' when l.quality = 1 then 'yes' else 'no' end as facet, count(*) as n from {documents} d left join {labels} l on d.doc_id = l.doc_id group by 1")
 q("P17_exclusion", "select o_orderkey from {orders} where not (o_orderpriority like '1-%' or o_orderstatus = 'P')")
@@ -46,7 +45,6 @@ q("J8_unique_identifier", "select a.l_orderkey, min(b.l_suppkey) as supp from {l
 q("J12_walk", "with recursive edges as (select conv_id, turn as a, turn + 1 as b from {conversations} union all select conv_id, max(turn) as a, min(turn) as b from {conversations} group by conv_id having max(turn) > min(turn)), walk as (select conv_id, a, b, 1 as depth, concat(',', cast(a as varchar(20)), ',', cast(b as varchar(20)), ',') as path from edges where a = 0 union all select e.conv_id, e.a, e.b, w.depth + 1 as depth, concat(w.path, cast(e.b as varchar(20)), ',') as path from walk w join edges e on e.conv_id = w.conv_id and e.a = w.b where w.depth < 5 and w.path not like concat('%,', cast(e.b as varchar(20)), ',%')) select conv_id, a, b, depth from walk")
 q("J13_first_owner", "select l_partkey, l_orderkey from (select l_partkey, l_orderkey, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as r from {lineitem}) x where r = 1")
 q("J14_newest_archive", "select p.p_partkey, max(l.l_orderkey) as archive from {part} p join {lineitem} l on l.l_partkey = p.p_partkey where p.p_size < 10 group by p.p_partkey")
-q("J15_label_join", "select l.doc_id, d.pos from {labels} l left join (select doc_id, row_number() over (order by n_chars desc, doc_id) as pos from {documents}) d on l.doc_id = d.doc_id where l.quality = 1")
 # --- aggregates
 q("G1_source_coverage", f"select source, min(published) as first_at, max(published) as last_at, count(*) as n from {DOCS} group by source")
 q("G2_per_event", "select c_nationkey, count(*) as n, max(c_acctbal) as top from {customer} group by c_nationkey")
@@ -70,7 +68,6 @@ GAPS = "(select user_id, event_id, ts, lag(ts) over (partition by user_id order
 q("W1_silence_gap", f"select user_id, event_id, @days(ts, newer) as gap_days from {GAPS} where newer is not null and @days(ts, newer) >= 2")
 q("W2_gap_split", f"select user_id, event_id, pos <= 20 as shown from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id) as pos from {{events}}) x where pos <= 40")
 q("W3_channel_rank", "select label, vec_id, row_number() over (partition by label order by vec_id desc) as rank_in_channel from {embeddings}")
-q("W4_running_grants", f"select event_id, cast(sum(cost) over (order by ts range between unbounded preceding and current row) as decimal(20,4)) as granted from {LEDGER} where event_type = 'purchase'")
 q("W5_top_per_event", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderpriority, o_totalprice desc, o_orderkey) as r from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as newest from {orders}) x where newest <= 12) y where r <= 3")
 q("W6_last_messages", "select conv_id, turn, role, row_number() over (partition by conv_id order by turn) as pos from (select *, row_number() over (partition by conv_id order by turn desc) as back from {conversations}) x where back <= 12")
 q("W7_last_user_turns", "select conv_id, turn, substr(text, 1, 500) as text from (select *, row_number() over (partition by conv_id order by turn desc) as back from {conversations} where role = 'user') x where back <= 4")
@@ -79,12 +76,7 @@ q("W9_page_fingerprints", "select user_id, event_id, event_type = lag(event_type
 q("W10_failure_streak", "select user_id, event_id, case when bad = 1 then row_number() over (partition by user_id, island, bad order by ts, event_id) else 0 end as streak from (select *, sum(1 - bad) over (partition by user_id order by ts, event_id) as island from (select user_id, event_id, ts, case when event_type = 'click' then 1 else 0 end as bad from {events}) x) y")
 q("W11_latest_five", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from {orders}) x where r <= 5")
 # --- sorts and limits
-q("T1_desc_nulls_last", f"select doc_id, row_number() over (order by published desc nulls last, doc_id) as pos from {DOCS}")
-q("T2_desc_nulls_first", f"select doc_id, row_number() over (order by published desc nulls first, doc_id) as pos from {DOCS}")
-q("T3_asc_nulls_last", f"select doc_id, row_number() over (order by published asc nulls last, doc_id) as pos from {DOCS}")
-q("T5_topk_pinned", "select vec_id, pos from (select vec_id, row_number() over (order by case when label = 0 then 0 else 1 end, vec_id) as pos, sum(case when label = 0 then 1 else 0 end) over () as pinned from {embeddings}) x where pos <= greatest(100, pinned)")
 q("T7_pagination", "select o_orderkey from {orders} order by o_orderdate desc, o_orderkey limit 50 offset 100")
-q("T8_case_order", "select o_orderkey, row_number() over (order by case o_orderstatus when 'P' then 0 when 'O' then 1 else 2 end, o_orderkey) as pos from {orders}")
 q("T9_newest_of_ranked", "select doc_id from (select doc_id from (select doc_id, n_chars from {documents} order by n_chars desc, doc_id limit 300) x order by doc_id desc limit 4) y")
 # --- set operations
 q("U2_pinned_union", "select coalesce(a.l_orderkey, b.o_orderkey) as k, a.l_orderkey is not null as pinned, b.o_orderkey is not null as fused from (select distinct l_orderkey from {lineitem} where l_returnflag = 'R') a full outer join (select o_orderkey from {orders} where o_orderstatus = 'F') b on a.l_orderkey = b.o_orderkey")
