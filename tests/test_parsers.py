@@ -115,3 +115,19 @@ def test_courts_and_replies(spark):
     assert value(spark, text.salvage_reply, '{"reply": "a \\"b\\"\\nc') == 'a "b"\nc' and value(spark, text.salvage_reply, "x") is None
     for url, want in (("../c?d=1", "http://h/c?d=1"), ("/x/./y", "http://h/x/y"), ("//o/z", "http://o/z"), ("http://q/", "http://q/"), ("", ""), ("e", "http://h/a/e")):
         assert value(spark, text.resolve_url, url, "http://h/a/b") == want
+
+
+def test_articles(spark):
+    from quillstream.sources import articles
+
+    long = "句" * 90
+    ld = '<script type="application/ld+json">' + json.dumps({"@graph": [{"headline": " A  b ", "author": {"name": "Ann"}, "datePublished": "2026-08-30T08:00:00+08:00", "articleBody": f"▲ caption\n{long}\n\n（圖／x）\nend"}]}) + "</script>"
+    block = f'<meta property="article:published_time" content="2026-08-30T00:00:00Z"><title>T</title><article><p>{long}</p><script>no</script></article><p>out</p>'
+    df = spark.createDataFrame([(1, ld, None), (2, block, "ctee"), (3, "<p>x</p>", "ctee"), (4, None, None), (5, '<script type="application/ld+json">{</script>', None)], "page_id long, html string, source string")
+    a, b, *bad = articles.extract_articles(df).orderBy("page_id").collect()
+    assert (a["body"], a["title"], a["author"], a["published_at"], a["strategy"]) == (f"{long}\nend", "A b", "Ann", utc(2026, 8, 30), "json-ld")
+    assert (b["body"], b["title"], b["published_at"], b["strategy"]) == (long, "T", utc(2026, 8, 30), "selector")
+    assert all(r["error"] and r["body"] is None for r in bad) and len(bad) == 3
+    raw = json.dumps({"data": {"title": "T", "published_date": "2026-08-30T00:00:00Z", "content": {"api_data": [{"type": "unstyled", "content": [f"<b>{long}</b><!-- x -->"]}, {"type": "image", "content": ["no"]}, {"type": "infobox", "content": [{"body": "<p>box</p>"}]}]}}})
+    c, d = articles.extract_articles(spark.createDataFrame([(1, raw, None), (2, "{", None)], df.schema), blocks=True).orderBy("page_id").collect()
+    assert c["body"] == f"{long}\nbox" and d["error"] == "not JSON"
