@@ -8,11 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialised in the shared folder that spark.checkpoint.dir names; a folder of the machine only where it is unset, as in tests."""
-    spark: SparkSession = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one of our own only where it is unset, as in tests."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstream-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialised in the shared folder that spark.checkpoint.dir names; a folder of the machine only where it is unset, as in tests."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

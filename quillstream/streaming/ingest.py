@@ -56,18 +56,17 @@ def lifecycle(events: DataFrame, days: int = DORMANT_DAYS) -> DataFrame:
     The first row makes it active; so many days of event time without a row make it dormant at that very moment; a row after that
     wakes it. Rows of one key within a batch are taken in time order; a row older than the last adds nothing, one without time is dropped.
     """
-    span = pd.Timedelta(days=days)
+    span = days * 86_400_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
+        out: list[tuple[str, int]] = []
         status, last = state.get if state.exists else (None, None)
-        last = None if last is None else pd.Timestamp(last, unit="us")
         if state.hasTimedOut:
             if status == "active":
                 out.append(("dormant", last + span))
                 status = "dormant"
         else:
-            for at in pd.concat([f["at"] for f in frames]).sort_values():
+            for at in sorted(int(m) for f in frames for m in f["micros"]):
                 if last is not None and at <= last:
                     continue
                 if status == "active" and at - last >= span:
@@ -76,16 +75,17 @@ def lifecycle(events: DataFrame, days: int = DORMANT_DAYS) -> DataFrame:
                 if status != "active":
                     out.append(("active", at))
                 status, last = "active", at
-        state.update((status, last.value // 1000))
+        state.update((status, last))
         if status == "active":
-            due = int((last + span).value // 1_000_000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max(-(-(last + span) // 1000), state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame({"key": [key[0]] * len(out), "status": [s for s, _ in out], "at": [t for _, t in out]})
+            yield pd.DataFrame({"key": [key[0]] * len(out), "status": [s for s, _ in out], "micros": [m for _, m in out]})
 
     kind = events.schema["key"].dataType.simpleString()
-    timed = events.filter("at is not null").select("key", F.col("at").cast("timestamp").alias("at")).withWatermark("at", "0 seconds")
-    return timed.groupBy("key").applyInPandasWithState(step, f"key {kind}, status string, at timestamp", "status string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    at = F.col("at").cast("timestamp")
+    timed = events.filter("at is not null").select("key", at.alias("at"), F.unix_micros(at).alias("micros")).withWatermark("at", "0 seconds")
+    changes = timed.groupBy("key").applyInPandasWithState(step, f"key {kind}, status string, micros long", "status string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return changes.select("key", "status", F.timestamp_micros("micros").alias("at"))
 
 
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
