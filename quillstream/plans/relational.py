@@ -62,7 +62,7 @@ q("G18_first_last_seen", "select o_custkey, min(o_orderdate) as first_seen, max(
 q("G19_risk_tier", "select l_orderkey, case when count(*) filter (where l_returnflag <> 'N') = 0 then 'low' when count(*) filter (where l_returnflag = 'R') > 0 then 'high' else 'medium' end as tier from {lineitem} group by l_orderkey")
 q("G23_confidence_histogram", "select case when n_chars > 3000 then 'high' when n_chars > 800 then 'medium' else 'low' end as confidence, count(*) as n from {documents} group by 1")
 q("G24_sidebar_counts", "select count(*) filter (where o_orderstatus = 'O') as open_n, count(*) filter (where o_orderstatus = 'F') as final_n, count(*) filter (where o_orderstatus = 'P') as pending_n from {orders}")
-q("G25_assignments", "select o_custkey, count(*) as n from {orders} group by o_custkey order by n desc, o_custkey limit 50")
+q("G25_assignments", "select o_custkey, count(*) as n from {orders} group by o_custkey order by n desc, o_custkey")
 # --- windows
 GAPS = "(select user_id, event_id, ts, lag(ts) over (partition by user_id order by ts desc nulls last, event_id) as newer from {events}) g"
 q("W1_silence_gap", f"select user_id, event_id, @days(ts, newer) as gap_days from {GAPS} where newer is not null and @days(ts, newer) >= 2")
