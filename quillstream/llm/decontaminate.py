@@ -95,6 +95,11 @@ def _probes(docs: DataFrame, text: str, id_column: str, pick) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The rows of docs that hold no test item."""
-    hits = cut(search(docs, items, text, id_column).select(id_column).distinct())
-    return docs.join(checked_broadcast(hits), id_column, "left_anti").select(*docs.columns)
+    """The rows of docs that hold no test item; a row without id is judged by its own text."""
+    hits = cut(search(docs.filter(F.col(id_column).isNotNull()), items, text, id_column).select(id_column).distinct())
+    known = docs.filter(F.col(id_column).isNotNull()).join(checked_broadcast(hits), id_column, "left_anti")
+    bare = docs.filter(F.col(id_column).isNull())
+    own = F.sha2(text_or_empty(text), 256)
+    held = cut(search(bare.select(own.alias("_own"), F.col(text)).distinct(), items, text, "_own").select("_own").distinct())
+    unknown = bare.withColumn("_own", own).join(checked_broadcast(held), "_own", "left_anti")
+    return known.select(*docs.columns).unionByName(unknown.select(*docs.columns))
