@@ -3,7 +3,7 @@
 Documents become token ids with a closing id. They are ordered by the minimum hash of their token pairs, which brings texts that
 share wording together (copies side by side), and dealt by range into shards of about `shard_tokens` ids; the id breaks ties,
 so a group of copies of any size spreads over as many shards as it needs. Each shard builds a BM25 inverted index of its
-documents. A seed document opens a sequence; the index ranks its unused neighbours, which fill the window greedily;
+documents. A seed document opens a sequence; the index ranks its unused neighbours by all terms they share with it, which fill the window greedily;
 the last one is cut where the window ends and its rest opens the next sequence. Only a shard's last sequence may be
 short; it is cut into sequences of power-of-two length, which need no padding.
 
@@ -26,7 +26,8 @@ from quillstream.llm.tokens import END_ID, encoder
 LENGTH = 2048
 SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
-QUERY_TERMS = 12
+#: Terms in more than this share of a shard's documents keep a weight for each document instead of postings.
+DENSE_SHARE = 1 / 16
 _PAIR = np.random.default_rng(1).integers(0, 1 << 62, (2, 65536), dtype=np.int64)
 
 
@@ -64,21 +65,29 @@ class Bm25:
         df = np.bincount(term, minlength=1)
         idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / max(1.0, float(size.mean()))))
-        # each document's best terms that another document has too
-        shared = df[term] > 1
-        order = np.lexsort((-weight, doc))
-        order = order[shared[order]]
-        d = doc[order]
-        starts = np.searchsorted(d, np.arange(n + 1))
-        self.query = [term[order[starts[i] : min(starts[i + 1], starts[i] + QUERY_TERMS)]] for i in range(n)]
+        # each document's terms that another document has too; the closing id is no term
+        shared = (df[term] > 1) & (term != END_ID)
+        starts = np.searchsorted(doc[shared], np.arange(n + 1))
+        self.query = np.split(term[shared], starts[1:-1])
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange(len(df) + 1))
+        common = np.flatnonzero(df > max(1, n * DENSE_SHARE))
+        self.row = np.full(len(df), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n), np.float32)
+        for r, t in enumerate(common):
+            a, z = self.at[t], self.at[t + 1]
+            self.dense[r, self.doc[a:z]] = self.weight[a:z]
 
     def neighbours(self, seed: int, unused: np.ndarray, k: int = 32) -> np.ndarray:
         """Unused documents with a common term, best first."""
+        terms = self.query[seed]
+        row = self.row[terms]
         score = np.zeros(self.n, np.float32)
-        for t in self.query[seed]:
+        for r in row[row >= 0]:
+            score += self.dense[r]
+        for t in terms[row < 0]:
             a, z = self.at[t], self.at[t + 1]
             score[self.doc[a:z]] += self.weight[a:z]
         score *= unused
