@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all machines share")
     own = getattr(spark, "_quillstream_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="quillstream-")
@@ -66,3 +71,24 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint()
+
+
+def lots(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that few texts at a time become Python objects; gives memory back after the last.
+
+    Workers serve one task after another, so what the allocators keep for one would count for all that follow.
+    """
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system, where the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import lots
+
 BLOCKS = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd nav header footer aside form fieldset table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary center hgroup search dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is raw characters up to their own end tag.
@@ -369,7 +371,7 @@ def extract(pages: DataFrame, html: str = "html", id_column: str = "page_id", ur
     known = model or trained()
 
     def run(batches):
-        for b in batches:
+        for b in lots(batches):
             texts = [extract_text(x, known) for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 

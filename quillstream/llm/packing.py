@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import cut
+from quillstream.llm.common import cut, lots
 from quillstream.llm.tokens import END_ID, encoder
 
 LENGTH = 2048
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 K1, B = 1.2, 0.75
 #: Terms in more than this share of a shard's documents keep a weight for each document instead of postings.
 DENSE_SHARE = 1 / 16
@@ -36,7 +36,7 @@ def tokenized(docs: DataFrame, text: str = "text", id_column: str = "doc_id", vo
 
     def run(batches):
         enc = encoder(vocabulary)
-        for b in batches:
+        for b in lots(batches):
             end = np.array([END_ID], "<u2").tobytes()
             ids = [x + end for x in enc.encode(b.column(1).to_pylist())]
             keys = []

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import lots
+
 # The base patterns and the least lengths of their findings.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -229,7 +231,7 @@ def scan(df: DataFrame, text: str = "text", id_column: str = "doc_id", network:
     line = lambda spans: ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
     def run(batches):
-        for b in batches:
+        for b in lots(batches):
             cols: list[list] = [[] for _ in range(7)]
             for t in b.column(1).to_pylist():
                 base, every, scores = scan_text(t, net)

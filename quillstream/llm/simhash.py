@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import cut, text_or_empty
+from quillstream.llm.common import cut, lots, text_or_empty
 from quillstream.llm.decontaminate import checked_broadcast
 
 SEED = 42
@@ -60,7 +60,7 @@ def fingerprints(df: DataFrame, text: str = "text", id_column: str = "doc_id") -
     """id, fp (the 64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lots(batches):
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps)], ["id", "fp"])
 
@@ -326,7 +326,7 @@ def _bands(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in lots(batches):
         node, n, bands = [], [], []
         for t in b.column(1).to_pylist():
             s = shingle_set(t)
@@ -339,14 +339,14 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in lots(batches):
         sets = [shingle_set(t) for t in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs (a, b, x, y) those whose sets x and y reach the Jaccard threshold."""
-    for batch in batches:
+    for batch in lots(batches):
         close = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)

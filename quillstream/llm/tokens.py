@@ -3,7 +3,7 @@
 Chunks between white space are independent of each other in this tokenizer, so each is encoded once and its
 ids are kept in a bounded cache. New chunks go through a byte-pair encoder over the same merges; texts
 with characters outside the plain Latin range, control characters or markers of special tokens go to the tokenizer
-itself. Both ways give the tokenizer's ids (tests/llm/test_tokens.py compares them).
+itself. Both ways give the tokenizer's ids (test_tokens in tests/llm/test_llm_operators.py compares them).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def _byte_of_letter() -> dict[str, int]:
 class Encoder:
     """encode(texts) gives the ids of each text as little-endian uint16 bytes, without the closing id."""
 
-    def __init__(self, path: str | None = None, cache_entries: int = 500_000):
+    def __init__(self, path: str | None = None, cache_entries: int = 200_000):
         import tiktoken
         from tokenizers import Tokenizer
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import checkpoint_dir, cut
+from quillstream.llm.common import checkpoint_dir, cut, lots
 from quillstream.llm.tokens import END_ID, encoder
 
 LENGTH = 2048
@@ -90,7 +90,7 @@ def sequences(docs: DataFrame, text: str = "text", id_column: str = "doc_id", le
             rows.clear()
             return rb
 
-        for b in batches:
+        for b in lots(batches):
             ids = b.column(0).to_pylist()
             for doc, raw in zip(ids, enc.encode(b.column(1).to_pylist())):
                 rest += raw + end
