@@ -3,22 +3,25 @@
 A window is `WINDOW` (13) consecutive words of one document. Words covered by a window whose word sequence also
 starts in a document with a smaller id are removed.
 
-Every word position starts a suffix. Of a suffix tree only the part down to 13 words decides, so a suffix is kept as its path:
-fingerprints of its first 4, 8 and 13 words, taken in bulk from prefix sums of a polynomial hash over the bytes. Two suffixes
-meet in a node at a depth if their paths agree to it; an internal node at depth 13 is a repeat.
-
-1. Documents are dealt into buckets of a bounded size by a hash of their ids; inside a bucket equal windows are one.
-2. Sieve: the bucket's windows go, four bytes each, to groups by their 4-word prefix; a group tells each bucket which of its
-   windows other buckets may have too. All others are leaves of no deep node and go no further.
-3. Prefix partition: sieved suffixes are counted by 4-word prefix; where a prefix's group would not fit `group_suffixes`, it is split
-   by 8-word prefixes, so groups have prefixes of variable length and a bounded size. Each group sorts its paths, which
-   lays the leaves of every subtree side by side, finds the internal nodes of depth 13 and their smallest document.
-4. Buckets apply the answers to their own texts. A passage in any number of documents costs a group one suffix a bucket.
-
-Paths agree by chance only if 64 bits agree among windows with the same eight first words, or over 100 bits otherwise.
+Every word position starts a suffix; of its path in the suffix tree the first 13 words decide. Two suffixes that agree in 13
+words meet in an internal node at least that deep, and following a document's windows that end in such nodes gives its
+maximal repeats, which `spans` returns.
+
+1. Documents are dealt into buckets of a bounded size. A bucket numbers its words, finds its equal windows word for word and
+   keeps one suffix of each, with the least id of its documents, so a passage in any number of documents is one suffix a bucket.
+2. Sieve: a bucket's windows go, four hash bytes each, to slots by their leading hash bits, which are uniform; a slot
+   tells each bucket which of its windows other buckets may have too. All others are leaves without a deep node above.
+   A chance agreement of hashes lets a suffix pass for nothing; it never joins two.
+3. Prefix partition: sieved suffixes, as words, go to groups by their first 4 words. Where a group would exceed
+   `group_suffixes`, it is split by the first 8 words, or by all 13 where one 8-word prefix alone would exceed it, so
+   prefixes have variable length. Which groups those are is estimated from the sieved suffixes of `SAMPLED` buckets (the
+   bound of the sample): that decides how groups are cut, never what is found.
+   Each group sorts its suffixes; neighbours that agree in all 13 words are the leaves of one deep node.
+4. Buckets apply the answers to their own texts.
 
 Defined results: null or empty texts have no words; texts under 13 words lose nothing; rows that repeat an id never remove
-each other's words; an empty table gives an empty result.
+each other's words; a row without id comes after all others, and such rows don't remove each other's words; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,18 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import cut, release
+from quillstream.llm.common import cut, give_back, release
 
 WINDOW = 13
 PREFIXES = (4, 8)
 BUCKET_BYTES = 8_000_000
-GROUP_SUFFIXES = 4_000_000
+GROUP_SUFFIXES = 400_000
+SLOT_WINDOWS = 1_000_000
+SAMPLED = 4
+SEED = 13
+#: The place of rows without id.
+LAST = np.iinfo(np.int64).max
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-#: A random odd-free table from a fixed seed: what each byte counts in the polynomial.
-_BYTE = np.random.default_rng(13).integers(0, 1 << 64, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = []
+_BASE = _U(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,75 +55,107 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
-
-
 def normal(text: str | None) -> bytes:
     """Words (runs without ASCII white space) joined by single spaces."""
     return b" ".join((text or "").encode().split())
 
 
-class Paths:
-    """Suffix paths of some documents' texts: for each window its word index, document row and fingerprints."""
-
-    def __init__(self, texts: list[bytes], window: int = WINDOW):
-        self.n_words = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
-        at, doc, h4, h8, h13, first = [], [], [], [], [], 0
-        k, n = 0, len(texts)
-        while k < n:  # about 1 MB at a time
-            j, size = k, 0
-            while j < n and (j == k or size + len(texts[j]) < 1_000_000):
-                size += len(texts[j])
-                j += 1
-            lot = [t for t in texts[k:j] if t]
-            if lot:
-                d = np.repeat(np.arange(k, j), self.n_words[k:j])
-                buf = np.frombuffer(b" ".join(lot) + b" ", np.uint8)
-                end = np.flatnonzero(buf == 32)
-                start = np.r_[0, end[:-1] + 1]
-                if len(end) >= window:
-                    ok = np.flatnonzero(d[: len(d) - window + 1] == d[window - 1 :])
-                    up, down = _power_tables(len(buf) + 1)
-                    sums = np.zeros(len(buf) + 1, np.uint64)
-                    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-                    s = start[ok]
-                    for words, out in ((PREFIXES[0], h4), (PREFIXES[1], h8), (window, h13)):
-                        e = end[ok + words - 1]
-                        out.append(_mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
-                    at.append(ok + first)
-                    doc.append(d[ok])
-                first += len(end)
-            k = j
-        cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        self.at, self.doc = cat(at, np.int64), cat(doc, np.int64)
-        h4, h8, self.h13 = cat(h4, np.uint64), cat(h8, np.uint64), cat(h13, np.uint64)
-        #: 32 bits of each prefix's fingerprint: the path above depth 13.
-        self.prefix = (h4 & _U(0xFFFFFFFF00000000)) | (h8 >> _U(32))
-
-
-def _slots(prefix: np.ndarray, bits: int) -> np.ndarray:
-    return (prefix >> _U(64 - bits)).astype(np.int64)
-
-
-def _sieve_keys(p: Paths, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct (slot, 32 bits of the window's fingerprint) as one number, and the windows' places among them."""
-    key = (_slots(p.prefix, bits).astype(np.uint64) << _U(32)) | (p.h13 >> _U(32))
-    return np.unique(key, return_inverse=True)
-
-
-def _unpacked(t: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+class _Numbers(dict):
+    """Numbers its keys from 0 as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Suffixes:
+    """The windows of a bucket's texts in classes of equal word sequences, numbered by their hashes.
+
+    n_words: of each text; at, doc: word and text of each window; of: its class; head: a window of each class; least: the
+    smallest of `ids` among its texts; h4, h8, h13: hashes of each class's first words.
+    """
+
+    def __init__(self, texts: list[bytes], ids: np.ndarray, window: int = WINDOW):
+        from xxhash import xxh64_intdigest
+
+        numbers = _Numbers()
+        parts = [np.fromiter(map(numbers.__getitem__, t.split(b" ")), np.int32) if t else np.empty(0, np.int32) for t in texts]
+        self.n_words = np.array([len(x) for x in parts], np.int64)
+        word = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        del parts
+        owner = np.repeat(np.arange(len(texts)), self.n_words)
+        self.first_word = np.cumsum(self.n_words) - self.n_words
+        if len(word) >= window:
+            self.at = np.flatnonzero(owner[: len(owner) - window + 1] == owner[window - 1 :])
+        else:
+            self.at = np.empty(0, np.int64)
+        self.doc = owner[self.at]
+        hashed = np.fromiter((xxh64_intdigest(w, SEED) for w in numbers), np.uint64, len(numbers))[word]
+        n = max(0, len(word) - window + 1)
+        h, kept = np.zeros(n, np.uint64), {}
+        for k in range(window):
+            h = h * _BASE + hashed[k : k + n]
+            if k + 1 in (*PREFIXES, window):
+                kept[k + 1] = _mix(h[self.at])
+        order = np.argsort(kept[window], kind="stable")
+        same = kept[window][order]
+        new = np.r_[True, same[1:] != same[:-1]] if len(order) else np.empty(0, bool)
+        new = self._by_words(word, order, new, window)
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        starts = np.flatnonzero(new)
+        self.head = order[starts]
+        self.least = np.minimum.reduceat(ids[self.doc[order]], starts) if len(starts) else np.empty(0, np.int64)
+        self.h4, self.h8, self.h13 = (kept[k][self.head] for k in (*PREFIXES, window))
+
+    def _by_words(self, word: np.ndarray, order: np.ndarray, new: np.ndarray, window: int) -> np.ndarray:
+        """Where classes begin, once windows of equal hashes are compared word for word; `order` is changed where they differ."""
+        head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+        rest = np.flatnonzero(~new)
+        differ = np.zeros(len(rest), bool)
+        a, b = self.at[order[rest]], self.at[head[rest]]
+        for k in range(window):
+            differ |= word[a + k] != word[b + k]
+        for start in np.unique(np.searchsorted(rest, rest[differ])) if differ.any() else ():  # the hash met by chance
+            i = int(np.flatnonzero(new[: rest[start] + 1])[-1])
+            j = int(np.r_[np.flatnonzero(new[i + 1 :]) + i + 1, len(order)][0])
+            key = {int(w): tuple(word[self.at[w] : self.at[w] + window].tolist()) for w in order[i:j]}
+            order[i:j] = sorted(order[i:j].tolist(), key=lambda w: (key[w], w))
+            new[i + 1 : j] = [key[int(x)] != key[int(y)] for x, y in zip(order[i + 1 : j], order[i : j - 1])]
+        return new
+
+    def words(self, texts: list[bytes], classes: np.ndarray, window: int = WINDOW) -> list[bytes]:
+        """The words of some classes, joined by single spaces."""
+        out: list[bytes] = [b""] * len(classes)
+        heads = self.head[classes]
+        by_doc = np.argsort(self.doc[heads], kind="stable")
+        docs = self.doc[heads][by_doc]
+        for i, j in zip(*_parts(docs)):
+            d = int(docs[i])
+            t = texts[d]
+            gap = np.flatnonzero(np.frombuffer(t, np.uint8) == 32)
+            w = self.at[heads[by_doc[i:j]]] - self.first_word[d]
+            start, end = np.r_[0, gap + 1][w].tolist(), np.r_[gap, len(t)][w + window - 1].tolist()
+            for k, a, b in zip(by_doc[i:j].tolist(), start, end):
+                out[k] = t[a:b]
+        return out
+
+
+def _sieve_keys(p: Suffixes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct (slot, 32 hash bits) as one number, and the place of each class among them."""
+    return np.unique(p.h13 >> _U(32 - bits), return_inverse=True)
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, list[bytes], pa.Array]:
+    """Order keys, texts and ids of a bucket, in an order that does not depend on how its rows arrived."""
     import zstandard
 
     d = zstandard.ZstdDecompressor()
-    ids = t.column("id").to_numpy()
+    ids = t.column("id").combine_chunks()
+    keys = ids.fill_null(LAST).to_numpy(zero_copy_only=False)
     texts = [d.decompress(z.as_buffer()) for z in t.column("z")]
-    return ids, texts
+    order = sorted(range(len(texts)), key=lambda i: (keys[i], texts[i]))
+    return keys[order], [texts[i] for i in order], ids.take(pa.array(order, pa.int64()))
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -132,22 +168,17 @@ def _expanded(raw) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def _records(prefix: np.ndarray, h13: np.ndarray, doc: np.ndarray) -> bytes:
-    """Suffixes in ascending order of prefix; documents as byte planes."""
-    planes = doc.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return _squeezed(prefix) + h13.astype("<u8").tobytes() + planes
+def _planes(x: np.ndarray) -> bytes:
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _read_records(raw) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = raw.size // 20
-    b = np.frombuffer(raw, np.uint8)
-    doc = np.ascontiguousarray(b[12 * n :].reshape(8, n).T).view("<i8").ravel()
-    return _expanded(b[: 4 * n].tobytes()), b[4 * n : 12 * n].copy().view("<u8"), doc
+def _from_planes(raw) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
-def _parts(sorted_slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts = np.flatnonzero(np.r_[True, sorted_slots[1:] != sorted_slots[:-1]]) if len(sorted_slots) else np.empty(0, np.int64)
-    return starts, np.r_[starts[1:], len(sorted_slots)]
+def _parts(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.empty(0, np.int64)
+    return starts, np.r_[starts[1:], len(sorted_)].astype(np.int64)
 
 
 def _packed(docs: DataFrame, text: str, id_column: str, buckets: int) -> DataFrame:
@@ -156,33 +187,69 @@ def _packed(docs: DataFrame, text: str, id_column: str, buckets: int) -> DataFra
 
         c = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            z = [c.compress(normal(x)) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], ["bucket", "id", "z"])
+            for k in range(0, b.num_rows, 1000):
+                part = b.slice(k, 1000)
+                z = [c.compress(normal(x)) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], ["bucket", "id", "z"])
+        give_back()
 
-    bucket = F.pmod(F.xxhash64(F.lit(10), F.col(id_column)), F.lit(buckets)).cast("int").alias("bucket")
+    bucket = F.pmod(F.xxhash64(F.lit(10), F.col(id_column), F.col(text)), F.lit(buckets)).cast("int").alias("bucket")
     return docs.select(bucket, F.col(id_column).cast("long").alias("id"), F.col(text)).mapInArrow(pack, "bucket int, id long, z binary")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", window: int = WINDOW, with_text: bool = False, bucket_bytes: int = BUCKET_BYTES, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
-    """Per row: id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, if asked for, kept_text."""
+class _Cuts:
+    """How sieved suffixes are dealt: 2^bits groups by 4-word prefixes; those in `split` in parts, by 8 or by all words."""
+
+    def __init__(self, bits: int, split: dict[int, tuple[int, bool]]):
+        self.bits, self.split = bits, split
+
+    def group(self, h4: np.ndarray) -> np.ndarray:
+        return (h4 >> _U(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, p: Suffixes, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        group = self.group(p.h4[classes])
+        sub = np.zeros(len(group), np.int64)
+        for g, (parts, whole) in self.split.items():
+            own = group == g
+            sub[own] = ((p.h13 if whole else p.h8)[classes[own]] % _U(parts)).astype(np.int64)
+        return group, sub
+
+
+def _flagged(p: Suffixes, answers: pa.Table, bits: int) -> np.ndarray:
+    """Classes that passed the sieve."""
+    keys, place = _sieve_keys(p, bits)
+    s, e = _parts(keys >> _U(32))
+    range_of = dict(zip((keys[s] >> _U(32)).tolist(), zip(s.tolist(), e.tolist())))
+    passed = np.zeros(len(keys), bool)
+    for slot, x in zip(answers.column("slot").to_pylist(), answers.column("flags")):
+        i, j = range_of[slot]
+        passed[i:j] = np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=j - i).astype(bool)
+    return np.flatnonzero(passed[place]) if len(place) else np.empty(0, np.int64)
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", window: int = WINDOW, with_text: bool = False, spans: bool = False, bucket_bytes: int = BUCKET_BYTES, group_suffixes: int = GROUP_SUFFIXES, slot_windows: int = SLOT_WINDOWS) -> DataFrame:
+    """Per row: id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, if asked for, kept_text and
+    spans: the document's maximal repeats (first word, words) whose windows start in a document with a smaller id too."""
+    if window <= max(PREFIXES):
+        raise ValueError(f"window must exceed {max(PREFIXES)} words")
     total = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    bits = int(min(16, max(6, np.ceil(np.log2(max(1, total / 6 / 500_000))))))
+    bits = max(4, int(np.ceil(np.log2(max(1, total / 6 / slot_windows)))))
     packed = _packed(docs, text, id_column, buckets)
 
     def sieve_out(t: pa.Table) -> pa.Table:
-        _, texts = _unpacked(t)
-        keys, _ = _sieve_keys(Paths(texts, window), bits)
+        ids, texts, _ = _unpacked(t)
+        keys, _ = _sieve_keys(Suffixes(texts, ids, window), bits)
         slot = (keys >> _U(32)).astype(np.int64)
         low = keys.astype("<u4")
         s, e = _parts(slot)
         b = t.column("bucket")[0].as_py()
+        give_back()
         return pa.table({"slot": pa.array(slot[s], pa.int32()), "bucket": pa.array([b] * len(s), pa.int32()), "keys": pa.array([_squeezed(low[i:j]) for i, j in zip(s, e)], pa.binary())})
 
     def sieve_in(t: pa.Table) -> pa.Table:
         blobs = [_expanded(x.as_buffer()) for x in t.column("keys")]
-        every = np.concatenate(blobs)
-        values, counts = np.unique(every, return_counts=True)
+        values, counts = np.unique(np.concatenate(blobs), return_counts=True)
         shared = values[counts > 1]
         flags, n = [], []
         for x in blobs:
@@ -191,114 +258,121 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
             n.append(int(f.sum()))
             flags.append(np.packbits(f).tobytes())
         keep = [i for i, c in enumerate(n) if c]
-        return pa.table({"bucket": t.column("bucket").take(pa.array(keep, pa.int32())), "slot": t.column("slot").take(pa.array(keep, pa.int32())), "flags": pa.array([flags[i] for i in keep], pa.binary()), "n": pa.array([n[i] for i in keep], pa.int64())})
+        rows = pa.array(keep, pa.int32())
+        return pa.table({"bucket": t.column("bucket").take(rows), "slot": t.column("slot").take(rows), "flags": pa.array([flags[i] for i in keep], pa.binary()), "n": pa.array([n[i] for i in keep], pa.int64())})
 
-    sieved = packed.groupBy("bucket").applyInArrow(sieve_out, "slot int, bucket int, keys binary").groupBy("slot").applyInArrow(sieve_in, "bucket int, slot int, flags binary, n long")
-    sieved = cut(sieved)
+    sieved = cut(packed.groupBy("bucket").applyInArrow(sieve_out, "slot int, bucket int, keys binary").groupBy("slot").applyInArrow(sieve_in, "bucket int, slot int, flags binary, n long"))
     release(docs.sparkSession)
-    # at most 2^bits rows: into how many groups of longer prefixes a slot is split
-    split = {r["slot"]: -(-r["n"] // group_suffixes) for r in sieved.groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") > group_suffixes).collect()}
+    cuts = _cuts(packed, sieved, buckets, bits, window, group_suffixes)
+
+    def tree_out(t: pa.Table, answers: pa.Table) -> pa.Table:
+        import zstandard
 
-    def tree_out(t: pa.Table, f: pa.Table) -> pa.Table:
-        schema = pa.schema([("slot", pa.int32()), ("sub", pa.int32()), ("bucket", pa.int32()), ("paths", pa.binary())])
-        if not t.num_rows or not f.num_rows:
+        schema = pa.schema([("part", pa.int32()), ("sub", pa.int32()), ("bucket", pa.int32()), ("place", pa.binary()), ("doc", pa.binary()), ("words", pa.binary())])
+        if not t.num_rows or not answers.num_rows:
             return schema.empty_table()
-        ids, texts = _unpacked(t)
-        p = Paths(texts, window)
-        keys, place = _sieve_keys(p, bits)
-        slot = (keys >> _U(32)).astype(np.int64)
-        s, e = _parts(slot)
-        range_of = dict(zip(slot[s].tolist(), zip(s.tolist(), e.tolist())))
-        flagged = np.zeros(len(keys), bool)
-        for k, x in zip(f.column("slot").to_pylist(), f.column("flags")):
-            i, j = range_of[k]
-            flagged[i:j] = np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=j - i).astype(bool)
-        m = flagged[place]
-        prefix, h13, doc = p.prefix[m], p.h13[m], ids[p.doc[m]]
-        sl = _slots(prefix, bits)
-        sub = np.zeros(len(sl), np.int64)
-        for k, parts in split.items():
-            own = sl == k
-            sub[own] = (prefix[own] & _U(0xFFFFFFFF)) % _U(parts)
-        prefix = prefix & _U(0xFFFFFFFF)  # the slot holds what is left of the 4-word prefix
-        order = np.lexsort((doc, h13, prefix, sub, sl))
-        prefix, h13, doc, sl, sub = prefix[order], h13[order], doc[order], sl[order], sub[order]
-        first = np.r_[True, (sl[1:] != sl[:-1]) | (prefix[1:] != prefix[:-1]) | (h13[1:] != h13[:-1])] if len(h13) else np.empty(0, bool)
-        prefix, h13, doc, sl, sub = prefix[first], h13[first], doc[first], sl[first], sub[first]
-        s, e = _parts(sl * (1 << 32) + sub)
-        blobs = [_records(prefix[i:j], h13[i:j], doc[i:j]) for i, j in zip(s, e)]
+        ids, texts, _ = _unpacked(t)
+        p = Suffixes(texts, ids, window)
+        c = _flagged(p, answers, bits)
+        group, sub = cuts(p, c)
+        order = np.lexsort((c, sub, group))
+        c, group, sub = c[order], group[order], sub[order]
+        z = zstandard.ZstdCompressor(level=1)
+        s, e = _parts(group * (1 << 31) + sub)
         b = t.column("bucket")[0].as_py()
-        return pa.table({"slot": pa.array(sl[s], pa.int32()), "sub": pa.array(sub[s], pa.int32()), "bucket": pa.array([b] * len(s), pa.int32()), "paths": pa.array(blobs, pa.binary())}, schema=schema)
+        rows = [(_squeezed(c[i:j]), _planes(p.least[c[i:j]]), z.compress(b"\n".join(p.words(texts, c[i:j], window)))) for i, j in zip(s, e)]
+        out = pa.table({"part": pa.array(group[s], pa.int32()), "sub": pa.array(sub[s], pa.int32()), "bucket": pa.array([b] * len(s), pa.int32()), **{k: pa.array([r[i] for r in rows], pa.binary()) for i, k in enumerate(("place", "doc", "words"))}}, schema=schema)
+        del p, texts
+        give_back()
+        return out
 
     def tree_in(t: pa.Table) -> pa.Table:
-        """The subtree of one prefix group: leaves in path order, nodes of depth 13 with two leaves or more, their least document."""
-        raw = [_read_records(x.as_buffer()) for x in t.column("paths")]
-        src = np.repeat(np.arange(len(raw)), [len(x[0]) for x in raw])
-        prefix, h13, doc = (np.concatenate([x[k] for x in raw]) for k in range(3))
-        order = np.lexsort((doc, h13, prefix))
-        prefix, h13, doc, src = prefix[order], h13[order], doc[order], src[order]
-        new = np.r_[True, (prefix[1:] != prefix[:-1]) | (h13[1:] != h13[:-1])]
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        """The subtrees of one group: suffixes in order, deep nodes with two leaves or more, their least document."""
+        import zstandard
+
+        d = zstandard.ZstdDecompressor()
+        place = [_expanded(x.as_buffer()) for x in t.column("place")]
+        doc = np.concatenate([_from_planes(x.as_buffer()) for x in t.column("doc")])
+        words: list[bytes] = []
+        for x in t.column("words"):
+            words += d.decompress(x.as_buffer()).split(b"\n")
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        in_order = [words[i] for i in order.tolist()]
+        new = np.r_[True, np.fromiter((a != b for a, b in zip(in_order[1:], in_order)), bool, len(in_order) - 1)]
+        least = np.empty(len(order), np.int64)
+        least[order] = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         told = least < doc
-        prefix, h13, least, src = prefix[told], h13[told], least[told], src[told]
-        order = np.argsort(src, kind="stable")  # ascending prefixes within each source
-        prefix, h13, least, src = prefix[order], h13[order], least[order], src[order]
-        s, e = _parts(src)
-        return pa.table({"bucket": t.column("bucket").take(pa.array(src[s], pa.int32())), "slot": t.column("slot").take(pa.array(src[s], pa.int32())), "least": pa.array([_records(prefix[i:j], h13[i:j], least[i:j]) for i, j in zip(s, e)], pa.binary())})
-
-    def apply(t: pa.Table, a: pa.Table) -> pa.Table:
-        ids, texts = _unpacked(t)
-        p = Paths(texts, window)
-        doc = ids[p.doc] if len(p.doc) else np.empty(0, np.int64)
-        order = np.lexsort((doc, p.h13, p.prefix))
-        new = np.r_[True, (p.prefix[order][1:] != p.prefix[order][:-1]) | (p.h13[order][1:] != p.h13[order][:-1])] if len(order) else np.empty(0, bool)
-        heads = order[new]
-        node = np.empty(len(order), np.int64)
-        node[order] = np.cumsum(new) - 1
-        least = doc[heads]
-        if a.num_rows and len(heads):
-            raw = [_read_records(x.as_buffer()) for x in a.column("least")]
-            pre, h, g = (np.concatenate([x[k] for x in raw]) for k in range(3))
-            pre = (np.repeat(a.column("slot").to_numpy().astype(np.uint64), [len(x[0]) for x in raw]) << _U(32)) | pre
-            by = np.lexsort((h, pre))
-            h, g, pre = h[by], g[by], pre[by]
-            short = (_slots(p.prefix, bits).astype(np.uint64) << _U(32)) | (p.prefix & _U(0xFFFFFFFF))
-            pair = np.rec.fromarrays([short[heads], p.h13[heads]])
-            told = np.rec.fromarrays([pre, h])
-            k = _places(pair, told)
-            hit = k >= 0
-            least[hit] = np.minimum(least[hit], g[k[hit]])
+        end = np.cumsum([len(x) for x in place])
+        rows = [(k, x[told[j - len(x) : j]], least[j - len(x) : j][told[j - len(x) : j]]) for k, (x, j) in enumerate(zip(place, end.tolist()))]
+        rows = [r for r in rows if len(r[1])]
+        return pa.table({"bucket": t.column("bucket").take(pa.array([r[0] for r in rows], pa.int32())), "place": pa.array([_squeezed(r[1]) for r in rows], pa.binary()), "least": pa.array([_planes(r[2]) for r in rows], pa.binary())})
+
+    def apply(t: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, texts, ids = _unpacked(t)
+        p = Suffixes(texts, keys, window)
+        least = p.least
+        for x, y in zip(answers.column("place"), answers.column("least")):
+            c = _expanded(x.as_buffer())
+            least[c] = np.minimum(least[c], _from_planes(y.as_buffer()))
         gone = np.zeros(int(p.n_words.sum()), bool)
-        starts = p.at[doc > least[node]] if len(node) else p.at
-        gone[starts] = True
+        gone[p.at[keys[p.doc] > least[p.of]]] = True
         c = np.cumsum(np.r_[np.zeros(window, np.int64), gone.astype(np.int64)])
         covered = c[window:] - c[:-window] > 0
-        bounds = np.r_[0, np.cumsum(p.n_words)]
-        removed = np.add.reduceat(np.r_[covered, False].astype(np.int64), np.minimum(bounds[:-1], len(covered))) * (p.n_words > 0) if len(texts) else bounds[:-1]
-        kept = []
-        for i, raw_text in enumerate(texts):
-            kept.append(raw_text if not removed[i] else b" ".join(compress(raw_text.split(b" "), (~covered[bounds[i] : bounds[i + 1]]).tolist())))
-        cols = {"id": pa.array(ids, pa.int64()), "n_words": pa.array(p.n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
+        first, last = p.first_word.tolist(), (p.first_word + p.n_words).tolist()
+        removed, kept, runs = [], [], []
+        for raw, i, j in zip(texts, first, last):
+            mine = covered[i:j]
+            n = int(mine.sum())
+            removed.append(n)
+            kept.append(raw if not n else b" ".join(compress(raw.split(b" "), (~mine).tolist())))
+            if spans:
+                edge = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8))).reshape(-1, 2)
+                runs.append([{"first": a, "words": b - a} for a, b in edge.tolist()])
+        cols = {"id": ids, "n_words": pa.array(p.n_words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())}
         if with_text:
             cols["kept_text"] = pa.array([x.decode() for x in kept], pa.string())
+        if spans:
+            cols["spans"] = pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())])))
+        del p, texts, kept
+        give_back()
         return pa.table(cols)
 
-    told = packed.groupBy("bucket").cogroup(sieved.select("bucket", "slot", "flags").groupBy("bucket")).applyInArrow(tree_out, "slot int, sub int, bucket int, paths binary").groupBy("slot", "sub").applyInArrow(tree_in, "bucket int, slot int, least binary")
-    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    sent = packed.groupBy("bucket").cogroup(sieved.select("bucket", "slot", "flags").groupBy("bucket")).applyInArrow(tree_out, "part int, sub int, bucket int, place binary, doc binary, words binary")
+    told = sent.groupBy("part", "sub").applyInArrow(tree_in, "bucket int, place binary, least binary")
+    schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text + ", spans array<struct<first: bigint, words: bigint>>" * spans
     return packed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(apply, schema).withColumnRenamed("id", id_column)
 
 
-def _places(wanted: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Place of each pair of `wanted` in `among`, or -1; both are sorted by (first, second)."""
-    n = len(among)
-    order = np.lexsort((np.r_[np.zeros(n, np.int8), np.ones(len(wanted), np.int8)], np.r_[among["f1"], wanted["f1"]], np.r_[among["f0"], wanted["f0"]]))
-    seen = np.where(order < n, order, -1)
-    last = np.maximum.accumulate(np.where(seen >= 0, np.arange(len(order)), -1))
-    out = np.full(len(wanted), -1, np.int64)
-    mine = order >= n
-    k = last[mine]
-    cand = np.where(k >= 0, order[np.maximum(k, 0)], 0)
-    w = order[mine] - n
-    same = (k >= 0) & (among["f0"][cand] == wanted["f0"][w]) & (among["f1"][cand] == wanted["f1"][w])
-    out[w[same]] = cand[same]
-    return out
+def _cuts(packed: DataFrame, sieved: DataFrame, buckets: int, bits: int, window: int, group_suffixes: int) -> _Cuts:
+    """Groups for all sieved suffixes, of about a quarter of group_suffixes each but for hot prefixes, which are looked for in SAMPLED buckets."""
+    n = sieved.agg(F.sum("n")).head()[0] or 0
+    cuts = _Cuts(max(2, int(np.ceil(np.log2(max(1, 4 * n / group_suffixes))))), {})
+    if n <= group_suffixes:
+        return cuts
+    k = min(SAMPLED, buckets)
+    scale = buckets / k
+
+    def count(t: pa.Table, answers: pa.Table) -> pa.Table:
+        out: list[tuple[int, int, int]] = []
+        if t.num_rows and answers.num_rows:
+            ids, texts, _ = _unpacked(t)
+            p = Suffixes(texts, ids, window)
+            c = _flagged(p, answers, bits)
+            group = cuts.group(p.h4[c])
+            order = np.lexsort((p.h8[c], group))
+            g, h = group[order], p.h8[c][order]
+            s, e = _parts(g)
+            for i, j in zip(s, e):
+                if (j - i) * buckets > group_suffixes // 2:  # by this bucket's measure it may be hot
+                    a, b = _parts(h[i:j])
+                    out += [(int(g[i]), 0, int(j - i))] + [(int(g[i]), int(h[i + x].astype(np.int64)), int(y - x)) for x, y in zip(a, b) if (y - x) * buckets > group_suffixes // 2]
+            give_back()
+        cols = list(zip(*out)) or [(), (), ()]
+        return pa.table({"part": pa.array(cols[0], pa.int32()), "h8": pa.array(cols[1], pa.int64()), "n": pa.array(cols[2], pa.int64())})
+
+    some = F.col("bucket") < k
+    counted = packed.filter(some).groupBy("bucket").cogroup(sieved.filter(some).select("bucket", "slot", "flags").groupBy("bucket")).applyInArrow(count, "part int, h8 long, n long")
+    found = counted.groupBy("part", "h8").agg(F.sum("n").alias("n")).filter(F.col("n") * scale > group_suffixes).collect()  # hot prefixes only
+    whole = {r["part"] for r in found if r["h8"]}
+    cuts.split = {r["part"]: (int(-(-2 * r["n"] * scale // group_suffixes)), r["part"] in whole) for r in found if not r["h8"]}
+    return cuts
