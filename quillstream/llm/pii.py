@@ -1,7 +1,9 @@
 """Personal data replaced by surrogates: keyed, of the same type, format, script and gender, distinct and coreferent.
 
-Entities: e-mail addresses, IPv4 addresses, phone numbers, card and account numbers, social-security numbers, IBANs, and persons
-(after a title, or a known given name with a family name). Everything is column expressions over the text.
+Entities: e-mail addresses, IPv4 addresses, phone numbers, card and account numbers, social-security numbers, IBANs, and persons.
+A person is named after a title, by a known given name with a family name, or after words that announce one ("my name is",
+"Dear", "signed"). What a document calls its persons is then looked for in all of it: bare mentions, with another given name
+before a family name, and two capitalised words after "and", "met" and the like. Everything is column expressions over the text.
 
 Numbers go through a keyed Feistel permutation of their digits (an IPv4 address of its 32 bits), so two numbers never share a
 surrogate and one number has the same wherever and however it is written; separators, country codes and the validity of a
@@ -10,18 +12,22 @@ addresses, family names and other given names get a hash-made surrogate of the s
 corpus holds are compared, those that share a surrogate with another or equal a real value (all but the first) are made anew
 until none collides, and the few changed ones are joined to the documents that name them.
 
+The key is the caller's secret: with it the digits' permutation can be undone, without it not.
+
 Defined results: a null text stays null, an empty one empty; texts without entities stay as they are; repeated rows get
-the same surrogates; an empty table gives an empty result; columns of any other name are passed through `replace`.
+the same surrogates, whatever their ids, which are not looked at; an empty table gives an empty result; all other columns,
+whatever their names, are passed through `replace`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import cut, let
+from quillstream.llm.common import cut, fresh, let
 
-KEY = "surrogates"
+#: The setting that holds the secret of the registered queries, and what stands in for it where it is unset, as in tests.
+KEY_SETTING, NO_SECRET = "spark.quillstream.surrogates.key", "not a secret"
 ROUNDS = 6
 #: Rows of changed surrogates up to which they are broadcast.
 BROADCAST_ROWS = 200_000
@@ -41,19 +47,34 @@ TITLES_X = "Dr Prof".split()
 LETTERS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 RANGES = {"cyrillic": r"Ѐ-ӿ", "greek": r"Ͱ-Ͽ"}
 
+# What announces a name, what joins one person to another, and capitalised words that are no names.
+CUES = ["[Mm]y name is", "I am called", "[Nn]ame:", "[Cc]ontact:", "[Aa]ttn:?", "Dear", "Hi", "Hello", "[Ss]igned,?", "[Ss]incerely,", "[Rr]egards,", "[Pp]atient:?", "[Cc]ustomer:?", "[Cc]lient:?", "[Ww]ritten by", "[Aa]uthor:"]
+JOINS = "and met knows told asked with married called und y et".split()
+NO_NAMES = """A After Ask Attn Author Client Contact Dear Hello Hi Name Patient Regards Signed Sincerely Thanks Written Mr Mrs Ms Miss Dr Prof Herr Frau All Also An And As At Because Before But By Can Colleague Colleagues Come Customer Did Do Don Each Even Every
+For Friday Friend Friends From Had Has Have He Her Here His How I If In Is It Its Ladies Last Later Let Madam May Monday My New
+No Not Now Of On One Only Or Other Our Reader Readers Said Saturday She Since Sir Sirs So Some Such Sunday Team Than That The
+Their Then There These They This Those Though Thursday To Today Tuesday Under Until Was We Wednesday Were What When Where Which
+While Who Why Will With Yes Yet You Your""".split()
+
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _TITLE = "|".join([*TITLES_F, *TITLES_M, *TITLES_X])
-_NAME = r"\p{Lu}[\p{L}'’-]*+"
+_NAME = r"\p{Lu}\p{L}*+(?:['’-](?!s\b)\p{L}++)*+"
+_REAL = rf"(?!(?:{'|'.join(NO_NAMES)})\b){_NAME}"
+_CUE = rf"(?<=\b(?:{'|'.join(c.replace('?', '{0,1}') for c in CUES)}) )"
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
 IP = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)(?!\p{L})"
 PHONE = r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 CARD = r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-PERSON = rf"\b(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})"
+PERSON = rf"\b(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})|{_CUE}(?:{_REAL})(?: {_REAL}){{0,2}}"
 ENTITY = "(?U)" + "|".join((EMAIL, IP, SSN, PHONE, CARD, IBAN, PERSON))
 #: What every entity holds: cheap to look for.
-HINT = rf"[0-9@]|\b(?:{_TITLE})\.? \p{{Lu}}|\b(?:{_ALL_GIVEN}) \p{{Lu}}"
+_PERSON_HINT = rf"\b(?:{_TITLE})\.? \p{{Lu}}|\b(?:{_ALL_GIVEN}) \p{{Lu}}|\b(?:{'|'.join(CUES)}) \p{{Lu}}"
+HINT = rf"[0-9@]|{_PERSON_HINT}"
+#: What follows ENTITY where a document names persons: their names, each between quotation marks of the pattern.
+_MORE = rf"|(?<=\b(?:{'|'.join(JOINS)}) ){_REAL} {_REAL}|(?<![\p{{L}}\p{{N}}])(?:{_REAL} )?(?:"
+_MORE_END = r")(?![\p{L}\p{N}])"
 
 
 def _sha(*parts: Column | str) -> Column:
@@ -173,18 +194,24 @@ def kind_of(e: Column) -> Column:
 
 
 def _name_parts(e: Column) -> Column:
-    """The parts of a person entity with what they are: title, known (given name), given or family."""
+    """The parts of a person entity with what they are: title, known (given name) or name."""
     w = F.split(e, " ")
     title = F.get(w, F.lit(0)).rlike(rf"^(?:{_TITLE})\.?$")
     known = lambda x: x.rlike(rf"^(?:{_ALL_GIVEN})$")
-    return F.transform(w, lambda x, i: F.struct(x.alias("w"), F.when((i == 0) & title, F.lit("title")).when(known(x), F.lit("known")).when(i == F.size(w) - 1, F.lit("family")).otherwise(F.lit("given")).alias("k")))
+    kind = lambda x, i: F.when((i == 0) & title, F.lit("title")).when(known(x), F.lit("known")).otherwise(F.lit("name"))
+    return F.transform(w, lambda x, i: F.struct(x.alias("w"), kind(x, i).alias("k")))
+
+
+_PAIRS = "array<struct<kind:string,canon:string>>"
 
 
 def checked_values(entities: Column) -> Column:
     """(kind, canon) of all that gets a hash-made surrogate, of an array of entities."""
     one = lambda k, c: F.array(F.struct(k.alias("kind"), c.alias("canon")))
-    parts = lambda e: F.transform(F.filter(_name_parts(e), lambda p: p["k"].isin("family", "given")), lambda p: F.struct(p["k"].alias("kind"), F.lower(p["w"]).alias("canon")))
-    return F.flatten(F.transform(entities, lambda e: F.when(F.instr(e, "@") > 0, one(F.lit("email"), F.lower(e))).when(kind_of(e) == "person", parts(e)).otherwise(F.array().cast("array<struct<kind:string,canon:string>>"))))
+    pair = lambda p: F.struct(p["k"].alias("kind"), F.lower(p["w"]).alias("canon"))
+    parts = lambda e: F.transform(F.filter(_name_parts(e), lambda p: p["k"] == "name"), pair)
+    values = lambda e: F.when(F.instr(e, "@") > 0, one(F.lit("email"), F.lower(e))).when(kind_of(e) == "person", parts(e)).otherwise(F.array().cast(_PAIRS))
+    return F.flatten(F.transform(entities, values))
 
 
 def surrogate(e: Column, changed: Column, key: str) -> Column:
@@ -197,7 +224,25 @@ def surrogate(e: Column, changed: Column, key: str) -> Column:
 
 
 def entities(text: Column) -> Column:
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """Struct of the text's entities `e`, in order, and the pattern `p` that finds them (null: ENTITY alone)."""
+
+    def with_names(first: Column) -> Column:
+        persons = F.filter(first, lambda e: kind_of(e) == "person")
+        parts = F.filter(F.flatten(F.transform(persons, _name_parts)), lambda p: (p["k"] != "title") & (F.length(p["w"]) > 1))
+        names = F.array_distinct(F.transform(parts, lambda p: p["w"]))
+        return let(names, lambda n: F.when(F.size(n) > 0, F.concat(F.lit(ENTITY + _MORE), F.array_join(F.transform(n, lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), "|"), F.lit(_MORE_END))))
+
+    def found(first: Column) -> Column:
+        again = lambda p: F.struct(F.when(p.isNull(), first).otherwise(F.regexp_extract_all(text, p, F.lit(0))).alias("e"), p.alias("p"))
+        return let(F.when(text.rlike(f"(?U){_PERSON_HINT}"), with_names(first)), again)
+
+    none = F.array().cast("array<string>")
+    return let(F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none), found)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The secret in the session's setting; a constant that protects nothing where it is unset."""
+    return spark.conf.get(KEY_SETTING, NO_SECRET)
 
 
 def collisions(values: DataFrame, key: str, max_rounds: int = 30) -> DataFrame:
@@ -215,29 +260,40 @@ def collisions(values: DataFrame, key: str, max_rounds: int = 30) -> DataFrame:
     raise RuntimeError("collisions: surrogates still collide after max_rounds rounds")
 
 
-def replace(docs: DataFrame, text: str = "text", id_column: str = "doc_id", key: str = KEY, counts: bool = False) -> DataFrame:
-    """docs with surrogates in its text column; with counts also n_entities and kinds (of the entities, in order)."""
-    found = docs.withColumn("_e", entities(F.col(text)))
-    has_names = F.coalesce(F.col(text).rlike(rf"@|\b(?:{_TITLE})\.? \p{{Lu}}|\b(?:{_ALL_GIVEN}) \p{{Lu}}"), F.lit(False))
-    named = docs.filter(has_names)
-    values = named.select(F.explode_outer(checked_values(entities(F.col(text)))).alias("_v")).select("_v.kind", "_v.canon").filter("canon is not null")
-    changed = cut(collisions(values, key))
+def replace(docs: DataFrame, key: str, text: str = "text", counts: bool = False) -> DataFrame:
+    """docs with surrogates, keyed by the caller's secret, in its text column; with counts also n_entities and kinds (of the entities, in order)."""
+    own = fresh(docs, "_pii")
+    named = docs.select(F.col(text).alias("t")).filter(F.coalesce(F.col("t").rlike(f"(?U)@|{_PERSON_HINT}"), F.lit(False)))
+    values = named.select(F.xxhash64("t").alias("text_hash"), F.explode_outer(checked_values(entities(F.col("t"))["e"])).alias("v"))
+    values = values.select("text_hash", "v.kind", "v.canon").filter("canon is not null")
+    changed = cut(collisions(values.select("kind", "canon"), key))
     maps = "map<string,string>"
+    # bound by a lambda, so that the optimizer does not put the search for entities into each column that reads it
+    once = lambda m: let(F.struct(entities(F.col(text)).alias("f"), m.alias("m")), lambda x: x)
     if changed.isEmpty():
-        found = found.withColumn("_c", F.array().cast(f"array<{maps}>"))
+        rows = docs.withColumn(own, once(F.lit(None).cast(maps)))
     else:
-        who = named.select(F.col(id_column).alias("_id"), F.explode_outer(checked_values(entities(F.col(text)))).alias("_v")).select("_id", "_v.*").distinct()
-        per = who.join(changed, ["kind", "canon"]).groupBy("_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "canon").alias("k"), F.col("new").alias("v")))).alias("_m"))
-        per = cut(per)
-        joined = lambda rows, maps_: rows.join(maps_, rows[id_column].eqNullSafe(maps_["_id"]), "left").drop("_id")
+        entry = F.struct(F.concat_ws(":", "kind", "canon").alias("k"), F.col("new").alias("v"))
+        per = values.distinct().join(changed, ["kind", "canon"]).groupBy("text_hash").agg(F.map_from_entries(F.collect_set(entry)).alias("m"))
+        per = cut(per.select(F.struct("text_hash", "m").alias(fresh(docs, "_map"))))
+        known = per[per.columns[0]]
+        hashed = F.xxhash64(docs[text])
+        joined = lambda rows, side: rows.join(side, hashed == known["text_hash"], "left")
         if per.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            found = joined(found, F.broadcast(per))
-        else:  # only documents that name someone or hold an address are dealt by id
-            found = joined(found.filter(has_names), per).unionByName(found.filter(~has_names).withColumn("_m", F.lit(None).cast(maps)))
-        found = found.withColumn("_c", F.when(F.col("_m").isNotNull(), F.array("_m")).otherwise(F.array().cast(f"array<{maps}>"))).drop("_m")
-    gaps = F.split(F.col(text), ENTITY, -1)
-    new = lambda e: F.transform(e, lambda x: surrogate(x, F.col("_c"), key))
-    filled = let(F.struct(gaps.alias("g"), new(F.col("_e")).alias("s")), lambda x: F.array_join(F.transform(x["g"], lambda g, i: F.concat(g, F.coalesce(F.get(x["s"], i), F.lit("")))), ""))
-    out = found.withColumn(text, F.when(F.size("_e") > 0, filled).otherwise(F.col(text)))
-    extra = [F.size("_e").cast("long").alias("n_entities"), F.array_join(F.transform("_e", kind_of), ",").alias("kinds")] if counts else []
-    return out.select(*docs.columns, *extra)
+            rows = joined(docs, F.broadcast(per))
+        else:
+            rows = joined(docs, per)
+        rows = rows.withColumn(own, once(known["m"]))
+
+    def filled(x: Column) -> Column:
+        """The text between entities, with surrogates in their places."""
+        f = x["f"]
+        changed_here = F.when(x["m"].isNotNull(), F.array(x["m"])).otherwise(F.array().cast(f"array<{maps}>"))
+        parts = F.struct(F.split(F.col(text), F.coalesce(f["p"], F.lit(ENTITY)), -1).alias("g"), F.transform(f["e"], lambda e: surrogate(e, changed_here, key)).alias("s"))
+        joined = lambda y: F.array_join(F.transform(y["g"], lambda g, i: F.concat(g, F.coalesce(F.get(y["s"], i), F.lit("")))), "")
+        return F.when(F.size(f["e"]) > 0, let(parts, joined)).otherwise(F.col(text))
+
+    found_here = F.col(f"{own}.f.e")
+    out = [let(F.col(own), filled).alias(c) if c == text else docs[c] for c in docs.columns]
+    extra = [F.size(found_here).cast("long").alias("n_entities"), F.array_join(F.transform(found_here, kind_of), ",").alias("kinds")] if counts else []
+    return rows.select(*out, *extra)

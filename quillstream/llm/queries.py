@@ -11,7 +11,7 @@ from quillstream.llm.common import table
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure_quality(table(spark, sf_dir, "documents"))
+    return quality.measure_quality(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op1_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace(docs, counts=True)
+    return pii.replace(docs, pii.session_key(spark), counts=True)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
