@@ -45,6 +45,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a temporary folder of our own only where it is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

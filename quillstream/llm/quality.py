@@ -1,23 +1,22 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has an expression that is true where a text fails. A bounded sample gives each rule's cost (seconds to
+Each rule has an expression that is true where a text fails. A bounded sample gives each rule's cost (time to
 evaluate it) and selectivity (share that it rejects); the cascade then asks the rules by falling rejection per cost
 and stops at the first that fails. The order changes what is computed, never the verdict.
 
 Defined results: a null or empty text has no words and fails the length rule; an empty table gives an empty result;
-repeated rows are judged each for itself; columns of any other name are passed through `cascade` untouched.
+rows that repeat an id, or have none, are judged each for itself; columns of any other name pass `cascade` untouched.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import let, text_or_empty, words
+from quillstream.llm.common import fresh, let, text_or_empty, words
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -67,8 +66,15 @@ def _span(starts: Column) -> Column:
 
 
 def _exactly(w: Column, n: Column) -> Column:
-    windows = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return F.transform(F.array(windows), lambda t: _span(F.filter(F.sequence(F.lit(0), n - 3), lambda i: F.size(F.filter(t, lambda x: x == F.get(t, i))) > 1)))[0]
+    """The same from the windows' words: sorted, equal windows are neighbours."""
+    window = lambda i: F.struct(F.concat_ws(" ", *[F.get(w, i + k) for k in range(3)]).alias("g"), i.alias("i"))
+
+    def found(s: Column) -> Column:
+        twin = lambda k: F.get(s, k)["g"] == F.get(s, k - 1)["g"]
+        pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size(s) - 1), twin), lambda k: F.array(F.get(s, k)["i"], F.get(s, k - 1)["i"]))
+        return _span(F.sort_array(F.array_distinct(F.flatten(pairs))))
+
+    return let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window)), found)
 
 
 def repeated_lines(text: Column) -> Column:
@@ -126,53 +132,71 @@ def verdict(order: list[Rule], value: Callable[[str], Column]) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def rule_order(df: DataFrame, text: str = "text", id_column: str = "doc_id", sample_rows: int = 2000, rules=RULES, clock=time.perf_counter) -> list[tuple[Rule, float, float]]:
-    """Rules with seconds and rejected share on a hash sample of about sample_rows rows (the bound), best rejection per cost first.
+def rule_order(df: DataFrame, text: str = "text", id_column: str = "doc_id", sample_rows: int = 2000, rules=RULES) -> list[tuple[Rule, float, float]]:
+    """Rules with their cost (median nanoseconds a text) and rejected share on a sample, best rejection per cost first.
 
-    Only ids are read to choose the sample; it is written to the checkpoint folder, so that each rule's time is the rule's own.
+    The sample (sample_rows rows, the bound) is read by the ids of the table's first rows: only the id column is looked
+    through for it, and the reader skips row groups without them. One job asks each of its texts every rule and reads
+    the clock in between. A table without ids is asked in the given order.
     """
-    from quillstream.llm.common import cut
-
-    n = df.count()
-    share = min(1.0, sample_rows / max(1, n))
-    keep = F.abs(F.xxhash64(F.col(id_column)) % 1_000_000) < int(share * 1_000_000) + (share == 1.0)
-    sample = cut(df.filter(keep).select(id_column, text))
-
-    def spent(fails: Callable) -> tuple[float, int]:
-        began = clock()
-        column = over_words(text, lambda t, w: fails(measures(t, w).__getitem__))
-        row = sample.agg(F.count(F.when(column, 1)).alias("rejected"), F.count(F.lit(1)).alias("n")).head()
-        return clock() - began, row["rejected"] / max(1, row["n"])
-
-    nothing = lambda m: m("n_words") < 0
-    spent(nothing)  # warms up code and files
-    base = spent(nothing)[0]
-    found = []
-    for rule in rules:
-        seconds, rejected = spent(rule.fails)
-        found.append((rule, max(1e-3, seconds - base), rejected))
+    ids = [r[0] for r in df.select(id_column).filter(F.col(id_column).isNotNull()).head(sample_rows)]
+    if not ids:
+        return [(rule, 1.0, 0.0) for rule in rules]
+    sample = df.select(id_column, text).filter(F.col(id_column).isin(ids)).limit(sample_rows)
+    clock = lambda: F.reflect(F.lit("java.lang.System"), F.lit("nanoTime")).cast("long")
+    asked = [clock().alias("t0"), over_words(text, lambda t, w: F.size(w) < 0).alias("f0"), clock().alias("t1")]
+    for k, rule in enumerate(rules, 1):
+        asked += [over_words(text, lambda t, w, r=rule: r.fails(_lazy(t, w))).alias(f"f{k}"), clock().alias(f"t{k + 1}")]
+    spent = lambda k: F.percentile_approx(F.col(f"t{k + 1}") - F.col(f"t{k}"), 0.5)
+    columns = [c for k in range(len(rules) + 1) for c in (spent(k).alias(f"cost{k}"), F.avg(F.col(f"f{k}").cast("double")).alias(f"share{k}"))]
+    row = sample.select(*asked).agg(*columns).head()
+    base = row["cost0"] or 0  # the splitting into words, which all rules share
+    found = [(rule, max(1.0, float((row[f"cost{k}"] or 0) - base)), row[f"share{k}"] or 0.0) for k, rule in enumerate(rules, 1)]
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1], x[0].name))
 
 
-def cascade(df: DataFrame, order: list[Rule], text: str = "text") -> DataFrame:
-    """Adds _rejected_by: the first rule in this order that fails, else null."""
-    return df.withColumn("_rejected_by", over_words(text, lambda t, w: verdict(order, measures(t, w).__getitem__)))
+def _lazy(t: Column, w: Column) -> Callable[[str], Column]:
+    """Measures by name; each is computed only where a rule that is asked needs it."""
+    return measures(t, w).__getitem__
+
+
+def cascade(df: DataFrame, order: list[Rule], text: str = "text", into: str = "rejected_by") -> DataFrame:
+    """Adds `into`: the first rule in this order that fails, else null; raises ValueError if df has such a column."""
+    if fresh(df, into) != into:
+        raise ValueError(f"column {into} is taken")
+    return df.withColumn(into, over_words(text, lambda t, w: verdict(order, _lazy(t, w))))
 
 
 def filter_quality(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The rows that no rule rejects, with df's own columns."""
     order = [rule for rule, _, _ in rule_order(df, text, id_column)]
-    return cascade(df, order, text).filter(F.col("_rejected_by").isNull()).select(*df.columns)
+    into = fresh(df, "rejected_by")
+    return cascade(df, order, text, into).filter(F.col(into).isNull()).select(*[df[c] for c in df.columns])
+
+
+#: The measures that measure_quality returns, needed for every row.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def measure_quality(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Per row: the base measures, base_failed and kept.
+    """Per row: the base measures, base_failed, kept and rejected_by.
 
-    The measures are needed for every row here, so they are computed once and the cascade reads them as columns.
+    The base measures are returned for every row, so they are computed once and the rules on them read the results; the
+    cascade asks in the sampled order, and what only its other rules need is computed where it gets to them.
     """
     order = [rule for rule, _, _ in rule_order(df, text, id_column)]
-    every = over_words(text, lambda t, w: F.struct(*[c.alias(k) for k, c in measures(t, w).items()]))
-    m = df.select(id_column, every.alias("_m")).select(id_column, "_m.*")
     base = {r.name: r for r in RULES}
-    failed = base["few_words"].fails(F.col) | base["repetitive"].fails(F.col)
-    return m.withColumn("rejected_by", verdict(order, F.col)).select(id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+    def judged(t: Column, w: Column) -> Column:
+        lazy = measures(t, w)
+
+        def told(m: Column) -> Column:
+            value = lambda k: m[k] if k in BASE else lazy[k]
+            failed = base["few_words"].fails(value) | base["repetitive"].fails(value)
+            return F.struct(m.alias("m"), failed.alias("base_failed"), verdict(order, value).alias("rejected_by"))
+
+        return let(F.struct(*[lazy[k].alias(k) for k in BASE]), told)
+
+    rows = df.select(F.col(id_column).alias("id"), over_words(text, judged).alias("j"))
+    measured = [F.col(f"j.m.{k}").alias(k) for k in BASE]
+    return rows.select(F.col("id").alias(id_column), *measured, F.col("j.base_failed").alias("base_failed"), F.col("j.rejected_by").isNull().alias("kept"), F.col("j.rejected_by").alias("rejected_by"))
