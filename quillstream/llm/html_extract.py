@@ -18,6 +18,8 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,7 +38,11 @@ SILENT = frozenset("script style textarea title iframe noembed noframes head tem
 CLOSES_P = BLOCKS - {"html", "body"}
 #: An opening tag ends an open element of these names, within the given scope.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Open elements beyond this depth are not nested any deeper, as in browsers; their text stays.
+DEPTH = 512
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: Attributes up to the tag's end or an opening quotation mark without its partner; every character is passed once.
+ATTRS = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+""")
 ATTR = re.compile(r"""(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -53,12 +59,93 @@ class Node:
         self.chars = self.links = self.stops = 0
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", name, attributes) of tags, comments and the like (with an empty name) in page order.
+
+    Every step goes on where the last one ended, so the time is linear in the page; a tag, comment or section without an
+    end is text from there on or lasts to the page's end.
+    """
+    at, n = 0, len(page)
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = n if end < 0 else end + 3
+            yield start, at, "", "", ""
+        elif page.startswith("![CDATA[", at):
+            end = page.find("]]>", at)
+            at = n if end < 0 else end + 3
+            yield start, at, "", "", ""
+        elif page[at : at + 1] in ("!", "?"):
+            end = page.find(">", at)
+            at = n if end < 0 else end + 1
+            yield start, at, "", "", ""
+        elif m := NAME.match(page, at):
+            end = ATTRS.match(page, m.end()).end()
+            if page[end : end + 1] != ">":
+                end = page.find(">", end)
+                if end < 0:
+                    return
+            at = end + 1
+            name = m[2].lower()
+            if name in RAW and not m[1] and page[end - 1] != "/":
+                close = re.compile(rf"</{re.escape(name)}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
+                at = close.end() if close else n
+                yield start, at, "", "", ""
+            else:
+                yield start, at, m[1], name, page[m.end() : end]
+
+
+class _Open:
+    """The open elements: names with the block they belong to, how many of each name, and the blocks among them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("html", 0)]
+        self.blocks = [0]
+        self.count = Counter(["html"])
+        #: Per table, article and body that is open: its place and the inline names opened since.
+        self.scopes: list[tuple[int, Counter]] = [(0, Counter())]
+
+    def push(self, name: str, block: int) -> None:
+        if name in BLOCKS:
+            self.blocks.append(len(self.stack))
+        if name in ("table", "article", "body"):
+            self.scopes.append((len(self.stack), Counter()))
+        self.scopes[-1][1][name] += 1
+        self.count[name] += 1
+        self.stack.append((name, block))
+
+    def pop_from(self, k: int) -> list[str]:
+        """Ends the elements from number k on; their names."""
+        names = [name for name, _ in self.stack[k:]]
+        del self.stack[k:]
+        while self.blocks[-1] >= k:
+            self.blocks.pop()
+        while self.scopes[-1][0] >= k:
+            self.scopes.pop()
+        count, scope = self.count, self.scopes[-1][1]
+        for name in names:
+            count[name] -= 1
+            scope[name] -= 1
+        return names
+
+    def last(self, names: frozenset[str] | set[str], stop: frozenset[str] | set[str] = frozenset()) -> int:
+        """Number of the innermost element of these names, 0 if there is none or one of `stop` comes first."""
+        if any(self.count[x] > 0 for x in names):
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k][0] in names:
+                    return k
+                if self.stack[k][0] in stop:
+                    break
+        return 0
+
+
 def parse(page: str | None) -> tuple[list[Node], list[tuple[int, list[str]]]]:
     """Block nodes, parents first, and text runs (node, pieces) in page order. Node 0 is the page."""
     page = page or ""
     nodes = [Node("html", (), -1, None, 0)]
     runs: list[tuple[int, list[str]]] = []
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements: name, block they belong to
+    opened = _Open()
     silent = links = 0
     fresh = True  # a block boundary was passed since the last text
 
@@ -66,7 +153,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, list[str]]]]:
         nonlocal fresh
         if silent or not raw:
             return
-        at = stack[-1][1]
+        at = opened.stack[-1][1]
         text = _html.unescape(raw) if "&" in raw else raw
         if fresh or not runs or runs[-1][0] != at:
             if text.isspace():
@@ -83,77 +170,57 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, list[str]]]]:
     def close(k: int) -> None:
         """Ends the open elements from number k on."""
         nonlocal silent, links, fresh
-        for name, _ in stack[k:]:
+        for name in opened.pop_from(k):
             silent -= name in SILENT
             links -= name == "a"
             fresh |= name in BLOCKS
-        del stack[k:]
 
-    at, n = 0, len(page)
-    for m in iter(lambda: TAG.search(page, at), None):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if stack[k][0] in ("table", "article", "body") and name not in BLOCKS:
-                    break
-            continue
-        if name == "br" or name == "hr":
-            if name == "hr":
-                fresh = True
-            else:
-                say(" ") if not fresh else None
-            continue
-        if name in VOID:
-            continue
-        if name in ("html", "body"):
-            if name == "body":
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "head":
-                        close(k)
-                        break
-                if not any(s[0] == "body" for s in stack):
-                    nodes.append(_node("body", m[3], 0, len(nodes)))
-                    stack.append(("body", len(nodes) - 1))
-            elif m[3]:
-                nodes[0].cues = _node("html", m[3], -1, 0).cues
-            continue
-        if name in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-        if name in ENDS:
-            ends, scope = ENDS[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in scope:
-                    break
-                if stack[k][0] in ends:
-                    close(k)
-        if name in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if name in BLOCKS:
-            nodes.append(_node(name, m[3], stack[-1][1], len(nodes)))
-            stack.append((name, len(nodes) - 1))
+    def block(name: str, attrs: str) -> None:
+        nonlocal fresh
+        fresh = True
+        if len(opened.stack) < DEPTH:
+            nodes.append(_node(name, attrs, opened.stack[-1][1], len(nodes)))
+            opened.push(name, len(nodes) - 1)
+
+    done = 0
+    for start, end, slash, name, attrs in tags(page):
+        if start > done:
+            say(page[done:start])
+        done = end
+        if slash:
+            if name in BLOCKS:
+                k = opened.last({name})
+            else:  # an inline end tag does not reach out of a table, article or body
+                k = opened.last({name}) if opened.scopes[-1][1][name] > 0 else 0
+            if k:
+                close(k)
+        elif name == "hr":
             fresh = True
-        elif not m[3].endswith("/"):
-            stack.append((name, stack[-1][1]))
-            silent += name in SILENT
-            links += name == "a"
-    if at < n:
-        say(page[at:])
+        elif name == "br":
+            if not fresh:
+                say(" ")
+        elif name == "html":
+            if attrs:
+                nodes[0].cues = _node("html", attrs, -1, 0).cues
+        elif name == "body":
+            if k := opened.last({"head"}):
+                close(k)
+            if opened.count["body"] <= 0:
+                block("body", attrs)
+        elif name and name not in VOID:
+            if name in CLOSES_P and opened.stack[opened.blocks[-1]][0] == "p":
+                close(opened.blocks[-1])
+            if name in ENDS:
+                ends, scope = ENDS[name]
+                while k := opened.last(ends, scope):
+                    close(k)
+            if name in BLOCKS:
+                block(name, attrs)
+            elif not attrs.endswith("/") and (name in SILENT or name == "a" or len(opened.stack) < DEPTH):
+                opened.push(name, opened.stack[-1][1])
+                silent += name in SILENT
+                links += name == "a"
+    say(page[done:])
     return nodes, runs
 
 
