@@ -6,12 +6,16 @@ keyed Feistel permutation over the next even power of two, walked along its cycl
 that place a global slot: a bijection, computed for each sequence on its own, without a sort of random numbers.
 
 Slots are dealt by range: shard s holds slots [s * per_shard, (s + 1) * per_shard) and is one file, slot after slot, each
-2 * length bytes, so slot k of a shard starts at byte 2 * length * k and a reader resumes anywhere. A file is written under a
-name of its own attempt and moved into place when whole, so a task that runs twice or is lost half-way leaves no partial shard;
-shards that are already whole are kept when `resume` is set. manifest.json holds what a reader needs.
-
-Defined results: a null or empty text is its closing id alone; repeated rows are written each; an empty table gives no slot
-and no shard. Paths may be of any file system that pyarrow opens by URI.
+2 * length bytes, so slot k of a shard starts at byte 2 * length * k and a reader resumes anywhere. A partition is a range of
+whole shards whose rows come sorted by slot and are written as they come, so a task holds one batch of them whatever a shard's
+size. A file is written under a name of its own attempt and moved into place when whole, so a task that runs twice or is lost
+half-way leaves no partial shard; a failed attempt removes its file, and what lost ones left goes when the next run begins. With
+`resume`, a shard that is there already is compared with its rows, slot by slot: it stays if all are equal, else it is written
+anew from the first that differs. manifest.json holds what a reader needs.
+
+Defined results: a null or empty text is its closing id alone; repeated rows, and rows that repeat an id or have none, are
+written each; the stream follows the table's own order; an empty table gives no slot and no shard. Paths may be of any file
+system that pyarrow opens by URI; one run at a time writes to a path.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +39,9 @@ PAD = 0
 PER_SHARD = 4096
 KEY = "training-order"
 ROUNDS = 6
+#: Partitions of the shuffle by range; beyond so many shards, a partition takes several.
+MAX_PARTITIONS = 20_000
+UNFINISHED = ".unfinished"
 
 
 class Feistel:
@@ -126,6 +134,9 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", id_column: str
     schema = "slot long, sequence long, shard int, row int, n_tokens long, doc_ids array<long>, ids_crc32 long"
     files, root = _files(path)
     files.create_dir(root, recursive=True)
+    for info in files.get_file_info(FileSelector(root)):
+        if info.base_name.endswith(UNFINISHED):
+            files.delete_file(info.path)
     with files.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps({"sequences": n, "length": length, "bytes_per_id": 2, "per_shard": per_shard, "shards": -(-n // per_shard), "pad": pad, "key_sha256": hashlib.sha256(key.encode()).hexdigest()}).encode())
     if not n:
@@ -141,26 +152,75 @@ def write_shards(docs: DataFrame, path: str, text: str = "text", id_column: str
             slot = order.slots(seq)
             yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard, pa.int32()), pa.array(slot, pa.int64()), pa.array(seq, pa.int64()), b.column(2), b.column(3), b.column(4)], ["shard", "slot", "sequence", "n", "docs", "z"])
 
-    def write(t: pa.Table) -> pa.Table:
+    def write(batches):
         import zstandard
 
-        t = t.sort_by("slot")
-        shard = t.column("shard")[0].as_py()
-        d = zstandard.ZstdDecompressor()
-        raw = [d.decompress(z.as_buffer()) for z in t.column("z")]
         fs_, top = _files(path)
-        name = f"{top}/shard-{shard:08d}.bin"
-        if not (resume and fs_.get_file_info(name).size == 2 * length * len(raw)):
-            own = f"{top}/.{uuid.uuid4().hex}"
-            with fs_.open_output_stream(own) as f:
-                for x in raw:
-                    f.write(x)
-            fs_.move(own, name)
-        slot = t.column("slot").to_numpy()
-        return pa.table({"slot": pa.array(slot), "sequence": t.column("sequence"), "shard": t.column("shard"), "row": pa.array((slot % per_shard).astype(np.int32)), "n_tokens": t.column("n").cast(pa.int64()), "doc_ids": t.column("docs"), "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64())})
-
+        d, shard = zstandard.ZstdDecompressor(), None
+        for b in lots(batches, 256):
+            slots = b.column(1).to_numpy()
+            raw = [d.decompress(z.as_buffer()) for z in b.column(5)]
+            for slot, x in zip(slots.tolist(), raw):
+                if shard is None or slot // per_shard != shard.number:
+                    if shard:
+                        shard.finish()
+                    shard = _Shard(fs_, top, slot // per_shard, resume)
+                shard.put(x)
+            cols = [b.column(1), b.column(2), b.column(0), pa.array((slots % per_shard).astype(np.int32)), b.column(3).cast(pa.int64()), b.column(4), pa.array([zlib.crc32(x) for x in raw], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["slot", "sequence", "shard", "row", "n_tokens", "doc_ids", "ids_crc32"])
+        if shard:
+            shard.finish()
+
+    shards = -(-n // per_shard)
+    each = -(-shards // MAX_PARTITIONS)  # shards in a partition
     placed = rows.mapInArrow(place, "shard int, slot long, sequence long, n int, docs array<long>, z binary")
-    return placed.groupBy("shard").applyInArrow(write, schema)
+    ranged = placed.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot")
+    return ranged.mapInArrow(write, schema)
+
+
+class _Shard:
+    """One shard's file while its slots come in order."""
+
+    def __init__(self, fs_, top: str, number: int, resume: bool):
+        self.fs, self.number, self.name = fs_, number, f"{top}/shard-{number:08d}.bin"
+        self.own = f"{top}/.{number:08d}-{uuid.uuid4().hex}{UNFINISHED}"
+        self.old = fs_.open_input_file(self.name) if resume and fs_.get_file_info(self.name).is_file else None
+        self.new, self.same = None, 0  # bytes of the old file that are as they should be
+
+    def _write(self, x: bytes) -> None:
+        try:
+            self.new.write(x)
+        except BaseException:
+            self.drop()
+            raise
+
+    def _anew(self) -> None:
+        self.new = self.fs.open_output_stream(self.own)
+        if self.old:
+            self.old.seek(0)
+            for at in range(0, self.same, 1 << 20):
+                self._write(self.old.read(min(1 << 20, self.same - at)))
+
+    def put(self, x: bytes) -> None:
+        if self.new is None and self.old is not None:
+            if self.old.read(len(x)) == x:
+                self.same += len(x)
+                return
+            self._anew()
+        elif self.new is None:
+            self._anew()
+        self._write(x)
+
+    def finish(self) -> None:
+        if self.new is None and self.old.size() != self.same:  # longer than it should be
+            self._anew()
+        if self.new is not None:
+            self.new.close()
+            self.fs.move(self.own, self.name)
+
+    def drop(self) -> None:
+        self.new.close()
+        self.fs.delete_file(self.own)
 
 
 def read_slots(path: str, start: int, count: int) -> np.ndarray:
