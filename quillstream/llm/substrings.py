@@ -7,8 +7,8 @@ Every word position starts a suffix; of its path in the suffix tree the first 13
 words meet in an internal node at least that deep, and following a document's windows that end in such nodes gives its
 maximal repeats, which `spans` returns.
 
-1. Documents are dealt into buckets of a bounded size. A bucket numbers its words, finds its equal windows word for word and
-   keeps one suffix of each, with the least id of its documents, so a passage in any number of documents is one suffix a bucket.
+1. Documents are dealt into buckets of a bounded size. A bucket finds its equal windows, word for word, and keeps one
+   suffix of each, with the least id of its documents, so a passage in any number of documents is one suffix a bucket.
 2. Sieve: a bucket's windows go, four hash bytes each, to slots by their leading hash bits, which are uniform; a slot
    tells each bucket which of its windows other buckets may have too. All others are leaves without a deep node above.
    A chance agreement of hashes lets a suffix pass for nothing; it never joins two.
@@ -42,11 +42,13 @@ BUCKET_BYTES = 8_000_000
 GROUP_SUFFIXES = 400_000
 SLOT_WINDOWS = 1_000_000
 SAMPLED = 4
-SEED = 13
 #: The place of rows without id.
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
+_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: What each byte counts in the polynomial.
+_BYTE = np.random.default_rng(13).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,47 +62,61 @@ def normal(text: str | None) -> bytes:
     return b" ".join((text or "").encode().split())
 
 
-class _Numbers(dict):
-    """Numbers its keys from 0 as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def _word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, lot: int = 1 << 18) -> np.ndarray:
+    """A hash of each word's bytes, from running sums of a polynomial over lots of whole words."""
+    out = np.empty(len(start), np.uint64)
+    i, size = 0, 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + lot)))
+        a, n = start[i], int(end[j - 1] - start[i]) + 1
+        if n > size:
+            size = max(n, lot)
+            up, down = np.full(size, _BASE), np.full(size, _INVERSE)
+            up[0] = down[0] = 1
+            np.multiply.accumulate(up, out=up)
+            np.multiply.accumulate(down, out=down)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[buf[a : a + n]] * up[:n], out=sums[1:])
+        s, e = start[i:j] - a, end[i:j] - a
+        out[i:j] = _mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 class Suffixes:
     """The windows of a bucket's texts in classes of equal word sequences, numbered by their hashes.
 
     n_words: of each text; at, doc: word and text of each window; of: its class; head: a window of each class; least: the
-    smallest of `ids` among its texts; h4, h8, h13: hashes of each class's first words.
+    smallest of `ids` among its texts; h4, h8, h13: hashes of each class's first words. Hashes only bring windows
+    together; the bytes of their words decide whether they are equal.
     """
 
     def __init__(self, texts: list[bytes], ids: np.ndarray, window: int = WINDOW):
-        from xxhash import xxh64_intdigest
-
-        numbers = _Numbers()
-        parts = [np.fromiter(map(numbers.__getitem__, t.split(b" ")), np.int32) if t else np.empty(0, np.int32) for t in texts]
-        self.n_words = np.array([len(x) for x in parts], np.int64)
-        word = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        del parts
-        owner = np.repeat(np.arange(len(texts)), self.n_words)
+        self.window = window
+        self.n_words = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
         self.first_word = np.cumsum(self.n_words) - self.n_words
-        if len(word) >= window:
+        self.text = b" ".join([t for t in texts if t]) + b" "
+        buf = np.frombuffer(self.text, np.uint8)
+        self.end = np.flatnonzero(buf == 32) if self.n_words.sum() else np.empty(0, np.int64)
+        self.start = np.r_[0, self.end[:-1] + 1] if len(self.end) else self.end
+        owner = np.repeat(np.arange(len(texts)), self.n_words)
+        if len(owner) >= window:
             self.at = np.flatnonzero(owner[: len(owner) - window + 1] == owner[window - 1 :])
         else:
             self.at = np.empty(0, np.int64)
         self.doc = owner[self.at]
-        hashed = np.fromiter((xxh64_intdigest(w, SEED) for w in numbers), np.uint64, len(numbers))[word]
-        n = max(0, len(word) - window + 1)
+        hashed = _word_hashes(buf, self.start, self.end)
+        n = max(0, len(owner) - window + 1)
         h, kept = np.zeros(n, np.uint64), {}
         for k in range(window):
-            h = h * _BASE + hashed[k : k + n]
+            h *= _BASE
+            h += hashed[k : k + n]
             if k + 1 in (*PREFIXES, window):
                 kept[k + 1] = _mix(h[self.at])
         order = np.argsort(kept[window], kind="stable")
         same = kept[window][order]
         new = np.r_[True, same[1:] != same[:-1]] if len(order) else np.empty(0, bool)
-        new = self._by_words(word, order, new, window)
+        self._by_words(order, new)
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
@@ -108,37 +124,32 @@ class Suffixes:
         self.least = np.minimum.reduceat(ids[self.doc[order]], starts) if len(starts) else np.empty(0, np.int64)
         self.h4, self.h8, self.h13 = (kept[k][self.head] for k in (*PREFIXES, window))
 
-    def _by_words(self, word: np.ndarray, order: np.ndarray, new: np.ndarray, window: int) -> np.ndarray:
-        """Where classes begin, once windows of equal hashes are compared word for word; `order` is changed where they differ."""
-        head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
+    def _words(self, windows: np.ndarray) -> list[bytes]:
+        text = self.text
+        a, b = self.start[self.at[windows]], self.end[self.at[windows] + self.window - 1]
+        return [text[i:j] for i, j in zip(a.tolist(), b.tolist())]
+
+    def _by_words(self, order: np.ndarray, new: np.ndarray) -> None:
+        """Compares windows of equal hashes word for word; where they differ, `order` and `new` (where classes begin) are mended."""
+        if not len(order):
+            return
         rest = np.flatnonzero(~new)
-        differ = np.zeros(len(rest), bool)
-        a, b = self.at[order[rest]], self.at[head[rest]]
-        for k in range(window):
-            differ |= word[a + k] != word[b + k]
-        for start in np.unique(np.searchsorted(rest, rest[differ])) if differ.any() else ():  # the hash met by chance
-            i = int(np.flatnonzero(new[: rest[start] + 1])[-1])
-            j = int(np.r_[np.flatnonzero(new[i + 1 :]) + i + 1, len(order)][0])
-            key = {int(w): tuple(word[self.at[w] : self.at[w] + window].tolist()) for w in order[i:j]}
-            order[i:j] = sorted(order[i:j].tolist(), key=lambda w: (key[w], w))
-            new[i + 1 : j] = [key[int(x)] != key[int(y)] for x, y in zip(order[i + 1 : j], order[i : j - 1])]
-        return new
-
-    def words(self, texts: list[bytes], classes: np.ndarray, window: int = WINDOW) -> list[bytes]:
+        head = order[np.flatnonzero(new)][np.cumsum(new) - 1][rest]
+        differ: list[np.ndarray] = []
+        for k in range(0, len(rest), 100_000):
+            pairs = zip(self._words(order[rest[k : k + 100_000]]), self._words(head[k : k + 100_000]))
+            differ.append(np.fromiter((x != y for x, y in pairs), bool))
+        met_by_chance = rest[np.concatenate(differ)] if differ else rest
+        starts = np.flatnonzero(new)
+        for group in np.unique(np.searchsorted(starts, met_by_chance, side="right") - 1):
+            i, j = int(starts[group]), int(starts[group + 1]) if group + 1 < len(starts) else len(order)
+            by_words = sorted(zip(self._words(order[i:j]), order[i:j].tolist()))
+            order[i:j] = [w for _, w in by_words]
+            new[i + 1 : j] = [x[0] != y[0] for x, y in zip(by_words[1:], by_words)]
+
+    def words(self, classes: np.ndarray) -> list[bytes]:
         """The words of some classes, joined by single spaces."""
-        out: list[bytes] = [b""] * len(classes)
-        heads = self.head[classes]
-        by_doc = np.argsort(self.doc[heads], kind="stable")
-        docs = self.doc[heads][by_doc]
-        for i, j in zip(*_parts(docs)):
-            d = int(docs[i])
-            t = texts[d]
-            gap = np.flatnonzero(np.frombuffer(t, np.uint8) == 32)
-            w = self.at[heads[by_doc[i:j]]] - self.first_word[d]
-            start, end = np.r_[0, gap + 1][w].tolist(), np.r_[gap, len(t)][w + window - 1].tolist()
-            for k, a, b in zip(by_doc[i:j].tolist(), start, end):
-                out[k] = t[a:b]
-        return out
+        return self._words(self.head[classes])
 
 
 def _sieve_keys(p: Suffixes, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +192,9 @@ def _parts(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.r_[starts[1:], len(sorted_)].astype(np.int64)
 
 
-def _packed(docs: DataFrame, text: str, id_column: str, buckets: int) -> DataFrame:
+def _packed(docs: DataFrame, text: str, id_column: str, buckets: int, first: int | None = None) -> DataFrame:
+    """(bucket, id, z): the compressed words of each row, of the `first` buckets only if given."""
+
     def pack(batches):
         import zstandard
 
@@ -193,8 +206,9 @@ def _packed(docs: DataFrame, text: str, id_column: str, buckets: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], ["bucket", "id", "z"])
         give_back()
 
-    bucket = F.pmod(F.xxhash64(F.lit(10), F.col(id_column), F.col(text)), F.lit(buckets)).cast("int").alias("bucket")
-    return docs.select(bucket, F.col(id_column).cast("long").alias("id"), F.col(text)).mapInArrow(pack, "bucket int, id long, z binary")
+    bucket = F.pmod(F.xxhash64(F.lit(10), F.col(id_column), F.col(text)), F.lit(buckets)).cast("int")
+    rows = docs if first is None else docs.filter(bucket < first)
+    return rows.select(bucket.alias("bucket"), F.col(id_column).cast("long").alias("id"), F.col(text)).mapInArrow(pack, "bucket int, id long, z binary")
 
 
 class _Cuts:
@@ -263,7 +277,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
 
     sieved = cut(packed.groupBy("bucket").applyInArrow(sieve_out, "slot int, bucket int, keys binary").groupBy("slot").applyInArrow(sieve_in, "bucket int, slot int, flags binary, n long"))
     release(docs.sparkSession)
-    cuts = _cuts(packed, sieved, buckets, bits, window, group_suffixes)
+    some = min(SAMPLED, buckets)
+    cuts = _cuts(_packed(docs, text, id_column, buckets, some), sieved, buckets, some, bits, window, group_suffixes)
 
     def tree_out(t: pa.Table, answers: pa.Table) -> pa.Table:
         import zstandard
@@ -280,7 +295,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         z = zstandard.ZstdCompressor(level=1)
         s, e = _parts(group * (1 << 31) + sub)
         b = t.column("bucket")[0].as_py()
-        rows = [(_squeezed(c[i:j]), _planes(p.least[c[i:j]]), z.compress(b"\n".join(p.words(texts, c[i:j], window)))) for i, j in zip(s, e)]
+        rows = [(_squeezed(c[i:j]), _planes(p.least[c[i:j]]), z.compress(b"\n".join(p.words(c[i:j])))) for i, j in zip(s, e)]
         out = pa.table({"part": pa.array(group[s], pa.int32()), "sub": pa.array(sub[s], pa.int32()), "bucket": pa.array([b] * len(s), pa.int32()), **{k: pa.array([r[i] for r in rows], pa.binary()) for i, k in enumerate(("place", "doc", "words"))}}, schema=schema)
         del p, texts
         give_back()
@@ -343,13 +358,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     return packed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(apply, schema).withColumnRenamed("id", id_column)
 
 
-def _cuts(packed: DataFrame, sieved: DataFrame, buckets: int, bits: int, window: int, group_suffixes: int) -> _Cuts:
-    """Groups for all sieved suffixes, of about a quarter of group_suffixes each but for hot prefixes, which are looked for in SAMPLED buckets."""
+def _cuts(packed: DataFrame, sieved: DataFrame, buckets: int, k: int, bits: int, window: int, group_suffixes: int) -> _Cuts:
+    """Groups for all sieved suffixes, of about a quarter of group_suffixes each but for hot prefixes, which are looked for in `packed`, the first k buckets."""
     n = sieved.agg(F.sum("n")).head()[0] or 0
     cuts = _Cuts(max(2, int(np.ceil(np.log2(max(1, 4 * n / group_suffixes))))), {})
     if n <= group_suffixes:
         return cuts
-    k = min(SAMPLED, buckets)
     scale = buckets / k
 
     def count(t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -370,8 +384,7 @@ def _cuts(packed: DataFrame, sieved: DataFrame, buckets: int, bits: int, window:
         cols = list(zip(*out)) or [(), (), ()]
         return pa.table({"part": pa.array(cols[0], pa.int32()), "h8": pa.array(cols[1], pa.int64()), "n": pa.array(cols[2], pa.int64())})
 
-    some = F.col("bucket") < k
-    counted = packed.filter(some).groupBy("bucket").cogroup(sieved.filter(some).select("bucket", "slot", "flags").groupBy("bucket")).applyInArrow(count, "part int, h8 long, n long")
+    counted = packed.groupBy("bucket").cogroup(sieved.filter(F.col("bucket") < k).select("bucket", "slot", "flags").groupBy("bucket")).applyInArrow(count, "part int, h8 long, n long")
     found = counted.groupBy("part", "h8").agg(F.sum("n").alias("n")).filter(F.col("n") * scale > group_suffixes).collect()  # hot prefixes only
     whole = {r["part"] for r in found if r["h8"]}
     cuts.split = {r["part"]: (int(-(-2 * r["n"] * scale // group_suffixes)), r["part"] in whole) for r in found if not r["h8"]}
