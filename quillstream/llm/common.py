@@ -94,7 +94,6 @@ def lots(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.Rec
 
 def give_back() -> None:
     """Returns freed memory of this Python worker to the system, where the allocators can."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
