@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as tx
+from quillstream.operators.search import RRF, fuse, keyword_channel, keyword_matches, postings, vector_channel
 from quillstream.plans.registry import frame_query, read
 
 K = 20
-RRF = 60
 
 _TOKENS = "select {id}, unnest([lower(x) for x in regexp_extract_all(text, '[A-Za-z0-9]+')]) as token from {t}"
 _POSTINGS = "postings as (select doc_id, token, count(*) as tf from (" + _TOKENS.format(id="doc_id", t="documents") + ") x group by 1, 2)"
@@ -17,32 +17,14 @@ _QUERY = "query as (select distinct item_id, token from (" + _TOKENS.format(id="
 _KEYWORD = f"{_POSTINGS}, {_QUERY}, sizes as (select item_id, count(*) as m from query group by 1), matched as (select q.item_id, p.doc_id, count(*) as hits, sum(p.tf) as tf from query q join postings p using (token) group by 1, 2), scored as (select item_id, doc_id, cast(hits as bigint) as hits, cast(tf as bigint) as tf, round(cast(hits as double) / m, 6) as score from matched join sizes using (item_id)), keyword as (select * from (select *, row_number() over (partition by item_id order by score desc, tf desc, doc_id) as pos from scored) x where pos <= {K})"
 
 
-def postings(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, token, tf): the inverted index."""
-    return docs.select(id_column, F.explode_outer(tx.tokenize(F.col(text))).alias("token")).filter("token is not null").groupBy(id_column, "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def keyword_channel(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """Any-token match; score is the share of a query's distinct tokens found, then the summed frequency, then the id."""
-    q = postings(queries, "item_id").select("item_id", "token")
-    sizes = q.groupBy("item_id").agg(F.count(F.lit(1)).alias("m"))
-    hit = postings(docs).join(q, "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("tf").alias("tf"))
-    scored = hit.join(sizes, "item_id").withColumn("score", F.round(F.col("hits").cast("double") / F.col("m"), 6))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), F.desc("tf"), "doc_id")
-    return scored.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select("item_id", "doc_id", "hits", "tf", "score", "pos")
-
-
 @frame_query("J9_inverted_index_any", f"with {_KEYWORD} select item_id, doc_id, hits, tf, score, pos from keyword")
 def j9(spark: SparkSession, d: str) -> DataFrame:
-    return keyword_channel(read(spark, d, "documents"), read(spark, d, "benchmark"))
+    return keyword_channel(read(spark, d, "documents"), read(spark, d, "benchmark"), K, "item_id")
 
 
 @frame_query("J9_inverted_index_all", f"with {_KEYWORD} select item_id, doc_id, hits from scored join sizes using (item_id) where hits = m")
 def j9_all(spark: SparkSession, d: str) -> DataFrame:
-    q = postings(read(spark, d, "benchmark"), "item_id").select("item_id", "token")
-    sizes = q.groupBy("item_id").agg(F.count(F.lit(1)).alias("m"))
-    hit = postings(read(spark, d, "documents")).join(q, "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("hits"))
-    return hit.join(sizes, "item_id").filter("hits = m").select("item_id", "doc_id", "hits")
+    return keyword_matches(read(spark, d, "documents"), read(spark, d, "benchmark"), all_terms=True, query_id="item_id").select("item_id", "doc_id", "hits")
 
 
 @frame_query("G12_document_frequency", f"with {_POSTINGS} select token, count(*) as df, round(cast(count(*) as double) / greatest((select count(*) from documents), 1), 9) as share from postings group by token")
@@ -69,40 +51,31 @@ def h3(spark: SparkSession, d: str) -> DataFrame:
 _VECTOR = f"vector as (select * from (select q.vec_id as item_id, e.vec_id as doc_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 5) as score, row_number() over (partition by q.vec_id order by round(list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])), 5) desc, e.vec_id) as pos from embeddings q join embeddings e on q.vec_id % 100 = 0 and e.vec_id <> q.vec_id) x where pos <= {K})"
 
 
-def vector_channel(vectors: DataFrame, k: int = K, broadcast_rows: int = 50_000) -> DataFrame:
-    """Exact cosine k nearest, among all, of every vector whose id is divisible by 100; that side is broadcast up to a checked size."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    base = vectors.filter("embedding is not null").select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm"))
-    q = base.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
-    q = F.broadcast(q) if q.count() <= broadcast_rows else q
-    both = base.join(q, F.col("vec_id") != F.col("item_id"))
-    scored = both.select("item_id", F.col("vec_id").alias("doc_id"), F.round(dot(F.col("embedding"), F.col("qe")) / (F.col("norm") * F.col("qn")), 5).alias("score"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
+def own_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of every vector whose id is divisible by 100, among all others."""
+    vectors = read(spark, d, "embeddings")
+    queries = vectors.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("item_id"), "embedding")
+    return vector_channel(vectors, queries, K, "vec_id", "item_id", others_only=True)
 
 
 @frame_query("J10_vector_knn", f"with {_VECTOR} select item_id, doc_id, score, pos from vector")
 def j10(spark: SparkSession, d: str) -> DataFrame:
-    return vector_channel(read(spark, d, "embeddings"))
-
-
-def fuse(channels: DataFrame, constant: int = RRF) -> DataFrame:
-    """Reciprocal rank fusion of rows (item_id, doc_id, channel, pos)."""
-    return channels.groupBy("item_id", "doc_id").agg(F.round(F.sum(1.0 / (constant + F.col("pos"))), 9).alias("fused"), F.array_join(F.sort_array(F.collect_set("channel")), ",").alias("channels"))
+    return own_vectors(spark, d)
 
 
 @frame_query("C1_hybrid_search", f"with {_KEYWORD}, {_VECTOR}, both_ as (select item_id, doc_id, 'keyword' as channel, pos from keyword union all select item_id, doc_id, 'vector' as channel, pos from vector), fused as (select item_id, doc_id, round(sum(cast(1 as double) / ({RRF} + pos)), 9) as fused, string_agg(channel, ',' order by channel) as channels from both_ group by 1, 2) select item_id, doc_id, fused, channels, pos from (select *, row_number() over (partition by item_id order by fused desc, doc_id) as pos from fused) x where pos <= {K}")
 def c1(spark: SparkSession, d: str) -> DataFrame:
     """Keyword and vector channels of all benchmark items, fused; the item's own vector is its query."""
-    kw = keyword_channel(read(spark, d, "documents"), read(spark, d, "benchmark")).select("item_id", "doc_id", F.lit("keyword").alias("channel"), "pos")
-    ve = vector_channel(read(spark, d, "embeddings")).select("item_id", "doc_id", F.lit("vector").alias("channel"), "pos")
+    kw = keyword_channel(read(spark, d, "documents"), read(spark, d, "benchmark"), K, "item_id").select("item_id", "doc_id", F.lit("keyword").alias("channel"), "pos")
+    ve = own_vectors(spark, d).select("item_id", "doc_id", F.lit("vector").alias("channel"), "pos")
     w = Window.partitionBy("item_id").orderBy(F.desc("fused"), "doc_id")
-    return fuse(kw.unionByName(ve)).withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= K)
+    fused = fuse(kw.unionByName(ve), "item_id").select("item_id", "doc_id", F.col("score").alias("fused"), F.array_join(F.array_sort(F.map_keys("channels")), ",").alias("channels"))
+    return fused.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= K)
 
 
 @frame_query("G13_recall", f"with {_KEYWORD}, ranked as (select k.item_id, k.pos, coalesce(l.quality, 0) as good from keyword k left join labels l using (doc_id)) select item_id, sum(case when pos <= 10 then good else 0 end)::bigint as hits_10, round(sum(case when pos <= 10 then good else 0 end) / 10.0::double, 6) as precision_10, round(coalesce(max(case when good = 1 then cast(1 as double) / pos end), 0), 6) as mrr from ranked group by item_id")
 def g13(spark: SparkSession, d: str) -> DataFrame:
-    r = keyword_channel(read(spark, d, "documents"), read(spark, d, "benchmark")).join(read(spark, d, "labels"), "doc_id", "left").withColumn("good", F.coalesce("quality", F.lit(0)))
+    r = keyword_channel(read(spark, d, "documents"), read(spark, d, "benchmark"), K, "item_id").join(read(spark, d, "labels"), "doc_id", "left").withColumn("good", F.coalesce("quality", F.lit(0)))
     hits = F.sum(F.when(F.col("pos") <= 10, F.col("good")).otherwise(0)).cast("long")
     return r.groupBy("item_id").agg(hits.alias("hits_10"), F.round(hits / F.lit(10.0), 6).alias("precision_10"), F.round(F.coalesce(F.max(F.when(F.col("good") == 1, 1.0 / F.col("pos"))), F.lit(0.0)), 6).alias("mrr"))
 
