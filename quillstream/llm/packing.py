@@ -32,7 +32,7 @@ K1, B = 1.2, 0.75
 #: Terms in more than this share of a shard's documents keep a weight for each document instead of postings.
 DENSE_SHARE = 1 / 16
 #: The router: sampled documents (the bound), levels of its tree, steps along each leaf, projections.
-ROUTER_DOCS, LEVELS, STEPS, PROJECTIONS = 6_000, 8, 16, 128
+ROUTER_DOCS, LEVELS, STEPS, PROJECTIONS = 6_000, 8, 16, 64
 TERMS = 1 << 16
 
 
@@ -50,6 +50,21 @@ def tokenized(docs: DataFrame, text: str = "text", id_column: str = "doc_id", vo
     return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text)).mapInArrow(run, "id long, n long, ids binary, bucket int")
 
 
+def terms_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, count) of each text's distinct terms, in order."""
+    if not texts:
+        return (np.empty(0, np.int64),) * 3
+    out = []
+    for first in range(0, len(texts), 1000):
+        lot = texts[first : first + 1000]
+        key = np.repeat(np.arange(len(lot), dtype=np.uint32), [len(x) for x in lot]) << np.uint32(16) | np.concatenate(lot)
+        key.sort()
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        held = key[starts]
+        out.append(((held >> np.uint32(16)).astype(np.int64) + first, (held & np.uint32(TERMS - 1)).astype(np.int64), np.diff(np.r_[starts, len(key)])))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 class Corpus:
     """What BM25 needs to know of all documents: their number, mean length and each term's document frequency."""
 
@@ -65,8 +80,7 @@ class Corpus:
         def count(batches):
             df = np.zeros(TERMS, np.int64)
             for b in lots(batches):
-                for x in b.column(0):
-                    df[np.unique(np.frombuffer(x.as_buffer(), "<u2"))] += 1
+                df += np.bincount(terms_of([np.frombuffer(x.as_buffer(), "<u2") for x in b.column(0)])[1], minlength=TERMS)
             held = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(df[held])], ["term", "df"])
 
@@ -79,14 +93,17 @@ class Corpus:
 
 @lru_cache(maxsize=1)
 def _signs() -> np.ndarray:
-    return np.random.default_rng(1).integers(0, 2, (TERMS, PROJECTIONS), dtype=np.int8) * np.int8(2) - np.int8(1)
+    return np.random.default_rng(1).choice(np.array([-1, 1], np.float32), (TERMS, PROJECTIONS))
 
 
-def projected(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit vector of random projections of a document's weighted terms."""
-    term, tf = np.unique(ids, return_counts=True)
-    v = (np.log1p(tf) * idf[term]).astype(np.float32) @ _signs()[term].astype(np.float32)
-    return v / (np.linalg.norm(v) + 1e-9)
+def projected(texts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of random projections of the texts' weighted terms."""
+    text, term, tf = terms_of(texts)
+    weight = (np.log1p(tf) * idf[term]).astype(np.float32)
+    edge = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+    signs = _signs()
+    v = np.stack([weight[a:z] @ signs[term[a:z]] for a, z in zip(edge, edge[1:])])
+    return v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9)
 
 
 class Router:
@@ -124,13 +141,14 @@ class Router:
 
         def vectors(batches):
             for b in lots(batches):
-                yield pa.RecordBatch.from_arrays([pa.array([projected(np.frombuffer(x.as_buffer(), "<u2"), idf).tolist() for x in b.column(0)], pa.list_(pa.float32()))], ["v"])
+                found = projected([np.frombuffer(x.as_buffer(), "<u2") for x in b.column(0)], idf)
+                yield pa.RecordBatch.from_arrays([pa.array(found.tolist(), pa.list_(pa.float32()))], ["v"])
 
         found = rows.select("ids").mapInArrow(vectors, "v array<float>").collect()  # about router_docs vectors
         return Router(np.array([r["v"] for r in found], np.float32).reshape(-1, PROJECTIONS), idf)
 
     def buckets(self, texts: list[np.ndarray]) -> np.ndarray:
-        x = np.stack([projected(t, self.idf) for t in texts])
+        x = projected(texts, self.idf)
         node = np.zeros(len(x), np.int64)
         for _ in range(LEVELS):
             right = np.einsum("ij,ij->i", x, self.direction[node]) > self.middle[node]
@@ -165,42 +183,40 @@ class Bm25:
     def __init__(self, texts: list[np.ndarray], corpus: Corpus | None = None, k1: float = K1, b: float = B):
         n = len(texts)
         self.n = n
-        terms, docs, tf = [], [], []
-        for i, x in enumerate(texts):
-            t, c = np.unique(x, return_counts=True)
-            terms.append(t)
-            docs.append(np.full(len(t), i, np.int32))
-            tf.append(c)
-        term, doc, tf = np.concatenate(terms), np.concatenate(docs), np.concatenate(tf).astype(np.float32)
+        doc, term, tf = terms_of(texts)
+        tf = tf.astype(np.float32)
         size = np.array([len(x) for x in texts], np.float32)
         df = np.bincount(term, minlength=TERMS)
         corpus = corpus or Corpus(n, float(size.mean()), df)
         weight = corpus.idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / max(1.0, corpus.mean)))
-        # each document's terms that another document has too; the closing id is no term
-        shared = (df[term] > 1) & (term != END_ID)
-        starts = np.searchsorted(doc[shared], np.arange(n + 1))
-        self.query = np.split(term[shared], starts[1:-1])
+        # terms that another document has too; the closing id is no term
+        shared = (df > 1) & (np.arange(TERMS) != END_ID)
+        # those in many documents keep a weight for each, as a matrix; the others have postings
+        common = np.flatnonzero(shared & (df > max(1, n * DENSE_SHARE)))
+        row = np.full(TERMS, -1, np.int32)
+        row[common] = np.arange(len(common))
+        r = row[term]
+        self.dense = np.zeros((len(common), n), np.float32)
+        self.dense[r[r >= 0], doc[r >= 0]] = weight[r >= 0]
+        rare = shared[term] & (r < 0)
+        term, doc, weight = term[rare], doc[rare], weight[rare]
+        self.query, self.query_at = term, np.searchsorted(doc, np.arange(n + 1))
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.at = np.searchsorted(term[order], np.arange(len(df) + 1))
-        common = np.flatnonzero(df > max(1, n * DENSE_SHARE))
-        self.row = np.full(len(df), -1, np.int32)
-        self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), n), np.float32)
-        for r, t in enumerate(common):
-            a, z = self.at[t], self.at[t + 1]
-            self.dense[r, self.doc[a:z]] = self.weight[a:z]
+        self.at = np.searchsorted(term[order], np.arange(TERMS + 1))
+        text, first = np.divmod(np.flatnonzero(self.dense.T), max(1, len(common)))
+        self.common, self.common_at = first, np.searchsorted(text, np.arange(n + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray, k: int = 32) -> np.ndarray:
         """Unused documents with a common term, best first."""
-        terms = self.query[seed]
-        row = self.row[terms]
         score = np.zeros(self.n, np.float32)
-        for r in row[row >= 0]:
-            score += self.dense[r]
-        for t in terms[row < 0]:
-            a, z = self.at[t], self.at[t + 1]
-            score[self.doc[a:z]] += self.weight[a:z]
+        for row in self.common[self.common_at[seed] : self.common_at[seed + 1]].tolist():
+            score += self.dense[row]
+        terms = self.query[self.query_at[seed] : self.query_at[seed + 1]]
+        if len(terms):
+            a, size = self.at[terms], self.at[terms + 1] - self.at[terms]
+            flat = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+            score += np.bincount(self.doc[flat], self.weight[flat], self.n)
         score *= unused
         k = min(k, self.n)
         top = np.argpartition(-score, k - 1)[:k]

@@ -37,7 +37,7 @@ def _byte_of_letter() -> dict[str, int]:
 class Encoder:
     """encode(texts) gives the ids of each text as little-endian uint16 bytes, without the closing id."""
 
-    def __init__(self, path: str | None = None, cache_entries: int = 250_000):
+    def __init__(self, path: str | None = None, cache_entries: int = 350_000):
         import tiktoken
         from tokenizers import Tokenizer
 
