@@ -123,7 +123,7 @@ def vector_channel(vectors: DataFrame, queries: DataFrame, k: int, id_column: st
 
         def run(batches):
             best = _Best(k)
-            for b in batches:
+            for b in batches if len(ids) else ():
                 for at in range(0, b.num_rows, 2000):
                     part = b.slice(at, 2000)
                     doc = part.column(0).to_numpy()
@@ -132,24 +132,19 @@ def vector_channel(vectors: DataFrame, queries: DataFrame, k: int, id_column: st
                     rounded = np.round(s, 5)
                     if others_only:
                         rounded[doc[:, None] == ids[None, :]] = -np.inf
-                    top = np.argsort(-rounded, axis=0, kind="stable")[:k] if len(doc) > k else np.tile(np.arange(len(doc))[:, None], len(ids))
-                    edge = rounded[top[-1], np.arange(len(ids))] if len(doc) else 0
+                    edge = -np.partition(-rounded, k - 1, axis=0)[k - 1] if len(doc) > k else -np.inf
                     d, q = np.nonzero((rounded >= edge) & (rounded > -np.inf))  # with all ties at the edge
                     best.add(q, rounded[d, q], s[d, q], doc[d])
             if best.held:
                 q, _, score, doc = best.rows()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(doc), pa.array(score)], ["q", "doc", "score"])
 
-        found = base.mapInArrow(run, "q long, doc long, score double") if len(rows) else docs_none(vectors)
+        found = base.mapInArrow(run, "q long, doc long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "doc")
     ranked = found.withColumn("score", F.round("score", 5)).withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
     return ranked.select(F.col("q").alias(query_id), F.col("doc").alias("doc_id"), "score", "pos")
 
 
-def docs_none(like: DataFrame) -> DataFrame:
-    return like.sparkSession.createDataFrame([], "q long, doc long, score double")
-
-
 def fuse(channels: DataFrame, query_id: str = "query_id", constant: int = RRF) -> DataFrame:
     """Reciprocal rank fusion of rows (query_id, doc_id, channel, pos): score and the document's place in each channel."""
     return channels.groupBy(query_id, "doc_id").agg(
@@ -160,7 +155,10 @@ def fuse(channels: DataFrame, query_id: str = "query_id", constant: int = RRF) -
 
 def identifier_channel(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, pos): documents that share a case number or tax id with the query, newest first, unknown times ahead."""
-    marks = lambda rows, key: rows.select(key, F.explode(F.concat(*[F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, c=c: F.concat(F.lit(f"{c}:"), x)) for c in ("case_numbers", "tax_ids")])).alias("mark")).filter(~F.col("mark").endswith(":")).distinct()
+    def marked(kind: str) -> Column:
+        return F.transform(F.filter(F.coalesce(kind, F.array().cast("array<string>")), lambda x: x != ""), lambda x: F.concat(F.lit(f"{kind}:"), x))
+
+    marks = lambda rows, key: rows.select(key, F.explode(F.concat(marked("case_numbers"), marked("tax_ids"))).alias("mark")).distinct()
     hit = marks(docs, "doc_id").join(marks(queries, "query_id"), "mark").select("query_id", "doc_id").distinct().join(docs.select("doc_id", "published_at"), "doc_id")
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_first("published_at"), "doc_id")
     return hit.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select("query_id", "doc_id", "pos")

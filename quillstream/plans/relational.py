@@ -94,7 +94,6 @@ q("K5_fill_missing", f"select o.o_orderkey, coalesce(nullif(o.title, ''), n.titl
 q("K7_latest_version", "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by doc_id desc) as r from {documents}) x where r = 1")
 q("K9_event_merge", "select distinct case when o_custkey % 10 = 1 then o_custkey - 1 else o_custkey end as event_id, o_orderkey as doc_id from {orders}")
 # --- functions
-q("H34_is_peak", "select event_id, dayofweek(ts) as d, (hour(ts) >= 1 and hour(ts) < 4) or (hour(ts) >= 6 and hour(ts) < 10) as peak_hour from {events}".replace("dayofweek(ts) as d, ", ""))
 q("H35_compute_cost", "select event_id, cast(cast(user_id as decimal(12,0)) * (case when hour(ts) < 4 then 0.28 else 0.14 end) / 1000000 as decimal(12,8)) as cost from {events}")
 q("H38_cache_rate", f"select event_type, case when sum(cost) = 0 then null else round(cast(sum(cost) filter (where user_id % 2 = 0) as double) / cast(sum(cost) as double), 6) end as rate from {LEDGER} group by event_type")
 q("H39_label_confidence", "select doc_id, case when lower(text) like '%license%' then 'high' when n_chars > 2000 then 'medium' else 'low' end as confidence from {documents}")
