@@ -9,21 +9,29 @@ from quillstream.functions import text as tx
 from quillstream.operators.tables import cut
 
 THRESHOLD, HOURS, MIN_TOKENS = 0.7, 72, 40
+#: Each round settles at least the first document that waits, in practice most of them.
+MAX_ROUNDS = 200
 
 
-def text_pairs(texts: DataFrame, threshold: float, hours: int) -> DataFrame:
+def text_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """(key, other, score) both ways for different texts of rows (key, s, band) whose token sets reach the threshold.
 
-    Two such sets share one of the rarest tokens of each, so texts meet on those and in the same or a neighbouring band of time.
+    Two such sets share one of the rarest tokens of each, so texts meet on those and in the same or a neighbouring band of time;
+    where they meet, what is left of both must still be able to reach the overlap that the threshold asks for.
     """
-    sets = texts.select("key", "s").dropDuplicates(["key"])
-    tokens = sets.select("key", F.size("s").alias("n"), F.explode("s").alias("token"))
+    sets = cut(texts.select("key", "s").dropDuplicates(["key"]))
+    tokens = sets.select("key", F.explode("s").alias("token"))
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("key").orderBy("df", "token")
-    rare = tokens.join(df, "token").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-    placed = rare.select("key", "token", "n").join(texts.select("key", "band").distinct(), "key")
-    right = placed.select(F.col("key").alias("other"), "token", F.col("n").alias("m"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
-    met = placed.join(right, ["token", "band"]).filter((F.col("key") < F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9)).select("key", "other").distinct()
+    ranked = tokens.join(df, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
+    size = F.size("r")
+    rare = F.slice("r", F.lit(1), (size - F.ceil(threshold * size - 1e-9) + 1).cast("int"))
+    placed = ranked.select("key", size.alias("n"), F.posexplode(F.transform(rare, lambda x: x["token"])).alias("at", "token")).join(texts.select("key", "band").distinct(), "key")
+    placed = cut(placed)
+    bands = F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band")
+    right = placed.select(F.col("key").alias("other"), "token", F.col("n").alias("m"), F.col("at").alias("at2"), bands)
+    least = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9)
+    can = (F.col("key") < F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("at2")) >= least)
+    met = placed.join(right, ["token", "band"]).filter(can).select("key", "other").distinct()
     both = met.join(sets, "key").join(sets.select(F.col("key").alias("other"), F.col("s").alias("t")), "other")
     common = F.size(F.array_intersect("s", "t"))
     scored = cut(both.select("key", "other", (common / (F.size("s") + F.size("t") - common)).alias("score")).filter(F.col("score") >= threshold))
@@ -48,12 +56,12 @@ def link_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hours: i
     later, earlier = F.coalesce("later", F.lit(False)), F.coalesce("earlier", F.lit(False))
     state = F.when(later, "kept").when(earlier, "linked").otherwise("open")
     status = cut(near.select("doc_id", "key", "at", state.alias("state"), F.when(~later & earlier, F.col("before")).alias("canonical_of"), F.when(~later & earlier, 1.0).alias("score")))
-    pairs = text_pairs(sized.select("key", "s", F.floor(F.col("at") / (span + 1)).alias("band")), threshold, hours)
+    pairs = text_pairs(sized.select("key", "s", F.floor(F.col("at") / (span + 1)).alias("band")), threshold)
     other = status.select(F.col("doc_id").alias("c"), F.col("key").alias("other"), F.col("at").alias("c_at"))
     edges = status.filter("state = 'open'").select("doc_id", "key", "at").join(pairs, "key").join(other, "other").filter(F.abs(F.col("at") - F.col("c_at")) <= span)
     is_later = F.struct("c_at", "c") > F.struct("at", "doc_id")
     edges = cut(edges.select("doc_id", "c", "c_at", F.col("score").alias("s"), is_later.alias("is_later")))
-    while True:  # a later document, whatever becomes of it, is not linked yet when its turn has not come
+    for _ in range(MAX_ROUNDS):  # a later document, whatever becomes of it, is not linked yet when its turn has not come
         live = edges.join(status.select(F.col("doc_id").alias("c"), F.col("state").alias("c_state")), "c").filter("is_later or c_state <> 'linked'")
         best = live.groupBy("doc_id").agg(F.max(F.struct("s", "c_at", "c", "is_later", "c_state")).alias("b"))
         b = F.col("b")
@@ -64,4 +72,6 @@ def link_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hours: i
         status = cut(joined.select("doc_id", "key", "at", F.col("fate").alias("state"), F.when(linked, b["c"]).otherwise(F.col("canonical_of")).alias("canonical_of"), F.when(linked, b["s"]).otherwise(F.col("score")).alias("score")))
         if status.filter("state = 'open'").isEmpty():
             break
+    else:
+        raise RuntimeError(f"documents still wait for one another after {MAX_ROUNDS} rounds")
     return docs.select("doc_id").join(status.select("doc_id", "canonical_of", "score"), "doc_id", "left")

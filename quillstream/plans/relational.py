@@ -27,7 +27,6 @@ q("P13_body_queue", f"select doc_id, row_number() over (order by published desc
 q("P14_document_filters", "select d.doc_id, d.source from {documents} d join {labels} l on d.doc_id = l.doc_id where d.source = 'src1' and l.quality = 1 and lower(d.text) like '%the%'")
 q("P15_facets", "select case when l.quality is null then 'unknown' when l.quality = 1 then 'yes' else 'no' end as facet, count(*) as n from {documents} d left join {labels} l on d.doc_id = l.doc_id group by 1")
 q("P17_exclusion", "select o_orderkey from {orders} where not (o_orderpriority like '1-%' or o_orderstatus = 'P')")
-q("P18_public_fields", "select doc_id, lang, case when source = 'src1' then substr(text, 1, 40) end as body from {documents}")
 q("P20_role_level", "select c_custkey, case c_mktsegment when 'BUILDING' then 3 when 'MACHINERY' then 2 when 'AUTOMOBILE' then 1 else 0 end as level, case c_mktsegment when 'BUILDING' then 3 when 'MACHINERY' then 2 else 0 end >= 2 as allowed from {customer}")
 q("P22_alive_trashed", "select conv_id, count(*) as turns, max(turn) % 2 = 0 as trashed from {conversations} group by conv_id")
 q("P23_publishable", "select o_orderkey, o_orderstatus = 'O' and o_totalprice < 100000 as publishable from {orders}")
@@ -66,12 +65,10 @@ q("G25_assignments", "select o_custkey, count(*) as n from {orders} group by o_c
 # --- windows
 GAPS = "(select user_id, event_id, ts, lag(ts) over (partition by user_id order by ts desc nulls last, event_id) as newer from {events}) g"
 q("W1_silence_gap", f"select user_id, event_id, @days(ts, newer) as gap_days from {GAPS} where newer is not null and @days(ts, newer) >= 2")
-q("W2_gap_split", f"select user_id, event_id, pos <= 20 as shown from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id) as pos from {{events}}) x where pos <= 40")
 q("W3_channel_rank", "select label, vec_id, row_number() over (partition by label order by vec_id desc) as rank_in_channel from {embeddings}")
 q("W5_top_per_event", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderpriority, o_totalprice desc, o_orderkey) as r from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as newest from {orders}) x where newest <= 12) y where r <= 3")
 q("W6_last_messages", "select conv_id, turn, role, row_number() over (partition by conv_id order by turn) as pos from (select *, row_number() over (partition by conv_id order by turn desc) as back from {conversations}) x where back <= 12")
 q("W7_last_user_turns", "select conv_id, turn, substr(text, 1, 500) as text from (select *, row_number() over (partition by conv_id order by turn desc) as back from {conversations} where role = 'user') x where back <= 4")
-q("W8_argmax_then_direction", "select doc_id, best from (select a.doc_id, b.doc_id as best, row_number() over (partition by a.doc_id order by abs(a.n_chars - b.n_chars), b.doc_id) as r from {documents} a join {documents} b on a.source = b.source and a.lang = b.lang and a.doc_id <> b.doc_id and b.doc_id - a.doc_id between -200 and 200) x where r = 1 and best < doc_id")
 q("W9_page_fingerprints", "select user_id, event_id, event_type = lag(event_type) over (partition by user_id order by ts, event_id) as same_as_previous, event_type = first_value(event_type) over (partition by user_id order by ts, event_id) as same_as_first from {events}")
 q("W10_failure_streak", "select user_id, event_id, case when bad = 1 then row_number() over (partition by user_id, island, bad order by ts, event_id) else 0 end as streak from (select *, sum(1 - bad) over (partition by user_id order by ts, event_id) as island from (select user_id, event_id, ts, case when event_type = 'click' then 1 else 0 end as bad from {events}) x) y")
 q("W11_latest_five", "select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from {orders}) x where r <= 5")
@@ -94,7 +91,6 @@ q("K5_fill_missing", f"select o.o_orderkey, coalesce(nullif(o.title, ''), n.titl
 q("K7_latest_version", "select doc_id, source from (select doc_id, source, row_number() over (partition by source order by doc_id desc) as r from {documents}) x where r = 1")
 q("K9_event_merge", "select distinct case when o_custkey % 10 = 1 then o_custkey - 1 else o_custkey end as event_id, o_orderkey as doc_id from {orders}")
 # --- functions
-q("H35_compute_cost", "select event_id, cast(cast(user_id as decimal(12,0)) * (case when hour(ts) < 4 then 0.28 else 0.14 end) / 1000000 as decimal(12,8)) as cost from {events}")
 q("H38_cache_rate", f"select event_type, case when sum(cost) = 0 then null else round(cast(sum(cost) filter (where user_id % 2 = 0) as double) / cast(sum(cost) as double), 6) end as rate from {LEDGER} group by event_type")
 q("H39_label_confidence", "select doc_id, case when lower(text) like '%license%' then 'high' when n_chars > 2000 then 'medium' else 'low' end as confidence from {documents}")
 q("H40_transition", "select a.s as from_state, b.s as to_state, (a.s, b.s) in (('candidate', 'draft'), ('candidate', 'rejected'), ('draft', 'active'), ('draft', 'rejected'), ('active', 'dormant'), ('active', 'closed'), ('dormant', 'active'), ('dormant', 'closed'), ('closed', 'active')) as allowed from (values ('candidate'), ('draft'), ('active'), ('dormant'), ('closed'), ('rejected')) a(s), (values ('candidate'), ('draft'), ('active'), ('dormant'), ('closed'), ('rejected')) b(s)")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as tx
+from quillstream.operators.near_duplicates import text_pairs
 from quillstream.operators.search import RRF, fuse, keyword_channel, keyword_matches, postings, vector_channel
+from quillstream.operators.tables import cut
 from quillstream.plans.registry import frame_query, read
 
 K = 20
@@ -90,20 +92,17 @@ _SETS = "sets as (select doc_id, list_distinct([lower(x) for x in regexp_extract
 
 @frame_query("J11_near_duplicates", f"with {_SETS} select a.doc_id as left_id, b.doc_id as right_id, round(len(list_intersect(a.s, b.s))::double / (a.n + b.n - len(list_intersect(a.s, b.s))), 6) as jaccard from rare a join rare b on a.doc_id > b.doc_id and (a.doc_id % 720) - (b.doc_id % 720) between -72 and 72 where least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) and len(list_intersect(a.s, b.s))::double / (a.n + b.n - len(list_intersect(a.s, b.s))) >= 0.7")
 def j11(spark: SparkSession, d: str) -> DataFrame:
-    """Token-set Jaccard of 0.7 and more within 72 hours, by prefix filtering: two such sets share one of their rarest tokens."""
-    docs = read(spark, d, "documents")
-    p = postings(docs).select("doc_id", "token")
-    df = p.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    sets = docs.select("doc_id", F.array_distinct(tx.tokenize(F.col("text"))).alias("s")).filter(F.size("s") >= 40)
-    w = Window.partitionBy("doc_id").orderBy("df", "token")
-    ranked = p.join(df, "token").withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    prefix = ranked.filter((F.col("n") >= 40) & (F.col("r") <= F.col("n") - F.ceil(0.7 * F.col("n")) + 1)).select("doc_id", "token", "n", F.floor((F.col("doc_id") % 720) / 73).alias("band"))
-    right = prefix.select(F.col("doc_id").alias("other"), "token", F.col("n").alias("m"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    pairs = prefix.join(right, ["token", "band"]).filter((F.col("doc_id") > F.col("other")) & F.abs(F.col("doc_id") % 720 - F.col("other") % 720).between(0, 72) & (F.least("n", "m") >= 0.7 * F.greatest("n", "m"))).select("doc_id", "other").distinct()
-    both = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("other"), F.col("s").alias("t")), "other")
-    common = F.size(F.array_intersect("s", "t"))
-    j = common.cast("double") / (F.size("s") + F.size("t") - common)
-    return both.filter(j >= 0.7).select(F.col("doc_id").alias("left_id"), F.col("other").alias("right_id"), F.round(j, 6).alias("jaccard"))
+    """Token-set Jaccard of 0.7 and more within 72 hours. Different sets are compared once each; their documents are paired after."""
+    docs = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 720).alias("at"), F.array_sort(F.array_distinct(tx.tokenize(F.col("text")))).alias("s"))
+    sized = cut(docs.filter(F.size("s") >= 40).withColumn("key", F.xxhash64("s")).withColumn("band", F.floor(F.col("at") / 73)))
+    scored = text_pairs(sized, 0.7).filter("key < other")
+    own = sized.select("key", F.col("key").alias("other"), F.lit(1.0).alias("score")).distinct()
+    # bands of neighbours only: a group of copies is cut by time before its documents are paired
+    left = sized.select("key", F.col("doc_id").alias("x"), F.col("at").alias("x_at"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+    right = sized.select(F.col("key").alias("other"), F.col("doc_id").alias("y"), F.col("at").alias("y_at"), "band")
+    pairs = left.join(scored.unionByName(own), "key").join(right, ["other", "band"]).filter(F.abs(F.col("x_at") - F.col("y_at")) <= 72)
+    pairs = pairs.filter((F.col("key") != F.col("other")) | (F.col("x") > F.col("y")))
+    return pairs.select(F.greatest("x", "y").alias("left_id"), F.least("x", "y").alias("right_id"), F.round("score", 6).alias("jaccard"))
 
 
 @frame_query("H21_normalize_url")
