@@ -129,5 +129,5 @@ def test_articles(spark):
     assert (b["body"], b["title"], b["published_at"], b["strategy"]) == (long, "T", utc(2026, 8, 30), "selector")
     assert all(r["error"] and r["body"] is None for r in bad) and len(bad) == 3
     raw = json.dumps({"data": {"title": "T", "published_date": "2026-08-30T00:00:00Z", "content": {"api_data": [{"type": "unstyled", "content": [f"<b>{long}</b><!-- x -->"]}, {"type": "image", "content": ["no"]}, {"type": "infobox", "content": [{"body": "<p>box</p>"}]}]}}})
-    c, d = articles.extract_articles(spark.createDataFrame([(1, raw, None), (2, "{", None)], df.schema), blocks=True).orderBy("page_id").collect()
+    c, d = articles.block_articles(spark.createDataFrame([(1, raw, None), (2, "{", None)], df.schema)).orderBy("page_id").collect()
     assert c["body"] == f"{long}\nbox" and d["error"] == "not JSON"
