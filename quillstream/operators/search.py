@@ -196,3 +196,21 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, query_vectors: DataFrame
 
 def channel_names(channels: Column) -> Column:
     return F.array_join(F.array_sort(F.map_keys(channels)), "+")
+
+
+def event_queries(events: DataFrame, docs: DataFrame, max_share: float = 0.015) -> DataFrame:
+    """(event_id, identity, support) of rows (event_id, title, core_terms) against first versions (doc_id, text).
+
+    The title without its suffix tells the event, however frequent it is. Of the core terms go those that are anonymised, too
+    short, the identity itself, or in more than max_share of the documents, all tokens of a term counting together; the
+    others stay in their order, once each.
+    """
+    named = events.select("event_id", tx.title_term(F.col("title")).alias("identity"), F.posexplode_outer("core_terms").alias("at", "term"))
+    fit = F.col("term").isNotNull() & ~tx.is_generic_term(F.col("term")) & (F.col("term") != F.col("identity"))
+    n = max(1, docs.count())
+    asked = named.filter(fit).select(F.col("term").alias("query_id"), F.col("term").alias("text")).distinct()
+    common = keyword_matches(docs, asked, all_terms=True).groupBy("query_id").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > max_share * n).select(F.col("query_id").alias("term"), F.lit(True).alias("common"))
+    kept = named.join(common, "term", "left").withColumn("kept", fit & F.col("common").isNull())
+    once = kept.groupBy("event_id", "identity", F.when(F.col("kept"), F.col("term")).alias("term")).agg(F.min("at").alias("at"))
+    support = F.transform(F.filter(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"].isNotNull()), lambda x: x["term"])
+    return once.groupBy("event_id", "identity").agg(support.alias("support"))

@@ -317,3 +317,12 @@ def h22(spark: SparkSession, d: str) -> DataFrame:
     return n.select("l_orderkey", classify.risk_tier(F.col("persons"), F.col("open")).alias("tier"))
 
 
+
+
+@frame_query("P24_event_queries", f"with {_DOCS}, {_POST}, df as (select token, count(*) as df from post group by 1), t as (select item_id as event_id, toks[1] as identity, unnest(toks[2:9]) as term, generate_subscripts(toks[2:9], 1) as i from (select item_id, {_TOKS.format('text')} as toks from benchmark) x), k as (select event_id, identity, term, min(i) as i from t where length(term) >= 2 and term <> identity and term not in (select token from df where df > 0.015 * (select count(*) from base)) group by 1, 2, 3) select event_id, identity, coalesce(array_to_string(list(term order by i) filter (where term is not null), ' '), '') as support from (select distinct event_id, identity from t) e left join k using (event_id, identity) group by 1, 2")
+def p24(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of events: the title's term, and core terms that are neither too short nor in too many documents."""
+    toks = tx.tokenize(F.col("text"))
+    known = read(spark, d, "benchmark").select(F.col("item_id").alias("event_id"), F.concat(F.get(toks, F.lit(0)), F.lit("弊案")).alias("title"), F.slice(toks, 2, 8).alias("core_terms"))
+    got = search.event_queries(known.filter("title is not null"), documents(spark, d).filter("canonical_of is null"))
+    return got.select("event_id", "identity", F.array_join("support", " ").alias("support"))

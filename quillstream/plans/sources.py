@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream.operators import sources, tables
 from quillstream.plans.registry import frame_query, read
+from quillstream.sources import archives
 
 _WALK = """with li as (select * replace (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)::int as l_linenumber) from lineitem), p as (select l_orderkey as source, l_linenumber as page, case when l_quantity > 48 then [] when l_linenumber % 4 = 0 then ['u' || (l_orderkey + l_linenumber - 1)] else ['u' || (l_orderkey + l_linenumber)] end as urls, l_tax = 0.08 as failed from li),
 k as (select *, exists (select 1 from part where p_size < 5 and list_contains(urls, 'u' || p_partkey)) as met, lag(urls) over w as before, lag(page) over w as before_page from p window w as (partition by source order by page)),
@@ -88,3 +89,24 @@ def z28(spark: SparkSession, d: str) -> DataFrame:
     made = c.filter("conv_id % 3 = 0").select("conv_id", F.lit("title 0").alias("title")).distinct()
     got = sources.proposals(c.select("conv_id", title.alias("title"), F.col("text").alias("summary"), F.array(*[F.lit(x) for x in "abc"]).alias("tags")), made)
     return got.select("conv_id", "title", F.size("tags").alias("n_tags"))
+
+
+_SPEC = "(select o_orderkey as k, ['date', 'page', 'offset'][(o_orderkey % 3 + 1)::int] as kind, 5 + o_orderkey % 7 as pagesize, case when o_orderkey % 2 = 0 then 'POST' else 'GET' end as method, o_orderdate::date as day, o_orderkey % 50 as n from orders) o"
+
+
+@frame_query("A9_archive_requests", f"select k, method, 'https://t.test/' || case kind when 'date' then strftime(day, '%Y/%m/%d') when 'page' then (n + 1)::varchar else (n * pagesize)::varchar end as url, case when method = 'POST' then '{{\"page\": ' || case kind when 'page' then n + 1 else 1 end || ', \"size\": ' || pagesize || '}}' end as body, kind = 'date' and day > date '1997-01-01' or n >= 40 as ended from {_SPEC}")
+def a9(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as archives of three kinds, each some units into its walk, with its next request; cursors go through their JSON form."""
+    key = F.col("o_orderkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("date", "page", "offset")]), (key % 3 + 1).cast("int"))
+    mark = F.element_at(F.array(*[F.lit(f"https://t.test/{{{x}}}") for x in ("date", "page", "offset")]), (key % 3 + 1).cast("int"))
+    post = key % 2 == 0
+    spec = F.struct(kind.alias("kind"), mark.alias("url"), F.lit("yyyy/MM/dd").alias("date_format"), (5 + key % 7).cast("int").alias("pagesize"), F.lit(1).alias("first"), F.when(post, "POST").otherwise("GET").alias("method"), F.when(post, '{"page": {page}, "size": {pagesize}}').alias("body"), F.lit(40).alias("max_units"))
+    n = (key % 50).cast("int")
+    rows = read(spark, d, "orders").select(key.alias("k"), spec.alias("s"), n.alias("n"), F.col("o_orderdate").cast("date").alias("day"))
+    start = rows.withColumn("c", archives.initial_cursor(F.col("s"), F.date_sub("day", "n")))
+    # n units on, by the sum of n steps: date, page and offset move alike each time
+    moved = F.aggregate(F.sequence(F.lit(0), F.col("n")), F.col("c"), lambda c, i: F.when(i == 0, c).otherwise(archives.advance_cursor(F.col("s"), c)))
+    at = start.withColumn("at", archives.read_cursor(archives.cursor_json(moved)))
+    request = archives.build_request(F.col("s"), F.col("at"))
+    return at.select("k", request.alias("r"), archives.ended(F.col("s"), F.col("at"), F.lit("1997-01-01").cast("date")).alias("ended")).select("k", "r.method", "r.url", "r.body", "ended")
