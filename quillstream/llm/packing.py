@@ -32,7 +32,9 @@ K1, B = 1.2, 0.75
 #: Terms in more than this share of a shard's documents keep a weight for each document instead of postings.
 DENSE_SHARE = 1 / 16
 #: The router: sampled documents (the bound), levels of its tree, steps along each leaf, projections.
-ROUTER_DOCS, LEVELS, STEPS, PROJECTIONS = 6_000, 8, 16, 64
+ROUTER_DOCS, LEVELS, STEPS, PROJECTIONS = 4_000, 7, 32, 64
+#: Terms in more documents than this share say little about what a document is like, and don't route it.
+ROUTE_SHARE = 0.1
 TERMS = 1 << 16
 
 
@@ -99,6 +101,8 @@ def _signs() -> np.ndarray:
 def projected(texts: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     """Unit vectors of random projections of the texts' weighted terms."""
     text, term, tf = terms_of(texts)
+    telling = idf[term] > -np.log(ROUTE_SHARE)
+    text, term, tf = text[telling], term[telling], tf[telling]
     weight = (np.log1p(tf) * idf[term]).astype(np.float32)
     edge = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
     signs = _signs()

@@ -34,6 +34,21 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+#: Characters of Latin-1 that need no look beyond: no control characters, no soft hyphen.
+_PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA0, 0xAD), *range(0xAE, 0x100)])
+
+
+def _is_plain(text: str) -> bool:
+    """Whether the fast way is right for a text: in the plain Latin range, composed, without controls and markers."""
+    try:
+        raw = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not _ODD.search(text) and unicodedata.is_normalized("NFC", text)
+    if raw.translate(None, _PLAIN):
+        return not _ODD.search(text) and unicodedata.is_normalized("NFC", text)
+    return b"<|" not in raw
+
+
 class Encoder:
     """encode(texts) gives the ids of each text as little-endian uint16 bytes, without the closing id."""
 
@@ -62,7 +77,8 @@ class Encoder:
 
     def _learn(self, chunks: list[str]) -> None:
         split = self.pieces.findall
-        joined = _GAP.join(["".join([p + _END for p in split(c)]) for c in chunks])
+        # letters alone are one piece
+        joined = _GAP.join([c + _END if c.isalpha() else "".join([p + _END for p in split(c)]) for c in chunks])
         ids = np.asarray(self.fast.encode_to_numpy(joined, disallowed_special=())).astype("<u2")
         at = np.flatnonzero(ids == self.gap_id) * 2
         raw = ids.tobytes()
@@ -76,7 +92,7 @@ class Encoder:
             for i, text in enumerate(texts[k : k + step], k):
                 if not text:
                     continue
-                if _ODD.search(text) or not unicodedata.is_normalized("NFC", text):
+                if not _is_plain(text):
                     out[i] = np.asarray(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
                 else:
                     plain.append((i, text.lower().split()))
