@@ -256,8 +256,9 @@ def links(fps: DataFrame, budget: int = BUDGET, group_rows: int = 20_000) -> Dat
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge: root is the smallest node reachable, in signed order.
 
-    Alternating large-star and small-star steps (Kiveris and others, 2014); each row's neighbourhood is only ever reduced to
-    its minimum by an aggregate that combines before it shuffles, so a node with any number of edges is no hot task.
+    Alternating large-star and small-star steps (Kiveris and others, 2014). Each neighbourhood is reduced to its minimum by an
+    aggregate that combines before it shuffles; the joins that bring the minimum back have a node's edges on one key, which
+    Spark splits where they are skewed.
     """
     e = cut(edges.select("a", "b").filter("a <> b").distinct())
     if e.isEmpty():
