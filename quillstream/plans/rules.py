@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions import dates, ident, pricing
+from quillstream.functions import dates, fingerprint, ident, pricing
 from quillstream.functions import text as tx
 from quillstream.operators import graph, search, tables
 from quillstream.plans.events import _DOCS, _EVENTS, _PINS, documents, events
@@ -150,3 +150,11 @@ _literal("H26_title_term", [("京華城容積案", "京華城容積"), ("某弊
 _literal("H27_generic_term", [("王姓男子", True), ("王姓", True), ("王", True), ("王小明", False), ("沈慶京", False)], tx.is_generic_term)
 _literal("H28_company", [("大有公司", True), ("某營造", True), ("公司法", False), ("沈慶京", False)], tx.looks_like_company)
 _literal("H18_date_time", [("2024-03-05T01:30:00+08:00", 1709573400), ("2024-03-05 01:30:00", 1709602200), ("2024-03-05", None)], lambda c: F.unix_timestamp(dates.parse_datetime(c)))
+_literal("H21_url_rules", [("http://a/b?UTM_source=1&x=2&ref=3#top", "http://a/b?x=2"), ("http://a/b?ref=3", "http://a/b"), ("http://a/b", "http://a/b"), ("http://a/b?x=1&y=2", "http://a/b?x=1&y=2")], tx.normalize_url)
+
+
+@frame_query("G20_weighted_bits", "select * from (values (0, 4681665781835383343), (1, 3811827784116995843), (2, -7779615825255659392), (3, 0), (4, 0)) x(i, simhash)")
+def g20(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of a few texts; a token that comes twice weighs twice."""
+    rows = list(enumerate(["a", "one two TWO three", "檢察官", "", None]))
+    return fingerprint.with_simhash(spark.createDataFrame(rows, "i int, text string"), "i", "text")
