@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions import dates, fingerprint, ident, pricing
+from quillstream.functions import classify, courts, dates, fingerprint, ident, pricing
 from quillstream.functions import text as tx
 from quillstream.operators import graph, search, tables
 from quillstream.plans.events import _DOCS, _EVENTS, _PINS, documents, events
@@ -158,3 +158,28 @@ def g20(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of a few texts; a token that comes twice weighs twice."""
     rows = list(enumerate(["a", "one two TWO three", "檢察官", "", None]))
     return fingerprint.with_simhash(spark.createDataFrame(rows, "i int, text string"), "i", "text")
+
+
+@frame_query("H29_snippets", "select doc_id, left(replace(text, chr(10), ' '), 200) as snippet from documents")
+def h29(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", tx.snippet(F.col("text")).alias("snippet"))
+
+
+@frame_query("H32_url_fingerprints", "select page_id % 50 as source, sha1(array_to_string(list(url order by url), chr(10))) as fp from pages group by 1")
+def h32(spark: SparkSession, d: str) -> DataFrame:
+    """What a list page's addresses come to, whatever their order."""
+    return read(spark, d, "pages").groupBy((F.col("page_id") % 50).alias("source")).agg(tx.fingerprint_urls(F.collect_list("url")).alias("fp"))
+
+
+@frame_query("Z13_without_markup", r"select page_id, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as text from pages")
+def z13(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select("page_id", tx.strip_markup(F.col("html")).alias("text"))
+
+
+_literal("H25_courts", [("北院", "臺灣臺北地方法院"), ("台北地檢署", "臺灣臺北地方檢察署"), ("台灣高等法院", "臺灣高等法院"), ("最高檢", "最高檢察署"), ("橋頭地院", "臺灣橋頭地方法院"), ("地院", "地院"), (None, "")], courts.normalize_court)
+_literal("H23_schemas", [("judicial_process", "judicial"), ("corruption_charge", "corruption"), ("oversight", "generic"), ("judicial_body,corruption_charge", "judicial"), ("", "generic")], lambda c: classify.choose_schema(F.split(c, ",")))
+_literal("P16_relevance", [("立法院院會", False), ("台北地方法院開庭", True), ("今天天氣晴", False), ("檢方起訴被告", True), ("113年度金訴字第51號", True), ("", False)], lambda c: classify.assess_relevance(c, F.lit(""))["relevant"])
+_literal("H22_wording", [("他已定讞，定讞", "定讞,定讞"), ("法院一審判決A有罪，處有期徒刑8年", ""), ("A有罪", "有罪"), ("", "")], lambda c: F.array_join(F.transform(classify.wording_violations(c, F.lit(False)), lambda v: v["term"]), ","))
+_literal("H31_relative_urls", [("../c?d=1", "http://h/c?d=1"), ("/x/./y", "http://h/x/y"), ("//o/z", "http://o/z"), ("http://q/", "http://q/"), ("", ""), ("e", "http://h/a/e")], lambda c: tx.resolve_url(c, F.lit("http://h/a/b")))
+_literal("H30_clean_titles", [("  A   b  09:30", "A b"), ("A 9:05", "A"), ("at 09:30 sharp", "at 09:30 sharp")], tx.clean_title)
+_literal("H36_cut_replies", [('{"reply": "a \\"b\\"', 'a "b"'), ("x", None), ('{"reply": "whole"}', "whole")], tx.salvage_reply)
