@@ -67,10 +67,14 @@ PHONE = r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 CARD = r"(?<![\p{L}\p{N}])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-PERSON = rf"\b(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})|{_CUE}(?:{_REAL})(?: {_REAL}){{0,2}}"
+PERSON = rf"\b(?=\p{{Lu}})(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})"
+#: A name after words that announce it; looked for only in texts that have such words, for looking back is dear.
+ANNOUNCED = rf"{_CUE}(?:{_REAL})(?: {_REAL}){{0,2}}"
 ENTITY = "(?U)" + "|".join((EMAIL, IP, SSN, PHONE, CARD, IBAN, PERSON))
+ENTITY_OR_ANNOUNCED = f"{ENTITY}|{ANNOUNCED}"
 #: What every entity holds: cheap to look for.
-_PERSON_HINT = rf"\b(?:{_TITLE})\.? \p{{Lu}}|\b(?:{_ALL_GIVEN}) \p{{Lu}}|\b(?:{'|'.join(CUES)}) \p{{Lu}}"
+_CUE_HINT = rf"\b(?:{'|'.join(CUES)}) \p{{Lu}}"
+_PERSON_HINT = rf"\b(?=\p{{Lu}})(?:(?:{_TITLE})\.? \p{{Lu}}|(?:{_ALL_GIVEN}) \p{{Lu}})|{_CUE_HINT}"
 HINT = rf"[0-9@]|{_PERSON_HINT}"
 #: What follows ENTITY where a document names persons: their names, each between quotation marks of the pattern.
 _MORE = rf"|(?<=\b(?:{'|'.join(JOINS)}) ){_REAL} {_REAL}|(?<![\p{{L}}\p{{N}}])(?:{_REAL} )?(?:"
@@ -225,19 +229,29 @@ def surrogate(e: Column, changed: Column, key: str) -> Column:
 
 def entities(text: Column) -> Column:
     """Struct of the text's entities `e`, in order, and the pattern `p` that finds them (null: ENTITY alone)."""
+    find = lambda p: F.regexp_extract_all(text, p if isinstance(p, Column) else F.lit(p), F.lit(0))
 
-    def with_names(first: Column) -> Column:
+    def with_names(first: Column, announced: Column) -> Column:
         persons = F.filter(first, lambda e: kind_of(e) == "person")
         parts = F.filter(F.flatten(F.transform(persons, _name_parts)), lambda p: (p["k"] != "title") & (F.length(p["w"]) > 1))
-        names = F.array_distinct(F.transform(parts, lambda p: p["w"]))
-        return let(names, lambda n: F.when(F.size(n) > 0, F.concat(F.lit(ENTITY + _MORE), F.array_join(F.transform(n, lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), "|"), F.lit(_MORE_END))))
+        quoted = lambda n: F.array_join(F.transform(n, lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), "|")
+        pattern = lambda n: F.when(F.size(n) > 0, F.concat(F.lit(ENTITY_OR_ANNOUNCED + _MORE), quoted(n), F.lit(_MORE_END))).when(announced, F.lit(ENTITY_OR_ANNOUNCED))
+        return let(F.array_distinct(F.transform(parts, lambda p: p["w"])), pattern)
 
-    def found(first: Column) -> Column:
-        again = lambda p: F.struct(F.when(p.isNull(), first).otherwise(F.regexp_extract_all(text, p, F.lit(0))).alias("e"), p.alias("p"))
-        return let(F.when(text.rlike(f"(?U){_PERSON_HINT}"), with_names(first)), again)
+    def found(x: Column) -> Column:
+        again = lambda p: F.struct(F.when(p.isNull(), x["first"]).otherwise(find(p)).alias("e"), p.alias("p"))
+        return let(F.when(x["person"], with_names(x["first"], x["announced"])), again)
 
-    none = F.array().cast("array<string>")
-    return let(F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none), found)
+    def first(x: Column) -> Column:
+        some = F.when(x["announced"], find(ENTITY_OR_ANNOUNCED)).otherwise(find(ENTITY))
+        return let(F.struct(some.alias("first"), x["person"].alias("person"), x["announced"].alias("announced")), found)
+
+    def hinted() -> Column:
+        hints = let(text.rlike(_PERSON_HINT), lambda person: F.struct(person.alias("person"), (person & text.rlike(_CUE_HINT)).alias("announced")))
+        return let(hints, first)
+
+    nothing = F.struct(F.array().cast("array<string>").alias("e"), F.lit(None).cast("string").alias("p"))
+    return F.when(text.rlike(HINT), hinted()).otherwise(nothing)
 
 
 def session_key(spark: SparkSession) -> str:
@@ -263,7 +277,7 @@ def collisions(values: DataFrame, key: str, max_rounds: int = 30) -> DataFrame:
 def replace(docs: DataFrame, key: str, text: str = "text", counts: bool = False) -> DataFrame:
     """docs with surrogates, keyed by the caller's secret, in its text column; with counts also n_entities and kinds (of the entities, in order)."""
     own = fresh(docs, "_pii")
-    named = docs.select(F.col(text).alias("t")).filter(F.coalesce(F.col("t").rlike(f"(?U)@|{_PERSON_HINT}"), F.lit(False)))
+    named = docs.select(F.col(text).alias("t")).filter(F.coalesce(F.col("t").rlike(f"@|{_PERSON_HINT}"), F.lit(False)))
     values = named.select(F.xxhash64("t").alias("text_hash"), F.explode_outer(checked_values(entities(F.col("t"))["e"])).alias("v"))
     values = values.select("text_hash", "v.kind", "v.canon").filter("canon is not null")
     changed = cut(collisions(values.select("kind", "canon"), key))
