@@ -46,4 +46,57 @@ c as (select page_id, i, trim(regexp_replace(replace(replace(replace(replace(rep
 select page_id, url, coalesce(t, '') as text, length(coalesce(t, '')) as n_chars from pages left join (select page_id, string_agg(x, chr(10) || chr(10) order by i) as t from c where x <> '' group by 1) j using (page_id)
 """
 
-SQL: dict[str, str] = {"op2_html_extraction": OP2, "op3_decontamination": OP3, "op8_quality_rules": OP8, "op10_substring_dedup": OP10}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"case when ({f}) is null then '-' else strlen(({f})::varchar) || ':' || ({f})::varchar end" for f in fields) + ")"
+
+
+#: zlib's CRC-32: the table from its rule, and the check sum of a text column `x` of `words_` as `crc`.
+_CRC = r"""
+tab as (select list(v order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v from range(256) r(i))),
+crcs as (select x, xor(list_reduce(list_concat([4294967295], [('0x' || substr(h, 2 * k - 1, 2))::bigint for k in range(1, length(h) // 2 + 1)]), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc from (select x, hex(encode(x)) as h from words_) w, tab)
+"""
+
+OP12 = rf"""
+with d as (select doc_id, [x for x in string_split_regex(regexp_replace(regexp_replace({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '^ | $', '', 'g'), ' ') if x <> ''] as w from (select doc_id, coalesce(text, '') as text from documents) q),
+b as (select [x for x in string_split_regex({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as w from (select coalesce(text, '') as text from benchmark) q),
+dw as (select doc_id, unnest(w) as x from d), bw as (select unnest(w) as x from b),
+words_ as (select x from dw union select x from bw),
+{_CRC},
+f as (select doc_id, crc % 10000 as k, count(*) as c from dw join crcs using (x) group by 1, 2),
+s as (select k, sum(c) as s from f group by 1), t as (select crc % 10000 as k, count(*) as t from bw join crcs using (x) group by 1),
+g as (select k, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select coalesce(sum(s), 0) from s) + 10000)::double / ((s + 1)::double * ((select coalesce(sum(t), 0) from t) + 10000)::double)))::bigint as g from s left join t using (k)),
+m as (select doc_id, sum(c)::bigint as n, sum(c * g)::bigint as total from f join g using (k) group by 1),
+h as (select d.doc_id, len(w) as n_words, coalesce(n, 0) as n_features, case when n > 0 then (total - ((total % n) + n) % n) // n else 0 end as weight, ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint as h from d left join m using (doc_id)),
+z as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double)))::bigint as score from h),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as r, count(*) over () as of from z where n_words >= 20)
+select z.doc_id, n_features::bigint as n_features, weight::bigint as weight, score::bigint as score, case when r <= 10 * of // 100 then r end as rank from z left join r using (doc_id)
+"""
+
+OP13 = rf"""
+with recursive words_ as (select doc_id::varchar as x from documents where doc_id is not null),
+{_CRC},
+l as (select doc_id, lang, {_leaf("n_chars")} as leaf, case when crc % 7 = 0 then {_leaf("n_chars + 1")} else {_leaf("n_chars")} end as alt from documents left join (select distinct * from crcs) c on x = doc_id::varchar),
+p as (select *, row_number() over (partition by lang order by doc_id) - 1 as i from l),
+up as (
+  select lang, 0 as k, list(leaf order by i) as a from p group by lang
+  union all select lang, k + 1, [sha256(array_to_string(a[j : j + 1], '')) for j in range(1, len(a) + 1, 2)] from up where len(a) > 1),
+sub as (select lang, a[1] as subroot, row_number() over (order by lang nulls first) - 1 as i from up where len(a) = 1),
+top as (
+  select 0 as k, list(subroot order by i) as a from sub
+  union all select k + 1, [sha256(array_to_string(a[j : j + 1], '')) for j in range(1, len(a) + 1, 2)] from top where len(a) > 1),
+way as (
+  select doc_id, k, case when xor(p.i >> k, 1) < len(a) then (case when (p.i >> k) & 1 = 1 then 'L' else 'R' end) || a[xor(p.i >> k, 1) + 1] else '-' end as s from p join up on p.lang is not distinct from up.lang and len(a) > 1
+  union all select doc_id, 1000 + k, case when xor(sub.i >> k, 1) < len(a) then (case when (sub.i >> k) & 1 = 1 then 'L' else 'R' end) || a[xor(sub.i >> k, 1) + 1] else '-' end from p join sub on p.lang is not distinct from sub.lang, top where len(a) > 1),
+ways as (select doc_id, list(s order by k) as ss from way group by 1),
+told as (
+  select doc_id, leaf, subroot, (select a[1] from top where len(a) = 1) as root, sha256(array_to_string([substr(s, 2) for s in coalesce(ss, []::varchar[])], '')) as proof_sha256,
+  list_reduce(list_concat([alt], coalesce(ss, []::varchar[])), lambda h, s: sha256(case s[1] when 'L' then substr(s, 2) || h when 'R' then h || substr(s, 2) else h end)) as folded_root
+  from p join sub on p.lang is not distinct from sub.lang left join ways using (doc_id))
+select *, folded_root = root as verified from told
+"""
+
+SQL: dict[str, str] = {"op2_html_extraction": OP2, "op3_decontamination": OP3, "op8_quality_rules": OP8, "op10_substring_dedup": OP10, "op12_importance_resampling": OP12, "op13_merkle_manifest": OP13}

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline."""
+"""The registered queries of the operators and of the pipeline."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import decontaminate, html_extract, licenses, packing, pii, quality, secrets, simhash, substrings, training_order
+from quillstream.llm import decontaminate, html_extract, licenses, manifest, packing, pii, quality, resampling, secrets, simhash, substrings, training_order
 from quillstream.llm.common import table
 
 
@@ -51,6 +51,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lexical_packing": op1_lexical_packing,
     "op2_html_extraction": op2_html_extraction,
@@ -62,4 +70,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_training_order": op9_training_order,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
