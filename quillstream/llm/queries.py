@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import decontaminate, html_extract, licenses, manifest, packing, pii, quality, resampling, secrets, simhash, substrings, training_order
+from quillstream.llm import decontaminate, html_extract, licenses, manifest, packing, pii, quality, resampling, secrets, simhash, substrings, suffix_array, training_order
 from quillstream.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_training_order": op9_training_order,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_suffix_array_dedup": op11_suffix_array_dedup,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
