@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import time
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -87,6 +88,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def cut_by(df: DataFrame, partitions: int, key: str) -> DataFrame:
+    """df dealt out by key and cut; what groups it by key later reads the folder without another shuffle.
+
+    A checkpoint keeps the partitioning of its plan only if that plan is not adaptive.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(partitions, key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+class Written:
+    """A table in the shared folder, for as long as it is needed; unlike a checkpoint's, its files are compressed."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.path = df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.table = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def lots(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, so that few texts at a time become Python objects; gives memory back after the last.
 

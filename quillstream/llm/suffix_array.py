@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import cut, fresh, give_back, release
+from quillstream.llm.common import Written, cut, cut_by, fresh, give_back, release
 from quillstream.llm.substrings import LAST, _expanded, _from_planes, _mix, _parts, _planes, _squeezed
 
 WINDOW = 100
@@ -256,7 +256,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     def segments(t: pa.Table, answers: pa.Table) -> pa.Table:
         """One row for each segment of the bucket, at its first occurrence, and one with the windows of all others."""
         names = ["g", "d1", "d2", "id", "row", "first", "last"]
-        schema = pa.schema([("bucket", pa.int32()), ("runs", pa.binary()), *[(c, pa.int64()) for c in names]])
+        schema = pa.schema([("bucket", pa.int32()), ("runs", pa.binary()), ("g", pa.int32()), *[(c, pa.int64()) for c in names[1:]]])
         if not t.num_rows:
             return schema.empty_table()
         b = Bucket(t)
@@ -270,19 +270,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         rest = np.ones(len(first), bool)
         rest[head] = False
         row = b.rows(first[head])
-        cols = [g[head].view(np.int64), d[head, 0], d[head, 1], b.doc[row], b.row[row], first[head], last[head]]
-        one = pa.table({"bucket": pa.array([b.number], pa.int32()), "runs": pa.array([_runs(first[rest], last[rest])], pa.binary()), **{c: pa.nulls(1, pa.int64()) for c in names}}, schema=schema)
+        cols = [(g[head] >> _U(32)).astype(np.uint32).view(np.int32), d[head, 0], d[head, 1], b.doc[row], b.row[row], first[head], last[head]]
+        one = pa.table({"bucket": pa.array([b.number], pa.int32()), "runs": pa.array([_runs(first[rest], last[rest])], pa.binary()), "g": pa.nulls(1, pa.int32()), **{c: pa.nulls(1, pa.int64()) for c in names[1:]}}, schema=schema)
         many = pa.table({"bucket": pa.array(np.full(len(head), b.number, np.int32)), "runs": pa.nulls(len(head), pa.binary()), **{c: pa.array(v) for c, v in zip(names, cols)}}, schema=schema)
         del b, name
         give_back()
         return pa.concat_tables([one, many])
 
-    found = cut(packed.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(segments, "bucket int, runs binary, g long, d1 long, d2 long, id long, row long, first long, last long"))
+    schema = "bucket int, runs binary, g int, d1 long, d2 long, id long, row long, first long, last long"
+    kept = Written(packed.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(segments, schema))
     release(spark)
+    found = kept.table
     rows = found.filter("runs is null").drop("runs")
-    earliest = cut(rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "row", "first")).alias("lead"), F.first("g").alias("g")))
+    earliest = rows.groupBy("d1", "d2").agg(F.min(F.struct("id", "row", "first")).alias("lead"), F.first("g").alias("g"))
     several = earliest.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g", F.lit(True).alias("open"))
-    named = cut(earliest.join(several, "g", "left").select("d1", "d2", "lead", "open"))
+    named = earliest.join(several, "g", "left").select("d1", "d2", "lead", "open")
     told = rows.join(named, ["d1", "d2"]).withColumn("leads", F.struct("id", "row", "first") == F.col("lead"))
     told = cut(told.filter("not leads or open").select("bucket", "first", "last", "leads"))
     release(spark)
@@ -295,7 +297,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
         if not t.num_rows or not answers.num_rows:
             return schema.empty_table()
         b = Bucket(t)
-        first, last = (answers.column(c).to_numpy() for c in ("first", "last"))
+        first, last = (answers.column(c).to_numpy().astype(np.int64) for c in ("first", "last"))
         order = np.argsort(first)
         first, last = first[order], last[order]
         new = np.r_[True, first[1:] != last[:-1] + 1]
@@ -314,6 +316,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     gone = found.filter("runs is not null").select("bucket", "runs").unionByName(told.filter("not leads").select("bucket", "first", "last").groupBy("bucket").applyInArrow(_as_runs, RUNS))
     late = _doubled(stretches, window, lengths, bits, part_pairs)
     gone = cut(gone if late is None else gone.unionByName(late))
+    kept.drop()
     release(spark)
 
     def apply(t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -361,7 +364,7 @@ def _from_runs(raw) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _as_runs(t: pa.Table) -> pa.Table:
-    return pa.table({"bucket": t.column("bucket").slice(0, 1), "runs": pa.array([_runs(t.column("first").to_numpy(), t.column("last").to_numpy())], pa.binary())})
+    return pa.table({"bucket": t.column("bucket").slice(0, 1), "runs": pa.array([_runs(*[t.column(c).to_numpy().astype(np.int64) for c in ("first", "last")])], pa.binary())})
 
 
 def _packed(docs: DataFrame, text: str, id_column: str, buckets: int) -> DataFrame:
@@ -381,7 +384,7 @@ def _packed(docs: DataFrame, text: str, id_column: str, buckets: int) -> DataFra
     number = fresh(docs, "_row")
     rows = docs.withColumn(number, F.monotonically_increasing_id()).select(F.col(id_column).cast("long").alias("id"), F.col(number).alias("row"), F.col(text).cast("string"))
     dealt = rows.mapInArrow(pack, "id long, row long, z binary").withColumn("bucket", F.pmod(F.xxhash64(F.lit(11), "row"), F.lit(buckets)).cast("int"))
-    return cut(dealt.repartition(min(buckets, MAX_PARTITIONS), "bucket"))
+    return cut_by(dealt, min(buckets, MAX_PARTITIONS), "bucket")
 
 
 def _doubled(stretches: DataFrame, window: int, lengths: list[int], bits: int, part_pairs: int) -> DataFrame | None:
