@@ -207,29 +207,61 @@ def _u64(raw) -> np.ndarray:
     return _from_planes(raw).view(np.uint64)
 
 
-STATE = "bucket int, n long, windows binary, at binary, x binary, y binary"
+STATE = "bucket int, n long, windows binary, at binary, ranks binary"
 
 
-def _state(bucket: int, windows: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Table:
-    """A bucket's windows and the pairs (x, y) of the positions still in play."""
-    cols = [_squeezed(windows), _squeezed(at), _planes(x.view(np.int64)), _planes(y.view(np.int64))]
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(at)], pa.int64()), **{c: pa.array([v], pa.binary()) for c, v in zip(("windows", "at", "x", "y"), cols)}})
+def _state(bucket: int, n: int, windows: np.ndarray, at: np.ndarray, ranks: bytes) -> pa.Table:
+    """A bucket's windows and the ranks of the positions still in play, at the length last reached; before any, its bytes. n: its pairs for the next."""
+    cols = {"windows": _squeezed(windows), "at": _squeezed(at), "ranks": _small(ranks)}
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([n], pa.int64()), **{c: pa.array([v], pa.binary()) for c, v in cols.items()}})
 
 
-class _Pairs:
-    """A bucket's distinct pairs, dealt to `parts`: class of each position, order of the classes and where each part's begin."""
+def _small(raw: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _large(value) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(value.as_buffer())
+
+
+def _pair_up(windows: np.ndarray, at: np.ndarray, ranks: np.ndarray, lengths: list[int], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The positions whose pair stands for lengths[k] bytes, and the two ranks; where one has none, the string occurs once."""
+    nxt = _needed(windows, lengths, k)
+
+    def look(positions: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(at, positions), len(at) - 1)
+        return np.where(at[i] == positions, ranks[i], _U(0))
+
+    if not len(at):
+        return at, ranks, ranks
+    x, y = look(nxt), look(nxt + (lengths[k] - lengths[k - 1]))
+    both = (x > 0) & (y > 0)
+    return nxt[both], x[both], y[both]
 
-    def __init__(self, state: pa.Table, parts: int):
-        row = {c: state.column(c)[0] for c in ("windows", "at", "x", "y")}
-        self.windows, self.at = (_expanded(row[c].as_buffer()).astype(np.int64) for c in ("windows", "at"))
-        x, y = _u64(row["x"].as_buffer()), _u64(row["y"].as_buffer())
+
+class _Pairs:
+    """A bucket's distinct pairs for lengths[k], dealt to `parts`: class of each position, and the classes of each part in order."""
+
+    def __init__(self, state: pa.Table, parts: int, lengths: list[int], k: int):
+        row = {c: state.column(c)[0] for c in ("windows", "at", "ranks")}
+        self.windows, at = (_expanded(row[c].as_buffer()).astype(np.int64) for c in ("windows", "at"))
+        if k:
+            self.at, x, y = _pair_up(self.windows, at, _u64(_large(row["ranks"])), lengths, k)
+        else:
+            buf = np.frombuffer(_large(row["ranks"]), np.uint8)
+            self.at = _needed(self.windows, lengths, 0)
+            x, y = _numbers(buf, self.at), _numbers(buf, self.at + 8)
         self.of, self.first = _first_of(x, y)
         self.x, self.y = x[self.first], y[self.first]
         self.n = np.bincount(self.of, minlength=len(self.first))
         part = (_mix(self.x ^ _mix(self.y)) % _U(parts)).astype(np.int64)
-        self.order = np.lexsort((self.y, self.x, part))
-        s, e = _parts(part[self.order])
-        self.lots = [(int(part[self.order[i]]), self.order[i:j]) for i, j in zip(s, e)]
+        order = np.lexsort((self.y, self.x, part))
+        s, e = _parts(part[order])
+        self.lots = [(int(part[order[i]]), order[i:j]) for i, j in zip(s, e)]
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", window: int = WINDOW, with_text: bool = False, spans: bool = False, bucket_bytes: int = BUCKET_BYTES, slot_keys: int = SLOT_KEYS, part_pairs: int = PART_PAIRS) -> DataFrame:
@@ -313,11 +345,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
 
     stretches = cut(packed.groupBy("bucket").cogroup(told.filter("leads").groupBy("bucket")).applyInArrow(gather, "bucket int, z binary, n binary, start binary, id binary, row binary"))
     release(spark)
-    gone = found.filter("runs is not null").select("bucket", "runs").unionByName(told.filter("not leads").select("bucket", "first", "last").groupBy("bucket").applyInArrow(_as_runs, RUNS))
-    late = _doubled(stretches, window, lengths, bits, part_pairs)
-    gone = cut(gone if late is None else gone.unionByName(late))
+    gone = cut(found.filter("runs is not null").select("bucket", "runs").unionByName(told.filter("not leads").select("bucket", "first", "last").groupBy("bucket").applyInArrow(_as_runs, RUNS)))
+    del found, rows, earliest, several, named, told
     kept.drop()
     release(spark)
+    late = _doubled(stretches, window, lengths, bits, part_pairs)
+    if late is not None:
+        gone = cut(gone.unionByName(late))
+    del late, stretches
+    release(spark)
 
     def apply(t: pa.Table, answers: pa.Table) -> pa.Table:
         b = Bucket(t)
@@ -414,73 +450,65 @@ def _doubled(stretches: DataFrame, window: int, lengths: list[int], bits: int, p
         return _to_slots(b, _keys(hashed(buf, windows), bits)[0])
 
     def start(t: pa.Table, answers: pa.Table) -> pa.Table:
-        """Positions as pairs of 8-byte numbers."""
         if not t.num_rows:
-            return _state(0, *[np.empty(0, np.uint64)] * 4).slice(0, 0)
+            return _state(0, 0, *[np.empty(0, np.uint64)] * 2, b"").slice(0, 0)
         b, buf, windows, _ = texts(t)
         windows = windows[_passed(hashed(buf, windows), answers, bits)]
-        at = _needed(windows, lengths, 0)
-        out = _state(b, windows, at, _numbers(buf, at), _numbers(buf, at + 8))
+        out = _state(b, len(_needed(windows, lengths, 0)), windows, np.empty(0, np.int64), buf.tobytes())
         give_back()
         return out
 
     flags = stretches.groupBy("bucket").applyInArrow(sieve_out, SLOTS).groupBy("slot").applyInArrow(_in_slot, FLAGS)
-    state = cut(stretches.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(start, STATE))
-    for k, length in enumerate(lengths[:-1]):
+    state = cut(stretches.groupBy("bucket").cogroup(flags.groupBy("bucket")).applyInArrow(start, STATE).filter("n > 0"))
+    for k in range(len(lengths)):
         n = state.agg(F.sum("n")).head()[0]
         if not n:
             return None
-        state = cut(_round(state.filter("n > 0"), max(1, -(-n // part_pairs)), lengths, k))
+        parts = -(-n // part_pairs)
+        if k + 1 == len(lengths):
+            return _last(state, stretches, parts, lengths)
+        state = cut(_round(state, parts, lengths, k).filter("n > 0"))
         release(stretches.sparkSession)
-    n = state.agg(F.sum("n")).head()[0]
-    return _last(state, stretches, max(1, -(-n // part_pairs))) if n else None
 
 
 def _round(state: DataFrame, parts: int, lengths: list[int], k: int) -> DataFrame:
-    """Ranks the pairs, which stand for lengths[k] bytes, and pairs the ranks for the next length."""
+    """Ranks the pairs that stand for lengths[k] bytes."""
 
     def out(t: pa.Table) -> pa.Table:
-        p, b = _Pairs(t, parts), t.column("bucket")[0].as_py()
-        rows = [(part, _planes(p.x[c].view(np.int64)), _planes(p.y[c].view(np.int64)), np.packbits(p.n[c] > 1).tobytes()) for part, c in p.lots]
-        cols = list(zip(*rows)) or [()] * 4
-        return pa.table({"part": pa.array(cols[0], pa.int32()), "bucket": pa.array([b] * len(rows), pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in zip(("x", "y", "twice"), cols[1:])}})
+        p, b = _Pairs(t, parts, lengths, k), t.column("bucket")[0].as_py()
+        rows = [(part, _small(_planes(p.x[c].view(np.int64)) + _planes(p.y[c].view(np.int64))), np.packbits(p.n[c] > 1).tobytes()) for part, c in p.lots]
+        cols = list(zip(*rows)) or [()] * 3
+        give_back()
+        return pa.table({"part": pa.array(cols[0], pa.int32()), "bucket": pa.array([b] * len(rows), pa.int32()), "pairs": pa.array(cols[1], pa.binary()), "twice": pa.array(cols[2], pa.binary())})
 
     def rank(t: pa.Table) -> pa.Table:
         """Sorted pairs that occur more than once are numbered; the others get zero."""
-        xs, ys = [_u64(v.as_buffer()) for v in t.column("x")], [_u64(v.as_buffer()) for v in t.column("y")]
+        pairs = [_u64(_halves) for v in t.column("pairs") for raw in [_large(v)] for _halves in (raw[: len(raw) // 2], raw[len(raw) // 2 :])]
+        xs, ys = pairs[::2], pairs[1::2]
         twice = np.concatenate([np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), count=len(x)) for v, x in zip(t.column("twice"), xs)])
         of, first = _first_of(np.concatenate(xs), np.concatenate(ys))
         n = np.bincount(of, weights=1 + twice, minlength=len(first))
         ranks = np.where(n > 1, (t.column("part")[0].as_py() << 40) + 1 + np.arange(len(first)), 0)[of]
         end = np.cumsum([len(x) for x in xs])
-        return pa.table({"bucket": t.column("bucket"), "part": t.column("part"), "ranks": pa.array([_planes(ranks[j - len(x) : j]) for x, j in zip(xs, end.tolist())], pa.binary())})
+        return pa.table({"bucket": t.column("bucket"), "part": t.column("part"), "ranks": pa.array([_small(_planes(ranks[j - len(x) : j])) for x, j in zip(xs, end.tolist())], pa.binary())})
 
     def merge(t: pa.Table, answers: pa.Table) -> pa.Table:
-        p, told = _Pairs(t, parts), dict(zip(answers.column("part").to_pylist(), answers.column("ranks")))
+        p, told = _Pairs(t, parts, lengths, k), dict(zip(answers.column("part").to_pylist(), answers.column("ranks")))
         rank_of = np.zeros(len(p.first), np.uint64)
         for part, c in p.lots:
-            rank_of[c] = _u64(told[part].as_buffer())
+            rank_of[c] = _u64(_large(told[part]))
         ranks = rank_of[p.of]
         at, ranks = p.at[ranks > 0], ranks[ranks > 0]
-
-        def look(positions: np.ndarray) -> np.ndarray:
-            if not len(at):
-                return np.zeros(len(positions), np.uint64)
-            i = np.minimum(np.searchsorted(at, positions), len(at) - 1)
-            return np.where(at[i] == positions, ranks[i], _U(0))
-
-        nxt = _needed(p.windows, lengths, k + 1)
-        x, y = look(nxt), look(nxt + (lengths[k + 1] - lengths[k]))
-        both = (x > 0) & (y > 0)
-        res = _state(t.column("bucket")[0].as_py(), p.windows, nxt[both], x[both], y[both])
+        n = len(_pair_up(p.windows, at, ranks, lengths, k + 1)[0])
+        res = _state(t.column("bucket")[0].as_py(), n, p.windows, at, _planes(ranks.view(np.int64)))
         give_back()
         return res
 
-    ranks = state.groupBy("bucket").applyInArrow(out, "part int, bucket int, x binary, y binary, twice binary").groupBy("part").applyInArrow(rank, "bucket int, part int, ranks binary")
+    ranks = state.groupBy("bucket").applyInArrow(out, "part int, bucket int, pairs binary, twice binary").groupBy("part").applyInArrow(rank, "bucket int, part int, ranks binary")
     return state.groupBy("bucket").cogroup(ranks.groupBy("bucket")).applyInArrow(merge, STATE)
 
 
-def _last(state: DataFrame, stretches: DataFrame, parts: int) -> DataFrame:
+def _last(state: DataFrame, stretches: DataFrame, parts: int, lengths: list[int]) -> DataFrame:
     """The windows whose pair, which now stands for all their bytes, an earlier one has."""
 
     def owners(t: pa.Table, positions: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -500,7 +528,7 @@ def _last(state: DataFrame, stretches: DataFrame, parts: int) -> DataFrame:
 
     def out(t: pa.Table) -> pa.Table:
         schema = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("x", "y", "id", "row")]])
-        p, b = _Pairs(t, parts), t.column("bucket")[0].as_py()
+        p, b = _Pairs(t, parts, lengths, len(lengths) - 1), t.column("bucket")[0].as_py()
         doc, row, _, first = earliest(p, t)
         rows = [(part, b, *[_planes(v) for v in (p.x[c].view(np.int64), p.y[c].view(np.int64), doc[first[c]], row[first[c]])]) for part, c in p.lots]
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -514,7 +542,7 @@ def _last(state: DataFrame, stretches: DataFrame, parts: int) -> DataFrame:
         return pa.table({"bucket": t.column("bucket"), "part": t.column("part"), "later": pa.array([np.packbits(later[i:j]).tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())})
 
     def told(t: pa.Table, answers: pa.Table) -> pa.Table:
-        p = _Pairs(t, parts)
+        p = _Pairs(t, parts, lengths, len(lengths) - 1)
         flags = dict(zip(answers.column("part").to_pylist(), answers.column("later")))
         _, _, place, first = earliest(p, t)
         later = np.zeros(len(p.first), bool)
@@ -527,6 +555,6 @@ def _last(state: DataFrame, stretches: DataFrame, parts: int) -> DataFrame:
         give_back()
         return pa.table({"bucket": t.column("bucket"), "runs": pa.array([_runs(w[new], w[np.r_[new[1:] - 1, len(w) - 1]] if len(w) else w)], pa.binary())})
 
-    full = cut(state.filter("n > 0").join(stretches.select("bucket", F.col("n").alias("lengths"), "start", "id", "row"), "bucket"))
+    full = cut(state.join(stretches.select("bucket", F.col("n").alias("lengths"), "start", "id", "row"), "bucket"))
     later = full.groupBy("bucket").applyInArrow(out, "part int, bucket int, x binary, y binary, id binary, row binary").groupBy("part").applyInArrow(judge, "bucket int, part int, later binary")
     return full.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInArrow(told, RUNS)
