@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.operators import sources, tables
 from quillstream.plans.registry import frame_query, read
 from quillstream.sources import archives
+from quillstream.sources.archive_stream import LINKS
+from quillstream.streaming import ingest
 
 _WALK = """with li as (select * replace (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice)::int as l_linenumber) from lineitem), p as (select l_orderkey as source, l_linenumber as page, case when l_quantity > 48 then [] when l_linenumber % 4 = 0 then ['u' || (l_orderkey + l_linenumber - 1)] else ['u' || (l_orderkey + l_linenumber)] end as urls, l_tax = 0.08 as failed from li),
 k as (select *, exists (select 1 from part where p_size < 5 and list_contains(urls, 'u' || p_partkey)) as met, lag(urls) over w as before, lag(page) over w as before_page from p window w as (partition by source order by page)),
@@ -91,6 +95,41 @@ def z28(spark: SparkSession, d: str) -> DataFrame:
     return got.select("conv_id", "title", F.size("tags").alias("n_tags"))
 
 
+_BACKFILL = """with o as (select o_custkey % 25 as a, (extract(year from o_orderdate) - 1995) * 12 + extract(month from o_orderdate) - 1 as m, 'u' || o_orderkey as url from orders union all select a, m, 'i' || a || '-' || m from range(0, 25) x(a), range(0, 80) y(m)),
+t as (select a, unnest(case when a % 10 = 2 and m = 49 then [49, 50] when a % 10 = 3 and m = 0 then [0, 60] when (a % 10 = 2 and m = 50) or (a % 10 = 3 and m = 60) then [] else [m] end) as u, url from o),
+p as (select a, u, count(*) as n, string_agg(url, ' ' order by url) as fp from t group by 1, 2),
+k as (select *, ['date', 'page', 'offset'][(a % 3 + 1)::int] as kind from (select distinct a from o) x, range(0, 120) r(u)),
+g as (select k.a, k.u, kind, k.u // 9 as c, case when k.a % 10 = 1 and k.u = 40 then 0 else coalesce(n, 0) end as n, case when k.a % 10 = 1 and k.u = 40 then '' else fp end as fp, (fp is null and not (k.a % 10 = 1 and k.u = 40)) or (k.a * 7 + k.u * 3) % 11 = 0 or (k.a % 10 = 9 and k.u between 30 and 32) as failed from k left join p on p.a = k.a and p.u = k.u where kind <> 'date' or k.u < 80),
+l as (select *, lag(failed) over w and lag(failed, 2) over w and failed as third, case when not lag(failed) over w then lag(fp) over w end as before, first_value(case when not failed then fp end) over (partition by a order by u) as first_fp from g window w as (partition by a, c order by u)),
+s as (select *, case when coalesce(third, false) then 'error' when failed then 'failed' when n = 0 and kind <> 'date' then 'empty' when n > 0 and kind = 'page' and u > 0 and fp = first_fp then 'wrapped' when n > 0 and fp = before then 'repeated' else 'page' end as status from l),
+e as (select *, min(case when status not in ('page', 'failed') then u end) over (partition by a) as stop from s)
+select a as archive, u as unit, status, case when status = 'page' then n end as n_urls from e where stop is null or u <= stop"""
+
+
+@frame_query("A11_archive_backfill", _BACKFILL)
+def a11(spark: SparkSession, d: str) -> DataFrame:
+    """25 archives of three kinds, a page for each month with its orders, with pages that fail, are empty, repeat or wrap; read through the archive source, which is started
+    three times."""
+    folder = f"{tables.shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    o = read(spark, d, "orders").select((F.col("o_custkey") % 25).cast("int").alias("a"), ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).alias("m"), F.concat(F.lit("u"), "o_orderkey").alias("url"))
+    every = spark.range(25 * 80).select(F.expr("cast(id div 80 as int)").alias("a"), F.expr("cast(id % 80 as int)").alias("m"))
+    o = o.unionByName(every.withColumn("url", F.concat(F.lit("i"), "a", F.lit("-"), "m")))
+    a, m, kind = F.col("a"), F.col("m"), F.col("a") % 3
+    ints = lambda *x: F.array(*[F.lit(i) for i in x])
+    units = F.when((a % 10 == 2) & (m == 49), ints(49, 50)).when((a % 10 == 3) & (m == 0), ints(0, 60)).when(((a % 10 == 2) & (m == 50)) | ((a % 10 == 3) & (m == 60)), F.array().cast("array<int>")).otherwise(F.array(m))
+    u = F.col("u")
+    pages = o.select("a", F.explode(units).alias("u"), "url").groupBy("a", "u").agg(F.to_json(F.collect_list(F.struct("url"))).alias("raw"))
+    pages = pages.filter(((a * 7 + u * 3) % 11 != 0) & ~((a % 10 == 9) & u.between(30, 32))).withColumn("raw", F.when((a % 10 == 1) & (u == 40), "[]").otherwise(F.col("raw")))
+    at = F.when(kind == 0, F.date_format(F.date_add(F.lit("1992-01-01").cast("date"), u), "yyyyMMdd")).when(kind == 1, (u + 1).cast("string")).otherwise((u * 50).cast("string"))
+    pages.select("raw", "a", at.alias("p")).repartition("a", "p").write.partitionBy("a", "p").text(f"{folder}/pages")
+    marks = {"date": "{date}", "page": "{page}", "offset": "{offset}"}
+    specs = [{"name": str(n), "kind": k, "url": f"{folder}/pages/a={n}/p={marks[k]}", "date_format": "%Y%m%d", "first": 1, "pagesize": 50, "since": "1992-01-01", "chunk": 9} for n in range(25) for k in [("date", "page", "offset")[n % 3]]]
+    for batches in (2, 1, None):
+        rows = ingest.walk_archives(spark, folder, specs, batches=batches, fetcher="folder", today="1992-03-20")
+    n = F.when(F.col("status") == "page", F.size(F.regexp_extract_all("raw", F.lit(LINKS), F.lit(1))))
+    return rows.select(F.col("archive").cast("int").alias("archive"), "unit", "status", n.alias("n_urls"))
+
+
 _SPEC = "(select o_orderkey as k, ['date', 'page', 'offset'][(o_orderkey % 3 + 1)::int] as kind, 5 + o_orderkey % 7 as pagesize, case when o_orderkey % 2 = 0 then 'POST' else 'GET' end as method, o_orderdate::date as day, o_orderkey % 50 as n from orders) o"
 
 

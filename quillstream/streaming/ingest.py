@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillstream.operators.tables import upsert
 from quillstream.sources import parsers
+from quillstream.sources.archive_stream import ArchiveSource
 from quillstream.streaming import versions
 
 DOCUMENTS = "url string, title string, body string, published_at timestamp, author string, external_id string, first_batch long"
@@ -95,30 +97,20 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-Fetch = Callable[[dict], str]
+def walk_archives(spark: SparkSession, folder: str, specs: list[dict], batches: int | None = None, **options: str) -> DataFrame:
+    """Reads archives on from where the stream in folder stands and returns all rows it has read so far.
 
-
-def walk(fetch: Fetch, cursor: dict, advance: Callable[[dict], dict], read: Callable[[str], list[str]], chunk: int, max_errors: int = 3) -> tuple[list[tuple[dict, str]], dict, str]:
-    """One resumable chunk of an archive: the pages got, the cursor to go on from, and why it ended.
-
-    Ends: `chunk` after so many pages, `empty` on a page without addresses, `wrapped` where a page repeats the first,
-    `repeated` where it repeats the one before, `error` after so many failures in a row; the cursor then stays on the failing page.
+    batches: how many chunks of each archive to read now; by default until every walk has ended.
     """
-    pages: list[tuple[dict, str]] = []
-    first, before = cursor.get("first"), cursor.get("before")
-    failures = 0
-    while len(pages) < chunk:
+    spark.dataSource.register(ArchiveSource)
+    stream = spark.readStream.format("archive").options(specs=json.dumps(specs), state=f"{folder}/state", **options).load()
+    rows = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+    if batches is None:
+        query = rows.start()
         try:
-            raw = fetch(cursor)
-        except OSError:
-            failures += 1
-            if failures >= max_errors:
-                return pages, cursor, "error"
-            continue
-        failures, urls = 0, sorted(read(raw))
-        if not urls or urls in (first, before):
-            return pages, cursor, "empty" if not urls else "repeated" if urls == before else "wrapped"
-        first, before = first or urls, urls
-        pages.append((dict(cursor), raw))
-        cursor = advance(cursor) | {"first": first, "before": before}
-    return pages, cursor, "chunk"
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    for _ in range(batches or 0):
+        rows.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

@@ -46,18 +46,3 @@ def test_lifecycle(spark, tmp_path):
     want = [("a", day(0), "active"), ("a", day(35), "dormant"), ("a", day(61), "active"), ("a", day(91), "dormant"), ("b", day(0), "active"), ("b", day(30), "dormant"), ("b", day(60), "active"), ("b", day(90), "dormant"), ("d", day(200), "active")]
     assert got == want
 
-
-def test_walk():
-    pages = {1: "a b", 2: "c d", 3: "c d"}
-    args = (lambda c: c | {"page": c["page"] + 1}, str.split)
-    got, cursor, why = ingest.walk(lambda c: pages[c["page"]], {"page": 1}, *args, chunk=1)
-    assert (len(got), why, cursor["page"]) == (1, "chunk", 2)
-    got, cursor, why = ingest.walk(lambda c: pages[c["page"]], json.loads(json.dumps(cursor)), *args, chunk=9)
-    assert (len(got), why, cursor["page"]) == (1, "repeated", 3)
-    assert ingest.walk(lambda c: {1: "a", 2: "b", 3: "a"}[c["page"]], {"page": 1}, *args, chunk=9)[2] == "wrapped"
-    assert ingest.walk(lambda c: "", {"page": 1}, *args, chunk=9)[2] == "empty"
-
-    def down(c):
-        raise OSError
-
-    assert ingest.walk(down, {"page": 4}, *args, chunk=9) == ([], {"page": 4}, "error")
