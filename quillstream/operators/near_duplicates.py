@@ -13,50 +13,71 @@ THRESHOLD, HOURS, MIN_TOKENS = 0.7, 72, 40
 MAX_ROUNDS = 200
 
 
-def text_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """(key, other, score) both ways for different texts of rows (key, s, band) whose token sets reach the threshold.
-
-    Two such sets share one of the rarest tokens of each, so texts meet on those and in the same or a neighbouring band of time;
-    where they meet, what is left of both must still be able to reach the overlap that the threshold asks for.
-    """
-    sets = cut(texts.select("key", "s").dropDuplicates(["key"]))
+def rare_tokens(sets: DataFrame, df: DataFrame, threshold: float) -> DataFrame:
+    """(key, n, at, token): the rarest tokens of rows (key, s), as many as sets that reach the threshold must share one of; at is a token's place
+    among a set's own, from the rarest. df: (token, df); a token that it lacks counts as rarest."""
     tokens = sets.select("key", F.explode("s").alias("token"))
-    df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(df, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("r"))
+    counted = tokens.join(df, "token", "left").select("key", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token").alias("x"))
+    ranked = counted.groupBy("key").agg(F.sort_array(F.collect_list("x")).alias("r"))
     size = F.size("r")
     rare = F.slice("r", F.lit(1), (size - F.ceil(threshold * size - 1e-9) + 1).cast("int"))
-    placed = ranked.select("key", size.alias("n"), F.posexplode(F.transform(rare, lambda x: x["token"])).alias("at", "token")).join(texts.select("key", "band").distinct(), "key")
-    placed = cut(placed)
+    return ranked.select("key", size.alias("n"), F.posexplode(F.transform(rare, lambda x: x["token"])).alias("at", "token"))
+
+
+def meetings(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(key, other) for rows (key, n, at, token, band) of either side that share a token in the same or a neighbouring band and can still reach the
+    overlap that the threshold asks for."""
     bands = F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band")
-    right = placed.select(F.col("key").alias("other"), "token", F.col("n").alias("m"), F.col("at").alias("at2"), bands)
+    right = right.select(F.col("key").alias("other"), "token", F.col("n").alias("m"), F.col("at").alias("at2"), bands)
     least = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9)
-    can = (F.col("key") < F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("at2")) >= least)
-    met = placed.join(right, ["token", "band"]).filter(can).select("key", "other").distinct()
+    can = (F.col("key") != F.col("other")) & (F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("at2")) >= least)
+    return left.join(right, ["token", "band"]).filter(can).select("key", "other")
+
+
+def scores(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, other, score) of the pairs (key, other) whose sets reach the threshold."""
     both = met.join(sets, "key").join(sets.select(F.col("key").alias("other"), F.col("s").alias("t")), "other")
     common = F.size(F.array_intersect("s", "t"))
-    scored = cut(both.select("key", "other", (common / (F.size("s") + F.size("t") - common)).alias("score")).filter(F.col("score") >= threshold))
-    return scored.unionByName(scored.select(F.col("other").alias("key"), F.col("key").alias("other"), "score"))
+    return both.select("key", "other", (common / (F.size("s") + F.size("t") - common)).alias("score")).filter(F.col("score") >= threshold)
 
 
-def link_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hours: int = HOURS) -> DataFrame:
-    """(doc_id, canonical_of, score) for every row of docs (doc_id, text, at); the last two are null for first versions.
+def text_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """(key, other, score) both ways for different texts of rows (key, s, band) whose token sets reach the threshold.
 
-    Documents are taken in the order of time, then id. One looks, within so many hours before and after, for the document not yet
-    linked whose token set is most like its own, ties going to the latest; it is linked if that one is earlier, else it stays. Null or
-    short texts and rows without a time stay. Copies of one text never meet in pairs: one with a later copy in reach stays,
-    and one without links to the copy before it, if in reach. Only documents without a copy in reach look at other texts; they are
-    settled in rounds, each document as soon as its best match is. Ids must be distinct.
+    Two such sets share one of the rarest tokens of each, so texts meet on those and in the same or a neighbouring band of time;
+    where they meet, what is left of both must still be able to reach the overlap that the threshold asks for.
     """
+    sets = cut(texts.select("key", "s").dropDuplicates(["key"]))
+    df = sets.select(F.explode("s").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    placed = cut(rare_tokens(sets, df, threshold).join(texts.select("key", "band").distinct(), "key"))
+    met = meetings(placed, placed, threshold).filter("key < other").distinct()
+    scored = cut(scores(met, sets, threshold))
+    return both_ways(scored)
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.unionByName(pairs.select(F.col("other").alias("key"), F.col("key").alias("other"), "score"))
+
+
+def with_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, at, s, key) of the rows (doc_id, text, at) that take part: with a time and enough tokens. key names the token set."""
     tokens = F.array_sort(F.array_distinct(tx.tokenize(F.coalesce("text", F.lit("")))))
     rows = docs.select("doc_id", F.unix_timestamp(F.col("at").cast("timestamp")).alias("at"), tokens.alias("s"))
-    sized = cut(rows.filter((F.size("s") >= MIN_TOKENS) & F.col("at").isNotNull()).withColumn("key", F.sha2(F.array_join("s", " "), 256)))
-    span = hours * 3600
+    return rows.filter((F.size("s") >= MIN_TOKENS) & F.col("at").isNotNull()).withColumn("key", F.sha2(F.array_join("s", " "), 256))
+
+
+def by_copies(docs: DataFrame, span: int) -> DataFrame:
+    """(doc_id, key, at, state, canonical_of, score) of rows (doc_id, key, at) as far as copies of one text tell it: one with a later copy in reach is
+    kept, one without is linked to the copy before it, if in reach; the others are open."""
     w = Window.partitionBy("key").orderBy("at", "doc_id")
-    near = sized.select("doc_id", "key", "at", (F.lead("at").over(w) - F.col("at") <= span).alias("later"), F.lag("doc_id").over(w).alias("before"), (F.col("at") - F.lag("at").over(w) <= span).alias("earlier"))
+    near = docs.select("doc_id", "key", "at", (F.lead("at").over(w) - F.col("at") <= span).alias("later"), F.lag("doc_id").over(w).alias("before"), (F.col("at") - F.lag("at").over(w) <= span).alias("earlier"))
     later, earlier = F.coalesce("later", F.lit(False)), F.coalesce("earlier", F.lit(False))
     state = F.when(later, "kept").when(earlier, "linked").otherwise("open")
-    status = cut(near.select("doc_id", "key", "at", state.alias("state"), F.when(~later & earlier, F.col("before")).alias("canonical_of"), F.when(~later & earlier, 1.0).alias("score")))
-    pairs = text_pairs(sized.select("key", "s", F.floor(F.col("at") / (span + 1)).alias("band")), threshold)
+    return near.select("doc_id", "key", "at", state.alias("state"), F.when(~later & earlier, F.col("before")).alias("canonical_of"), F.when(~later & earlier, 1.0).alias("score"))
+
+
+def settle(status: DataFrame, pairs: DataFrame, span: int) -> DataFrame:
+    """status without open rows: each is settled as soon as its best match is. pairs: (key, other, score), both ways."""
     other = status.select(F.col("doc_id").alias("c"), F.col("key").alias("other"), F.col("at").alias("c_at"))
     edges = status.filter("state = 'open'").select("doc_id", "key", "at").join(pairs, "key").join(other, "other").filter(F.abs(F.col("at") - F.col("c_at")) <= span)
     is_later = F.struct("c_at", "c") > F.struct("at", "doc_id")
@@ -71,7 +92,21 @@ def link_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hours: i
         linked = was_open & (F.col("fate") == "linked")
         status = cut(joined.select("doc_id", "key", "at", F.col("fate").alias("state"), F.when(linked, b["c"]).otherwise(F.col("canonical_of")).alias("canonical_of"), F.when(linked, b["s"]).otherwise(F.col("score")).alias("score")))
         if status.filter("state = 'open'").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"documents still wait for one another after {MAX_ROUNDS} rounds")
+            return status
+    raise RuntimeError(f"documents still wait for one another after {MAX_ROUNDS} rounds")
+
+
+def link_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, hours: int = HOURS) -> DataFrame:
+    """(doc_id, canonical_of, score) for every row of docs (doc_id, text, at); the last two are null for first versions.
+
+    Documents are taken in the order of time, then id. One looks, within so many hours before and after, for the document not yet
+    linked whose token set is most like its own, ties going to the latest; it is linked if that one is earlier, else it stays. Null or
+    short texts and rows without a time stay. Copies of one text never meet in pairs: one with a later copy in reach stays,
+    and one without links to the copy before it, if in reach. Only documents without a copy in reach look at other texts; they are
+    settled in rounds, each document as soon as its best match is. Ids must be distinct.
+    """
+    sized, span = cut(with_sets(docs)), hours * 3600
+    status = cut(by_copies(sized.select("doc_id", "key", "at"), span))
+    pairs = text_pairs(sized.select("key", "s", F.floor(F.col("at") / (span + 1)).alias("band")), threshold)
+    status = settle(status, pairs, span)
     return docs.select("doc_id").join(status.select("doc_id", "canonical_of", "score"), "doc_id", "left")
