@@ -255,13 +255,28 @@ class _Pairs:
             buf = np.frombuffer(_large(row["ranks"]), np.uint8)
             self.at = _needed(self.windows, lengths, 0)
             x, y = _numbers(buf, self.at), _numbers(buf, self.at + 8)
-        self.of, self.first = _first_of(x, y)
+        self.of, self.first, starts = _classes(x, y, parts)
         self.x, self.y = x[self.first], y[self.first]
         self.n = np.bincount(self.of, minlength=len(self.first))
-        part = (_mix(self.x ^ _mix(self.y)) % _U(parts)).astype(np.int64)
-        order = np.lexsort((self.y, self.x, part))
-        s, e = _parts(part[order])
-        self.lots = [(int(part[order[i]]), order[i:j]) for i, j in zip(s, e)]
+        self.lots = [(part, slice(i, j)) for part, i, j in starts]
+
+
+def _classes(x: np.ndarray, y: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The class of each pair, a member of each class, and which classes go to which part; classes are in the order of a hash, and a part is a range of it."""
+    h = _mix(x ^ _mix(y))
+    order = np.argsort(h)
+    for again in (False, True):
+        if again:  # different pairs met on one hash
+            order = np.lexsort((y, x, h))
+        hs, xs, ys = h[order], x[order], y[order]
+        new = np.r_[True, (xs[1:] != xs[:-1]) | (ys[1:] != ys[:-1])][: len(order)]
+        if not (new[1:] & (hs[1:] == hs[:-1])).any():
+            break
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    part = ((hs[new] >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+    s, e = _parts(part)
+    return of, order[new], list(zip(part[s].tolist(), s.tolist(), e.tolist()))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", window: int = WINDOW, with_text: bool = False, spans: bool = False, bucket_bytes: int = BUCKET_BYTES, slot_keys: int = SLOT_KEYS, part_pairs: int = PART_PAIRS) -> DataFrame:
@@ -547,7 +562,7 @@ def _last(state: DataFrame, stretches: DataFrame, parts: int, lengths: list[int]
         _, _, place, first = earliest(p, t)
         later = np.zeros(len(p.first), bool)
         for part, c in p.lots:
-            later[c] = np.unpackbits(np.frombuffer(flags[part].as_buffer(), np.uint8), count=len(c)).astype(bool)
+            later[c] = np.unpackbits(np.frombuffer(flags[part].as_buffer(), np.uint8), count=c.stop - c.start).astype(bool)
         gone = np.ones(len(p.at), bool)  # within the bucket, all but the first of a class
         gone[first] = later
         w = np.sort(place[gone])

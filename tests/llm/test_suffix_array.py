@@ -82,3 +82,15 @@ def test_hashes_are_of_their_strings():
     for k in (1, 2, 7, 32, 100):
         h = suffix_array.hashes(buf, k)
         assert len(h) == len(buf) - k + 1 and all(h[i] == h[i + 11] for i in range(len(h) - 11)) and (k < 4 or len(set(h[:11].tolist())) == 11)
+
+
+def test_classes_survive_a_hash_that_agrees(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 9, 500).astype(np.uint64), rng.integers(0, 9, 500).astype(np.uint64)
+    for mix in (suffix_array._mix, lambda v: v & np.uint64(1)):
+        monkeypatch.setattr(suffix_array, "_mix", mix)
+        of, first, lots = suffix_array._classes(x, y, 3)
+        assert len(first) == len(set(zip(x.tolist(), y.tolist()))) and (x[first][of] == x).all() and (y[first][of] == y).all()
+        assert lots[0][1] == 0 and lots[-1][2] == len(first)
