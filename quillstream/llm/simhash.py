@@ -257,8 +257,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of an edge: root is the smallest node reachable, in signed order.
 
     Alternating large-star and small-star steps (Kiveris and others, 2014). Each neighbourhood is reduced to its minimum by an
-    aggregate that combines before it shuffles; the joins that bring the minimum back have a node's edges on one key, which
-    Spark splits where they are skewed.
+    aggregate that combines before it shuffles; the minima are a table of their own before they are joined back, so that Spark can split the edges of
+    a node that has many.
     """
     e = cut(edges.select("a", "b").filter("a <> b").distinct())
     if e.isEmpty():
@@ -266,11 +266,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(max_rounds):
         both = e.union(e.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         # large star: larger neighbours go to the smallest
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
         # small star: smaller neighbours and the node itself go to the smallest
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        low2 = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low2, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").filter("a <> b").distinct()
         e = cut(small)
         state = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).head()
@@ -356,67 +356,85 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
 
-def _spread_join(rows: DataFrame, unique: DataFrame, key: str, counts: DataFrame, hot_rows: int = 2_000) -> DataFrame:
-    """rows joined to unique (one row a key); keys of over hot_rows rows, by counts (key, c), are so few that they are broadcast."""
-    hot = F.broadcast(cut(counts.filter(F.col("c") > hot_rows).select(key)))
-    few = F.broadcast(unique.join(hot, key, "left_semi"))
-    return rows.join(hot, key, "left_anti").join(unique, key).unionByName(rows.join(few, key))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of the threshold at least."""
-    pairs = cut(pairs)
-    one = _spread_join(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a", pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")))
-    two = _spread_join(one, sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b", pairs.groupBy("b").agg(F.count(F.lit(1)).alias("c")))
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of the threshold at least.
+
+    Both sides of a join are tables of their own, so Spark splits the pairs of a node that has many.
+    """
+    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return cut(two.select("a", "b", "x", "y").mapInArrow(_near, "a long, b long"))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a set."""
+    for b in lots(batches, 200):
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+        node = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(sets), pa.int64())], ["node", "h"])
+
+
+def _reaches(x, y):
+    """Whether an overlap of x is enough for two sets of y shingles together."""
+    return 100 * x >= STAGE_PERCENT * (y - x)
+
+
 def jaccard_links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified edges (a, b) that span the components of nodes (distinct shingle sets) at the threshold.
 
-    Candidates share a band. First each band's members are compared with its smallest node, which joins a group of copies
-    of any size in as many comparisons as it has members; then only members that lie in different components still.
+    Candidates share a band. First each band's members are compared with one of them, that which meets most others over all its bands: in a
+    group of copies that is the text with the fewest changes, so the group is joined in as many comparisons as it has members. What is still apart then
+    has shingles of its own, mostly. They are counted: a shingle that no other node left has is in no overlap, so the shingles that two nodes share
+    with anyone bound what they share with each other. Pairs that cannot reach the threshold by that bound are not formed; where texts are
+    alike but not alike enough, each by changes of its own, that leaves none. The rest is compared.
     """
     nodes = sigs.select("node", "n", "bands").dropDuplicates(["node"])
     buckets = cut(nodes.select("node", "n", F.posexplode("bands").alias("_k", "_b")).select(F.xxhash64("_k", "_b").alias("key"), "node", "n"))
-    many = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n")).alias("lead")).filter("c > 1"))
-    members = cut(_spread_join(buckets, many, "key", many))
+    many = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    shared = cut(buckets.join(many, "key"))
+    known = cut(shared.groupBy("node").agg(F.sum("c").alias("meets")))
+    members = cut(shared.join(known, "node").select("key", "node", "n", "meets"))
+    lead = cut(members.groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("lead")))
     like = lambda x, y: (100 * F.least(x, y) >= STAGE_PERCENT * F.greatest(x, y))
-    wanted = sigs.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")).select("t")
+    wanted = sigs.join(known.select("node"), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")).select("t")
     read = docs.join(checked_broadcast(cut(wanted)), "t", "left_semi").select("text")
     sets = cut(read.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]))
 
-    star = cut(members.filter(F.col("node") != F.col("lead.node")).filter(like(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct())
+    star = members.join(lead, "key").filter((F.col("node") != F.col("lead.node")) & like(F.col("n"), F.col("lead.n")))
+    star = cut(star.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
     edges = _verified(star, sets)
     roots = cut(components(edges))
     placed = cut(members.select("key", "node", "n").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
     parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", "m").alias("top"))
-    open_ = cut(parts.filter("parts > 1"))
-    counts = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    rest = cut(_spread_join(placed, open_, "key", counts.join(open_.select("key"), "key", "left_semi")))
-    minor = rest.filter("part <> top").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-    pairs = rest.join(minor, "key").filter("part <> part2 and (part = top or node < node2)").filter(like(F.col("n"), F.col("n2")))
-    pairs = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    return edges.unionByName(_verified(pairs, sets))
+    rest = cut(placed.join(cut(parts.filter("parts > 1").select("key", "top")), "key"))
+
+    left = cut(rest.select("node").distinct())
+    alone = sets.join(left, "node", "left_semi").mapInArrow(_shingles, "node long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
+    own = cut(alone.groupBy("node").agg(F.count(F.lit(1)).alias("own")))
+    rest = rest.join(own, "node", "left").withColumn("a", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    rest = cut(rest.filter(100 * F.col("a") >= STAGE_PERCENT * F.col("n")))
+    minor = cut(rest.filter("part <> top").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("a").alias("a2")))
+    can = (F.col("part") != F.col("part2")) & ((F.col("part") == F.col("top")) | (F.col("node") < F.col("node2"))) & like(F.col("n"), F.col("n2")) & _reaches(F.least("a", "a2"), F.col("n") + F.col("n2"))
+    pairs = rest.join(minor, (rest["key"] == minor["key"]) & can).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    return edges.unionByName(_verified(cut(pairs.join(star, ["a", "b"], "left_anti")), sets))
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One row of each component of texts at a 5-word-shingle Jaccard similarity of 0.8 and more stays: the smallest id; of
-    rows that repeat an id, all that bear the smallest stay. A component without an id keeps one of its rows.
+    """One row of each component of texts at a 5-word-shingle Jaccard similarity of 0.8 and more stays: one that bears the component's smallest id, or
+    any one where none has an id. Rows that repeat a text, whatever their ids, are of one component; so are rows without any word.
 
     Links are exact on shingle hashes. A pair of similarity s shares none of the bands, and so may go unseen, with
-    probability (1 - s^4)^24: 3.3e-6 at 0.8, less above. Texts with equal shingle sets always share a component.
+    probability (1 - s^4)^24: 3.3e-6 at 0.8, less above. Texts with equal shingle sets always share a component. A text is known by the 128 bits of
+    its MD5 sum between the steps.
     """
-    docs = df.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text_or_empty(text)).alias("t"), text_or_empty(text).alias("text"))
-    sigs = cut(docs.select("t", "text").mapInArrow(_signatures, "t long, node long, n long, bands array<long>"))
+    name = F.unhex(F.md5(text_or_empty(text)))
+    docs = df.select(F.col(id_column).cast("long").alias("id"), name.alias("t"), text_or_empty(text).alias("text"))
+    sigs = cut(docs.select("t", "text").mapInArrow(_signatures, "t binary, node long, n long, bands array<long>"))
     roots = cut(components(jaccard_links(sigs, docs.select("t", "text"))))
     by_text = sigs.groupBy("t").agg(F.first("node").alias("node")).join(roots, "node", "left").select("t", F.coalesce("root", "node").alias("root"))
-    by_text = cut(by_text.join(docs.groupBy("t").agg(F.min("id").alias("first")), "t"))
-    least = by_text.groupBy("root").agg(F.min("first").alias("least"))
-    keep = cut(by_text.join(least, "root").select("t", "root", "least"))
-    row = df.withColumn("_t", F.xxhash64(text_or_empty(text)))
-    ids = keep.filter("least is not null").select(F.col("least").alias("_least"), F.col("t").alias("_t2"))
-    known = row.join(ids, (row[id_column].cast("long") == ids["_least"]) & (row["_t"] == ids["_t2"]), "left_semi").select(*df.columns)
-    bare = keep.filter("least is null").select(F.col("t").alias("_t"), F.col("root").alias("_root"))
-    unknown = row.filter(F.col(id_column).isNull()).dropDuplicates(["_t"]).join(bare, "_t").dropDuplicates(["_root"])
-    return known.unionByName(unknown.select(*df.columns))
+    first = docs.groupBy("t").agg(F.min("id").alias("first"))
+    # of a component, the text that holds the smallest id; one text of a component is enough, so texts are compared by name
+    best = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "t")).alias("best")
+    keep = cut(by_text.join(first, "t").groupBy("root").agg(best).select(F.col("best.t").alias("_t"), F.col("best.first").alias("_first")))
+    rows = df.withColumn("_t", name).join(keep, "_t").filter(F.col(id_column).cast("long").eqNullSafe(F.col("_first")))
+    return rows.dropDuplicates(["_t"]).select(*df.columns)

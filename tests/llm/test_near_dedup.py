@@ -63,3 +63,31 @@ def test_rows_without_id(spark):
     got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4 and sum(r.doc_id == 7 for r in got) == 1
     assert sum((r.text or "") == "" for r in got) == 1 and "alone here" in {r.text for r in got} and other not in {r.text for r in got}
+
+
+def test_equal_rows_become_one(spark):
+    base = " ".join(R.choices(WORDS, k=200))
+    rows = [(1, base)] * 3 + [(2, near_copy(base, 1)), (3, "some other words that stand alone here"), (3, "some other words that stand alone here")]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3]
+
+
+def test_texts_that_are_alike_but_not_enough_form_no_pairs(spark):
+    """300 texts each of which has changed a fifth of one template: all share bands, none links."""
+    base = " ".join(R.choices(WORDS, k=200))
+    rows = [(i, near_copy(base, 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    formed = []
+    real = simhash._verified
+    try:
+        simhash._verified = lambda pairs, sets: formed.append(pairs.count()) or real(pairs, sets)
+        assert simhash.drop_near_duplicates(df).count() == 300
+    finally:
+        simhash._verified = real
+    assert len(formed) == 2 and formed[0] > 100 and formed[1] < 30
+
+
+def test_a_star_is_contracted(spark):
+    edges = spark.range(1, 20_001).selectExpr("0 as a", "id as b")
+    got = simhash.components(edges)
+    assert got.filter("root = 0").count() == 20_001 == got.count()
