@@ -304,14 +304,14 @@ def h34(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", dates.is_peak(F.col("ts")).alias("peak_hour"))
 
 
-@frame_query("H24_corroborated", "select event_id, user_id % 4 = 0 or event_type in ('click', 'purchase') or user_id % 3 = 0 as corroborated from events")
+@frame_query("P16_corroborated", "select event_id, user_id % 4 = 0 or event_type in ('click', 'purchase') or user_id % 3 = 0 as corroborated from events")
 def h24(spark: SparkSession, d: str) -> DataFrame:
     category = F.when(F.col("event_type").isin("click", "purchase"), "oversight").otherwise("judicial_body")
     categories = F.when(F.col("user_id") % 3 == 0, F.array(category, F.lit("judicial_process"))).otherwise(F.array(category))
     return read(spark, d, "events").select("event_id", classify.is_corroborated(categories, F.col("user_id") % 4 == 0).alias("corroborated"))
 
 
-@frame_query("H22_risk_tier", "select l_orderkey, case when count(*) filter (where l_returnflag <> 'A') = 0 then 'low' when count(*) filter (where l_returnflag = 'R') > 0 then 'high' else 'medium' end as tier from lineitem group by 1")
+@frame_query("G19_risk_tier", "select l_orderkey, case when count(*) filter (where l_returnflag <> 'A') = 0 then 'low' when count(*) filter (where l_returnflag = 'R') > 0 then 'high' else 'medium' end as tier from lineitem group by 1")
 def h22(spark: SparkSession, d: str) -> DataFrame:
     n = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.when(F.col("l_returnflag") != "A", 1)).alias("persons"), F.count(F.when(F.col("l_returnflag") == "R", 1)).alias("open"))
     return n.select("l_orderkey", classify.risk_tier(F.col("persons"), F.col("open")).alias("tier"))

@@ -61,4 +61,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["C1_hybrid_search"].run(spark, sf_dir)
 
 
-from quillstream.plans import composite, events, ordered, relational, retrieval, rules, sources, streams  # noqa: E402,F401  (they register their queries)
+from quillstream.plans import composite, events, ordered, relational, retrieval, rules, scalars, sources, streams  # noqa: E402,F401  (they register their queries)

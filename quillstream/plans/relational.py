@@ -93,7 +93,7 @@ q("K9_event_merge", "select distinct case when o_custkey % 10 = 1 then o_custkey
 # --- functions
 q("H38_cache_rate", f"select event_type, case when sum(cost) = 0 then null else round(cast(sum(cost) filter (where user_id % 2 = 0) as double) / cast(sum(cost) as double), 6) end as rate from {LEDGER} group by event_type")
 q("H39_label_confidence", "select doc_id, case when lower(text) like '%license%' then 'high' when n_chars > 2000 then 'medium' else 'low' end as confidence from {documents}")
-q("H40_transition", "select a.s as from_state, b.s as to_state, (a.s, b.s) in (('candidate', 'draft'), ('candidate', 'rejected'), ('draft', 'active'), ('draft', 'rejected'), ('active', 'dormant'), ('active', 'closed'), ('dormant', 'active'), ('dormant', 'closed'), ('closed', 'active')) as allowed from (values ('candidate'), ('draft'), ('active'), ('dormant'), ('closed'), ('rejected')) a(s), (values ('candidate'), ('draft'), ('active'), ('dormant'), ('closed'), ('rejected')) b(s)")
+q("H40_transition", "select a as from_state, b as to_state, (a, b) in (('candidate', 'draft'), ('candidate', 'rejected'), ('draft', 'active'), ('draft', 'rejected'), ('active', 'dormant'), ('active', 'closed'), ('dormant', 'active'), ('dormant', 'closed'), ('closed', 'active')) as allowed, count(*) as n from (select case o_orderkey % 6 when 0 then 'candidate' when 1 then 'draft' when 2 then 'active' when 3 then 'dormant' when 4 then 'closed' when 5 then 'rejected' end as a, case o_custkey % 6 when 0 then 'candidate' when 1 then 'draft' when 2 then 'active' when 3 then 'dormant' when 4 then 'closed' when 5 then 'rejected' end as b from {orders}) o group by 1, 2, 3")
 q("H41_record_progress", f"select user_id, greatest(last_ts, @at('2024-01-30 00:00:00')) as progress, case when user_id % 3 = 1 then 'active' else 'kept' end as status from {LAST}")
 # --- reports
 q("C15_source_health", "select n.n_name, count(c.c_custkey) as docs, count(c.c_custkey) filter (where c.c_acctbal < 0) as failures, case when count(c.c_custkey) = 0 then 'never succeeded' when count(c.c_custkey) filter (where c.c_acctbal < 0) >= 5 then 'failing' else 'ok' end as health from {nation} n left join {customer} c on c.c_nationkey = n.n_nationkey group by n.n_name")

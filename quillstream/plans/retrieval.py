@@ -105,7 +105,10 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.greatest("x", "y").alias("left_id"), F.least("x", "y").alias("right_id"), F.round("score", 6).alias("jaccard"))
 
 
-@frame_query("H21_normalize_url")
+_TRACKED = ", ".join(f"'{t}'" for t in tx.TRACKING)
+
+
+@frame_query("H21_normalize_url", f"select page_id, base || case when kept = '' then '' else '?' || kept end as url from (select page_id, split_part(bare, '?', 1) as base, array_to_string(list_filter(string_split(case when contains(bare, '?') then substr(bare, instr(bare, '?') + 1) else '' end, '&'), lambda x: x <> '' and lower(split_part(x, '=', 1)) not in ({_TRACKED})), '&') as kept from (select page_id, split_part(url, '#', 1) as bare from pages) a) b")
 def h21(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", tx.normalize_url(F.col("url")).alias("url"))
 
