@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 from functools import lru_cache
 
 import numpy as np
@@ -45,7 +47,10 @@ DECORATION = ".!?:#$%&*"
 #: What sets a token apart from a word: a digit, a change to a capital letter, or a sign within; or uncommon length.
 UNLIKE_WORD = re.compile(r"[0-9]|[a-z][A-Z]|[+/_=@#$%^&*!?~:.-]")
 LONG_WORD = 24
-KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s\\-]*?-----END [A-Z ]*PRIVATE KEY-----)?")
+#: A key block: a header and, if nothing but key characters stands between, all up to the next footer.
+HEADER = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+FOOTER = re.compile(r"(?=(-----END [A-Z ]*PRIVATE KEY-----))")
+NO_KEY = re.compile(r"[^A-Za-z0-9+/=\s\\-]")
 _STARTS = ("passw", "secret", "token", "apikey", "api_key")
 _HEX_RUN = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _TOKEN_RUN = bytes(121 if b < 128 and re.match(rf"[{_IN_TOKEN}]", chr(b)) else 32 for b in range(256))
@@ -66,10 +71,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Key blocks, leftmost first and apart; headers, footers and what ends a key are found in one pass each."""
+    if "PRIVATE KEY" not in text:
+        return []
+    footers = [(m.start(), m.end(1)) for m in FOOTER.finditer(text)]
+    starts = [s for s, _ in footers]
+    breaks = [m.start() for m in NO_KEY.finditer(text)] if footers else []
+    out: list[tuple[int, int]] = []
+    for m in HEADER.finditer(text):
+        if out and m.start() < out[-1][1]:
+            continue
+        f, b = bisect_left(starts, m.end()), bisect_left(breaks, m.end())
+        whole = f < len(footers) and (b == len(breaks) or breaks[b] >= starts[f])
+        out.append((m.start(), footers[f][1] if whole else m.end()))
+    return out
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Tokens that are not plain words, and key blocks, that lie in no base finding; tokens of a key block are part of it."""
-    blocks = [m.span() for m in KEY_BLOCK.finditer(text)] if "PRIVATE KEY" in text else []
-    found = []
+    blocks, found = key_blocks(text), []
     if b"y" * LEAST_TOKEN in text.encode("utf-8", "surrogatepass").translate(_TOKEN_RUN):
         for m in TOKEN.finditer(text):
             token = m[0].rstrip(DECORATION)
@@ -77,8 +98,15 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, i
             token = token.lstrip(DECORATION)
             if len(token) >= LEAST_TOKEN and (len(token) >= LONG_WORD or UNLIKE_WORD.search(token)):
                 found.append((end - len(token), end))
-    taken = [*blocks, *((s, e) for s, e, _ in base)]
-    return sorted([*blocks, *(c for c in found if not any(s <= c[0] and c[1] <= e for s, e in taken))])
+    taken = sorted([*blocks, *((s, e) for s, e, _ in base)])
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+
+    def inside(start: int, end: int) -> bool:
+        """Whether a taken span that begins no later ends no earlier."""
+        k = bisect_right(starts, start)
+        return k > 0 and reach[k - 1] >= end
+
+    return sorted([*blocks, *(c for c in found if not inside(*c))])
 
 
 # --- the network -------------------------------------------------------------------------------------------------------
