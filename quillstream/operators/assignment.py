@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.functions import classify
+
 from quillstream.operators.search import hybrid_search
 
 CANDIDATES, BATCH = 300, 20
@@ -117,14 +119,37 @@ def node_fault(citation: Column, violations: Column) -> Column:
     return F.when(citation.isNull(), "no citation").when(violations > 0, "wording")
 
 
-def edge_fault(from_id: Column, to_id: Column, from_event: Column, to_event: Column, kind: Column, citation: Column, confidence: Column) -> Column:
-    """Why a causal edge is refused, else null."""
-    return (
+def edge_fault(from_id: Column, to_id: Column, from_event: Column, to_event: Column, kind: Column, citation: Column, confidence: Column, violations: Column | None = None) -> Column:
+    """Why a causal edge is refused, else null. violations: how many faults edge_wording finds, which bar a stated edge."""
+    fault = (
         F.when(from_id == to_id, "self loop")
         .when(~from_event.eqNullSafe(to_event), "other event")
         .when((kind == "stated") & citation.isNull(), "no citation")
         .when((kind == "inferred") & confidence.isNull(), "no confidence")
     )
+    return fault if violations is None else fault.when((kind == "stated") & (violations > 0), "wording")
+
+
+def edge_wording(from_summary: Column, to_summary: Column, is_final: Column) -> Column:
+    """How many wording faults a stated edge has, read as one claim over both of its nodes."""
+    return F.size(classify.wording_violations(F.concat(from_summary, F.lit(" → "), to_summary), is_final))
+
+
+def edges_made(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges (edge_id, event_id, from_id, to_id, kind, citation, confidence, is_final, public) with fault and, where there is none, public: as given, else
+    only stated edges are public. nodes: node_id, event_id, summary; an end that is no node belongs to no event."""
+    end = lambda side: nodes.select(F.col("node_id").alias(f"{side}_id"), F.col("event_id").alias(f"{side}_event"), F.col("summary").alias(f"{side}_summary"))
+    both = edges.join(end("from"), "from_id", "left").join(end("to"), "to_id", "left")
+    own = F.when(F.col("from_event").eqNullSafe(F.col("event_id")), F.col("from_event"))
+    wording = edge_wording(F.col("from_summary"), F.col("to_summary"), F.coalesce("is_final", F.lit(False)))
+    fault = edge_fault(F.col("from_id"), F.col("to_id"), F.coalesce(own, F.lit(-1)), F.col("to_event"), F.col("kind"), F.col("citation"), F.col("confidence"), wording)
+    return both.withColumn("fault", fault).select("edge_id", "fault", F.when(F.col("fault").isNull(), F.coalesce("public", F.col("kind") == "stated")).alias("public"))
+
+
+def nodes_made(nodes: DataFrame) -> DataFrame:
+    """(node_id, fault) of timeline nodes (node_id, summary, citation, is_final) to be written."""
+    faults = F.size(classify.wording_violations(F.coalesce("summary", F.lit("")), F.coalesce("is_final", F.lit(False))))
+    return nodes.select("node_id", node_fault(F.col("citation"), faults).alias("fault"))
 
 
 def chat_candidates(hits: DataFrame, keyword: DataFrame, docs: DataFrame, limit: int = 12, pool: int = 300, newest: int = 4) -> DataFrame:

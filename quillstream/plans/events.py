@@ -193,6 +193,32 @@ def c11(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fault.alias("fault"))
 
 
+_NODES = "(select p_partkey as node_id, p_partkey % 3 as event_id, case p_partkey % 4 when 0 then '他已定讞' when 1 then 'A有罪' when 2 then '一審判決有罪' else '續報' || p_partkey end as summary, case when p_partkey % 7 <> 0 then 1 end as citation, p_partkey % 11 = 0 as is_final from part)"
+
+
+def _timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as nodes of three events; some claim too much."""
+    k = F.col("p_partkey")
+    summary = F.when(k % 4 == 0, "他已定讞").when(k % 4 == 1, "A有罪").when(k % 4 == 2, "一審判決有罪").otherwise(F.concat(F.lit("續報"), k))
+    return read(spark, d, "part").select(k.alias("node_id"), (k % 3).alias("event_id"), summary.alias("summary"), F.when(k % 7 != 0, 1).alias("citation"), (k % 11 == 0).alias("is_final"))
+
+
+@frame_query("C11_nodes", f"select node_id, case when citation is null then 'no citation' when node_id % 4 < 2 and not is_final then 'wording' end as fault from {_NODES} n")
+def c11_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return assignment.nodes_made(_timeline(spark, d))
+
+
+@frame_query("C11_edges", f"""select edge_id, fault, case when fault is null then coalesce(public, kind = 'stated') end as public from (
+select l_orderkey * 100 + l_linenumber as edge_id, kind, public, case when l_partkey = to_id then 'self loop' when a.event_id is distinct from l_linenumber % 3 or a.event_id is distinct from b.event_id then 'other event' when kind = 'stated' and l_quantity > 40 then 'no citation' when kind = 'inferred' and l_quantity > 30 then 'no confidence' when kind = 'stated' and not final and (0 in (a.node_id % 4, b.node_id % 4) or (1 in (a.node_id % 4, b.node_id % 4) and 2 not in (a.node_id % 4, b.node_id % 4))) then 'wording' end as fault
+from (select *, l_partkey + 3 * (l_suppkey % 4) as to_id, case when l_returnflag = 'R' then 'stated' else 'inferred' end as kind, case when l_linenumber = 2 then false end as public, l_suppkey % 5 = 0 as final from lineitem) l left join {_NODES} a on a.node_id = l_partkey left join {_NODES} b on b.node_id = to_id) x""")
+def c11_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as edges between parts; stated ones pass the wording gate over both ends, where one end may say whose verdict the other reports."""
+    q = F.col("l_quantity")
+    kind = F.when(F.col("l_returnflag") == "R", "stated").otherwise("inferred")
+    edges = read(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("edge_id"), (F.col("l_linenumber") % 3).cast("long").alias("event_id"), F.col("l_partkey").alias("from_id"), (F.col("l_partkey") + 3 * (F.col("l_suppkey") % 4)).alias("to_id"), kind.alias("kind"), F.when(q <= 40, 1).alias("citation"), F.when(q <= 30, 0.5).alias("confidence"), (F.col("l_suppkey") % 5 == 0).alias("is_final"), F.when(F.col("l_linenumber") == 2, False).alias("public"))
+    return assignment.edges_made(edges, _timeline(spark, d))
+
+
 def _reviewed(spark: SparkSession, d: str, batch: bool) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "P", "candidate").when(F.col("o_orderstatus") == "O", "draft").otherwise("active")
     tier = F.when(F.col("o_orderpriority").startswith("1"), "high").when(F.col("o_orderpriority").startswith("2"), "medium").otherwise("low")
