@@ -383,10 +383,8 @@ def jaccard_links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     """Verified edges (a, b) that span the components of nodes (distinct shingle sets) at the threshold.
 
     Candidates share a band. First each band's members are compared with one of them, that which meets most others over all its bands: in a
-    group of copies that is the text with the fewest changes, so the group is joined in as many comparisons as it has members. What is still apart then
-    has shingles of its own, mostly. They are counted: a shingle that no other node left has is in no overlap, so the shingles that two nodes share
-    with anyone bound what they share with each other. Pairs that cannot reach the threshold by that bound are not formed; where texts are
-    alike but not alike enough, each by changes of its own, that leaves none. The rest is compared.
+    group of copies that is the text with the fewest changes, so the group is joined in as many comparisons as it has members. Of what is still apart in some
+    band, pairs are formed by their rarest shingles (_prefix_pairs): texts that are alike but not alike enough, each by changes of its own, form none.
     """
     nodes = sigs.select("node", "n", "bands").dropDuplicates(["node"])
     buckets = cut(nodes.select("node", "n", F.posexplode("bands").alias("_k", "_b")).select(F.xxhash64("_k", "_b").alias("key"), "node", "n"))
@@ -405,18 +403,33 @@ def jaccard_links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
     edges = _verified(star, sets)
     roots = cut(components(edges))
     placed = cut(members.select("key", "node", "n").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
-    parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("part", "m").alias("top"))
-    rest = cut(placed.join(cut(parts.filter("parts > 1").select("key", "top")), "key"))
-
-    left = cut(rest.select("node").distinct())
-    alone = sets.join(left, "node", "left_semi").mapInArrow(_shingles, "node long, h long").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
-    own = cut(alone.groupBy("node").agg(F.count(F.lit(1)).alias("own")))
-    rest = rest.join(own, "node", "left").withColumn("a", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
-    rest = cut(rest.filter(100 * F.col("a") >= STAGE_PERCENT * F.col("n")))
-    minor = cut(rest.filter("part <> top").select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("a").alias("a2")))
-    can = (F.col("part") != F.col("part2")) & ((F.col("part") == F.col("top")) | (F.col("node") < F.col("node2"))) & like(F.col("n"), F.col("n2")) & _reaches(F.least("a", "a2"), F.col("n") + F.col("n2"))
-    pairs = rest.join(minor, (rest["key"] == minor["key"]) & can).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    return edges.unionByName(_verified(cut(pairs.join(star, ["a", "b"], "left_anti")), sets))
+    open_ = cut(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key"))
+    rest = placed.join(open_, "key")
+
+    left = cut(rest.select("node", "n", "part").distinct())
+    return edges.unionByName(_verified(cut(_prefix_pairs(sets, left).join(star, ["a", "b"], "left_anti")), sets))
+
+
+def _prefix_pairs(sets: DataFrame, left: DataFrame) -> DataFrame:
+    """(a, b) for nodes (node, n, part) of different parts that may reach the threshold.
+
+    A node's shingles are ordered from the rarest among those left, by how many hold them. Two sets that reach the threshold share one of the first few
+    of the smaller and one of the first few more of the larger; where they meet first, what is left of both must still be able to
+    reach the overlap. A shingle that one node alone holds comes first and meets nobody.
+    """
+    rows = sets.join(left.select("node"), "node", "left_semi").mapInArrow(_shingles, "node long, h long")
+    held = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = rows.join(held, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("r")).join(left, "node")
+    own, n = F.col("n") - F.size("r"), F.col("n")
+    first = n - F.floor((STAGE_PERCENT * n + 99) / 100) + 1  # as the larger of two
+    few = n - F.floor((2 * STAGE_PERCENT * n + 99 + STAGE_PERCENT) / (100 + STAGE_PERCENT)) + 1  # as the smaller
+    ahead = F.slice("r", F.lit(1), F.greatest(F.lit(0), first - own).cast("int"))
+    placed = cut(shared.select("node", "n", "part", own.alias("own"), few.alias("few"), F.posexplode(F.transform(ahead, lambda x: x["h"])).alias("i", "h")).withColumn("at", F.col("own") + F.col("i")).drop("own", "i"))
+    small = placed.filter("at < few").select("h", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("part").alias("part1"), F.col("at").alias("at1"))
+    large = placed.select("h", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("at").alias("at2"))
+    can = (F.col("part1") != F.col("part2")) & (F.struct("n1", "a") < F.struct("n2", "b")) & (100 * F.col("n1") >= STAGE_PERCENT * F.col("n2")) & _reaches(F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")), F.col("n1") + F.col("n2"))
+    met = small.join(large, (small["h"] == large["h"]) & can)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
