@@ -9,6 +9,7 @@ from quillstream.functions import text as tx
 from quillstream.operators.near_duplicates import text_pairs
 from quillstream.operators.search import RRF, fuse, keyword_channel, keyword_matches, postings, vector_channel
 from quillstream.operators.tables import cut
+from quillstream.operators.vector_index import VectorIndex
 from quillstream.plans.registry import frame_query, read
 
 K = 20
@@ -65,6 +66,20 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
     return own_vectors(spark, d)
 
 
+@frame_query("X3_vector_index", f"with {_VECTOR} select item_id, doc_id, score, pos from vector")
+def x3(spark: SparkSession, d: str) -> DataFrame:
+    """As J10, through the persisted index: its own cell gives each query a bound, which rules out cells."""
+    index = VectorIndex.build(read(spark, d, "embeddings"), "vec_id", unit=True)
+    v = F.col("embedding").cast("array<double>")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    asked = read(spark, d, "embeddings").filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("q"), v.alias("v"))
+    asked = asked.withColumn("n", norm).filter("n > 0").select("q", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    near = index.nearest(asked, K, others_only=True, digits=5).withColumn("score", F.round(1 - F.col("d") * F.col("d") / 2, 5))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    placed = near.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= K)
+    return placed.select(F.col("q").alias("item_id"), F.col("id").alias("doc_id"), "score", "pos")
+
+
 @frame_query("C1_hybrid_search", f"with {_KEYWORD}, {_VECTOR}, both_ as (select item_id, doc_id, 'keyword' as channel, pos from keyword union all select item_id, doc_id, 'vector' as channel, pos from vector), fused as (select item_id, doc_id, round(sum(cast(1 as double) / ({RRF} + pos)), 9) as fused, string_agg(channel, ',' order by channel) as channels from both_ group by 1, 2) select item_id, doc_id, fused, channels, pos from (select *, row_number() over (partition by item_id order by fused desc, doc_id) as pos from fused) x where pos <= {K}")
 def c1(spark: SparkSession, d: str) -> DataFrame:
     """Keyword and vector channels of all benchmark items, fused; the item's own vector is its query."""
