@@ -90,3 +90,16 @@ def r5(spark: SparkSession, d: str) -> DataFrame:
     """Users' events as beats and batches of chains under a lock of eight hours."""
     value = F.when(F.col("event_type").isin("click", "view"), BEAT).when(F.col("event_type") == "error", 0).otherwise(3)
     return _logged(spark, d, Chains(ttl=8 * _HOUR), F.col("user_id"), value)
+
+
+_SESSIONS = """with g as (select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) >= interval 12 hour, true) as opens from events),
+n as (select user_id, ts, sum(opens::int) over (partition by user_id order by ts rows unbounded preceding) as s from g),
+w as (select user_id, min(ts) as first_at, max(ts) as last_at, count(*) as n from n group by user_id, s)
+select user_id, first_at, last_at, n from w where last_at + interval 12 hour <= (select date_trunc('millisecond', max(ts)) from events)"""
+
+
+@frame_query("W1_live_sessions", _SESSIONS)
+def w1_live(spark: SparkSession, d: str) -> DataFrame:
+    """Users' spells of activity between silences of twelve hours, as sessions of a stream; a late row may join two. Told when the watermark has passed the silence."""
+    events, folder = streamed(spark, d)
+    return ingest.run_to_table(ingest.sessions(events.select(F.col("user_id").alias("key"), F.col("ts").alias("at")), hours=12), folder).select(F.col("key").alias("user_id"), *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_at", "last_at")], "n")

@@ -90,6 +90,13 @@ def lifecycle(events: DataFrame, days: int = DORMANT_DAYS) -> DataFrame:
     return changes.select("key", "status", F.timestamp_micros("micros").alias("at"))
 
 
+def sessions(events: DataFrame, hours: int, delay: str = "0 seconds") -> DataFrame:
+    """(key, first_at, last_at, n) of a stream (key, at): spells between silences of so many hours. State is what is open; a row within the delay may join two spells."""
+    timed = events.filter("at is not null").select("key", F.col("at").cast("timestamp").alias("at")).withWatermark("at", delay)
+    spells = timed.groupBy("key", F.session_window("at", f"{hours} hours")).agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n"))
+    return spells.select("key", "first_at", "last_at", "n")
+
+
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """What a stream yields from all that is there now, as a table in folder."""
     spark = stream.sparkSession

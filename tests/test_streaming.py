@@ -46,3 +46,11 @@ def test_lifecycle(spark, tmp_path):
     want = [("a", day(0), "active"), ("a", day(35), "dormant"), ("a", day(61), "active"), ("a", day(91), "dormant"), ("b", day(0), "active"), ("b", day(30), "dormant"), ("b", day(60), "active"), ("b", day(90), "dormant"), ("d", day(200), "active")]
     assert got == want
 
+
+def test_sessions_join_over_a_late_row(spark, tmp_path):
+    hour = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(hours=n)
+    for rows in ([("a", hour(0)), ("a", hour(8)), ("b", hour(1))], [("a", hour(4)), ("b", hour(30)), ("c", None)], [("a", hour(60)), ("z", hour(90))]):
+        spark.createDataFrame(rows, "key string, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = ingest.sessions(spark.readStream.schema("key string, at timestamp").parquet(str(tmp_path / "in")), hours=5, delay="6 hours")
+        out = ingest.run_to_table(s, str(tmp_path / "out"))
+    assert sorted((r.key, r.first_at, r.last_at, r.n) for r in out.collect()) == [("a", hour(0), hour(8), 3), ("a", hour(60), hour(60), 1), ("b", hour(1), hour(1), 1), ("b", hour(30), hour(30), 1)]
