@@ -35,3 +35,18 @@ def test_resume_never_keeps_stale_slots(spark, tmp_path):
 def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert training_order.write_shards(df, str(tmp_path)).count() == 0 and np.size(training_order.read_slots(str(tmp_path), 0, 5)) == 0
+
+
+def test_ids_are_the_tokenizers(spark, tmp_path):
+    """What the shards hold, put back in the stream's order, is the tokenizer's own ids of every document with the closing id."""
+    from tokenizers import Tokenizer
+
+    from quillstream.llm.tokens import END_ID, vocabulary_path
+
+    texts = ["The quick brown fox's 12 jumps!", None, "", "Straße éa 漢字 x<|y", "it's 3.14 — “quoted”", *[f"row {i} of wordsandwords, {i * 7919}" for i in range(30)]]
+    own = Tokenizer.from_file(vocabulary_path())
+    stream = [x for t in texts for x in [*own.encode(t or "", add_special_tokens=False).ids, END_ID]]
+    rows = training_order.write_shards(docs(spark, texts), str(tmp_path), length=16, per_shard=4).collect()
+    held = training_order.read_slots(str(tmp_path), 0, len(rows))
+    got = [int(x) for r in sorted(rows, key=lambda r: r.sequence) for x in held[r.slot]]
+    assert got[: len(stream)] == stream and not any(got[len(stream) :]) and len(got) == -(-len(stream) // 16) * 16
