@@ -19,6 +19,7 @@ words than a shingle the whole sequence is the shingle; repeated rows share a co
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import cut, lots, text_or_empty
+from quillstream.llm.common import cut, give_back, lots, text_or_empty
 from quillstream.llm.decontaminate import checked_broadcast
 
 SEED = 42
 WORDS = 3
 BUDGET = 3
-#: The pipeline stage: shingle length, Jaccard threshold and bands of smallest hashes.
-STAGE_WORDS, STAGE_PERCENT, BANDS, BAND_ROWS = 5, 80, 24, 4
+#: The pipeline stage: shingle length, Jaccard threshold, and the bits that fingerprints of two such texts may differ in. Each bit differs with a
+#: probability of at most 3/16 (4 of 5 shingles; about 0.151 for long texts), more than 28 of 64 with 1.1e-6 at most.
+STAGE_WORDS, STAGE_PERCENT, STAGE_BUDGET = 5, 80, 28
+#: Texts that agree in one of BLOCKS parts of the fingerprint are compared early if they differ in few bits; only an order of work hangs on it.
+BLOCKS, EARLY_BUDGET = 4, 12
+#: Counters of the sketch that orders shingles by how frequent they are, and the chunks that they are added up in.
+COUNTERS, CHUNKS = 1 << 20, 64
 _U = np.uint64
-_MIX = np.random.default_rng(5).integers(0, 1 << 64, (BANDS * BAND_ROWS, 2), dtype=np.uint64) | _U(1)
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -49,11 +54,16 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         shingles = [b" ".join(w)]
     else:
         shingles = [b" ".join(x) for x in zip(*[w[i:] for i in range(words)])]
+    return majority(np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64, len(shingles)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as an unsigned number."""
     counts = np.zeros(64, np.int64)
-    for k in range(0, len(shingles), 65536):
-        h = np.array([xxh64_intdigest(s, seed) for s in shingles[k : k + 65536]], dtype=">u8")
+    for k in range(0, len(hashes), 65536):
+        h = hashes[k : k + 65536].astype(">u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(shingles)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
 def fingerprints(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -108,13 +118,12 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int = BUDGET, at_once: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (indices) of the links between distinct values.
+def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int = BUDGET, at_once: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (indices) of values of a range that differ in at most `budget` bits, in lots.
 
-    values: sorted within each range [starts, ends), whose members agree in their first `depth` bits. Pairs of nodes are
+    values: sorted within each range [starts, ends), whose members agree in their first `depth` bits; equal ones are pairs too. Pairs of nodes are
     walked depth first in lots of at_once, so memory is bounded whatever a range's shape.
     """
-    forest, found = Forest(len(values)), []
     big = ends - starts > 1
     stack = [(depth, starts[big], ends[big], starts[big], ends[big], np.zeros(int(big.sum()), np.int8))]
     while stack:
@@ -129,10 +138,18 @@ def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth:
             x, y = a0[leaf], b0[leaf]
             close = (x != y) & (_popcount(values[x] ^ values[y]) <= budget)
             if close.any():
-                found.append(forest.add(x[close], y[close]))
+                yield x[close], y[close]
             rest = ~leaf
             a0, a1, b0, b1, used = a0[rest], a1[rest], b0[rest], b1[rest], used[rest]
-        if not len(a0) or d >= 64:
+        if not len(a0):
+            continue
+        if d >= 64:  # the values of a node are equal: each of one with each of the other
+            for i, j, k, m in zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist()):
+                other = np.arange(k, m)
+                for x in range(i, j):
+                    y = other[other > x] if i == k else other
+                    if len(y):
+                        yield np.full(len(y), x), y
             continue
         am, bm = _middle(values, a0, a1, d), _middle(values, b0, b1, d)
         own = a0 == b0
@@ -149,6 +166,12 @@ def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth:
                 ok &= where
             nxt.append(tuple(x[ok] for x in (p0, p1, q0, q1, u)))
         stack.append((d + 1, *(np.concatenate(x) for x in zip(*nxt))))
+
+
+def trie_links(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, budget: int = BUDGET, at_once: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (indices) of the links between values, found by trie_pairs."""
+    forest = Forest(len(values))
+    found = [forest.add(x, y) for x, y in trie_pairs(values, starts, ends, depth, budget, at_once)]
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
@@ -263,7 +286,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = cut(edges.select("a", "b").filter("a <> b").distinct())
     if e.isEmpty():
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    last = None
     for _ in range(max_rounds):
         both = e.union(e.select("b", "a")).toDF("u", "v")
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
@@ -273,10 +295,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low2 = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low2, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").filter("a <> b").distinct()
         e = cut(small)
-        state = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).head()
-        if state == last:
+        # done when each node but the roots has one edge, to a root; edges go to smaller nodes, so a root is its component's smallest
+        ends = e.select(F.col("a").alias("u"), F.lit(1).alias("own")).union(e.select("b", F.lit(0))).groupBy("u").agg(F.sum("own").alias("own"), F.min("own").alias("least"))
+        if not ends.filter("own > 1 or own > least").agg(F.count(F.lit(1))).head()[0]:
             break
-        last = state
     else:
         raise RuntimeError("components: not contracted after max_rounds rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b"), F.col("b")).distinct())
@@ -310,33 +332,72 @@ def _node(shingles: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(shingles.tobytes(), SEED)).astype(np.int64))
 
 
-def _bands(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band: the hash of its rows' smallest values under multiply-shift permutations."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, _U)
-    for k in range(0, len(shingles), 4096):
-        x = shingles[k : k + 4096]
-        x = x ^ (x >> _U(29))
-        for i, (a, b) in enumerate(_MIX):
-            least[i] = min(least[i], (x * a + b).min())
-    rows = least.reshape(BANDS, BAND_ROWS)
-    key = np.zeros(BANDS, _U)
-    for r in range(BAND_ROWS):
-        key = (key ^ rows[:, r]) * _U(0x9E3779B97F4A7C15)
-        key ^= key >> _U(31)
-    return key.view(np.int64)
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> _U(40)).astype(np.int64) & (COUNTERS - 1)
+
+
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """For each counter the length in bits of the number of shingles of rows (text) that fall on it; one byte for each comes to the driver, a fixed number."""
+    size = COUNTERS // CHUNKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.uint32)
+        for b in lots(batches):
+            sets = [shingle_set(t) for t in b.column(0).to_pylist()]
+            if sets:
+                counts += np.bincount(_slots(np.concatenate(sets)), minlength=COUNTERS).astype(np.uint32)
+        packed = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, size)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "counts"])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for x in b.column("counts"):
+                total += np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
+        bits = np.ceil(np.log2(total + 1)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["chunk", "bits"])
+
+    out = np.zeros((CHUNKS, size), np.uint8)
+    for r in docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, bits binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(bits: np.ndarray):
+    """Rows (t, text) to t, node, n, fp, the mean of the shingles' bits of frequency, and the shingles from the rarest, as many as another set that reaches the threshold must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in lots(batches):
+            node, n, fp, mean, rare = [], [], [], [], []
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t)
+                often = bits[_slots(s)]
+                first = len(s) - (STAGE_PERCENT * len(s) + 99) // 100 + 1
+                node.append(_node(s))
+                n.append(len(s))
+                fp.append(majority(s) if len(s) else 0)
+                mean.append(float(often.mean()) if len(s) else 0.0)
+                rare.append(s[np.argsort(often, kind="stable")[:first]].tobytes())
+            fps = pa.array(np.array(fp, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int32()), fps, pa.array(mean, pa.float32()), pa.array(rare, pa.binary())], ["t", "node", "n", "fp", "mean", "rare"])
+
+    return run
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each of a node's rare shingles, with its place among the node's own, and one for each block of its fingerprint, without a place."""
+    width = 64 // BLOCKS
     for b in lots(batches):
-        node, n, bands = [], [], []
-        for t in b.column(1).to_pylist():
-            s = shingle_set(t)
-            node.append(_node(s))
-            n.append(len(s))
-            bands.append(_bands(s))
-        flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), flat)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), lists], ["t", "node", "n", "bands"])
+        fp = b.column("fp").to_numpy()
+        blocks = [(fp.view(np.uint64) >> _U(width * k) & _U((1 << width) - 1) | _U(k << width)) * _U(0x9E3779B97F4A7C15) for k in range(BLOCKS)]
+        full = np.flatnonzero(b.column("n").to_numpy() > 0)
+        rare = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("rare")]
+        size = np.array([len(x) for x in rare], np.int64)
+        row = np.concatenate([np.repeat(np.arange(len(rare)), size), *[full] * BLOCKS])
+        key = np.concatenate([*rare, *[x[full].view(np.int64) for x in blocks]])
+        at = np.concatenate([np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), np.full(BLOCKS * len(full), -1)])
+        own = b.select(["node", "n", "fp", "mean"]).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(at, pa.int32()), *own.columns], ["key", "at", "node", "n", "fp", "mean"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,84 +427,102 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(two.select("a", "b", "x", "y").mapInArrow(_near, "a long, b long"))
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a set."""
-    for b in lots(batches, 200):
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
-        node = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(sets), pa.int64())], ["node", "h"])
-
-
 def _reaches(x, y):
     """Whether an overlap of x is enough for two sets of y shingles together."""
     return 100 * x >= STAGE_PERCENT * (y - x)
 
 
-def jaccard_links(sigs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Verified edges (a, b) that span the components of nodes (distinct shingle sets) at the threshold.
-
-    Candidates share a band. First each band's members are compared with one of them, that which meets most others over all its bands: in a
-    group of copies that is the text with the fewest changes, so the group is joined in as many comparisons as it has members. Of what is still apart in some
-    band, pairs are formed by their rarest shingles (_prefix_pairs): texts that are alike but not alike enough, each by changes of its own, form none.
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
+    """The batches, which come sorted by key, in tables of whole groups."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= rows:
+            t = pa.Table.from_batches(held)
+            other = np.flatnonzero(t.column("key").to_numpy() != t.column("key")[-1].as_py())
+            if len(other):
+                yield t.slice(0, int(other[-1]) + 1)
+                held = t.slice(int(other[-1]) + 1).to_batches()
+                size = sum(x.num_rows for x in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, at, node, n, fp, part), sorted by key, to pairs (a, b) of different parts: a group's fingerprints form a trie, whose
+    self-join gives those within the budget; of these stay the pairs whose sizes and places let them reach the threshold."""
+    for whole in _whole_groups(batches):
+        key, at, node, n, fp, part = (whole.column(c).to_numpy() for c in ("key", "at", "node", "n", "fp", "part"))
+        order = np.lexsort((fp.view(np.uint64), key))
+        key, at, node, n, v, part = key[order], at[order].astype(np.int64), node[order], n[order].astype(np.int64), fp[order].view(np.uint64), part[order]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+        for x, y in trie_pairs(v, starts[mixed], np.r_[starts[1:], len(key)][mixed], 0, STAGE_BUDGET):
+            can = (part[x] != part[y]) & (100 * np.minimum(n[x], n[y]) >= STAGE_PERCENT * np.maximum(n[x], n[y])) & _reaches(np.minimum(n[x] - at[x], n[y] - at[y]), n[x] + n[y])
+            if can.any():
+                u, w = node[x[can]], node[y[can]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, w)), pa.array(np.maximum(u, w))], ["a", "b"])
+    give_back()
+
+
+def jaccard_links(sigs: DataFrame, docs: DataFrame, group_rows: int = 10_000) -> DataFrame:
+    """Edges (a, b), found by fingerprints and verified, that span the components of nodes (distinct shingle sets) at the threshold.
+
+    At the threshold two fingerprints may differ in 28 bits, which no block of bits survives, so tries are formed over the nodes that share one of their
+    rarest shingles; two sets that reach the threshold share one for certain. Each trie is joined with itself by pairs of nodes within that budget, and
+    where the sets meet first, what is left of both must still be able to reach the overlap. Texts that are alike but not alike enough, each by changes
+    of its own, form no pairs then.
+
+    Before that a group's members, and those of a block of the fingerprint, are compared with one of them, that whose shingles are most frequent: among near copies
+    it is the text with the fewest changes, so most are joined in as many comparisons as there are members, and tries are walked for what is still apart.
+    A trie of more than group_rows fingerprints is dealt out by pairs of its parts.
     """
-    nodes = sigs.select("node", "n", "bands").dropDuplicates(["node"])
-    buckets = cut(nodes.select("node", "n", F.posexplode("bands").alias("_k", "_b")).select(F.xxhash64("_k", "_b").alias("key"), "node", "n"))
-    many = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
-    shared = cut(buckets.join(many, "key"))
-    known = cut(shared.groupBy("node").agg(F.sum("c").alias("meets")))
-    members = cut(shared.join(known, "node").select("key", "node", "n", "meets"))
-    lead = cut(members.groupBy("key").agg(F.max(F.struct("meets", "node", "n")).alias("lead")))
-    like = lambda x, y: (100 * F.least(x, y) >= STAGE_PERCENT * F.greatest(x, y))
-    wanted = sigs.join(known.select("node"), "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")).select("t")
-    read = docs.join(checked_broadcast(cut(wanted)), "t", "left_semi").select("text")
-    sets = cut(read.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]))
-
-    star = members.join(lead, "key").filter((F.col("node") != F.col("lead.node")) & like(F.col("n"), F.col("lead.n")))
+    nodes = sigs.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "mean", "rare")])
+    group = Window.partitionBy("key")
+    rows = nodes.mapInArrow(_members, "key long, at int, node long, n int, fp long, mean float")
+    lead = F.max(F.struct("mean", "node", "n", "fp", "at")).over(group).alias("lead")
+    shared = cut(rows.select("key", "at", "node", "n", "fp", F.count(F.lit(1)).over(group).alias("c"), lead).filter("c > 1"))
+
+    like = 100 * F.least("n", "lead.n") >= STAGE_PERCENT * F.greatest("n", "lead.n")
+    bits = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp")))
+    near = F.when(F.col("at") < 0, bits <= EARLY_BUDGET).otherwise((bits <= STAGE_BUDGET) & _reaches(F.least(F.col("n") - F.col("at"), F.col("lead.n") - F.col("lead.at")), F.col("n") + F.col("lead.n")))
+    star = shared.filter((F.col("node") != F.col("lead.node")) & like & near)
     star = cut(star.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct())
-    edges = _verified(star, sets)
-    roots = cut(components(edges))
-    placed = cut(members.select("key", "node", "n").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"))
-    open_ = cut(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key"))
-    rest = placed.join(open_, "key")
-
-    left = cut(rest.select("node", "n", "part").distinct())
-    return edges.unionByName(_verified(cut(_prefix_pairs(sets, left).join(star, ["a", "b"], "left_anti")), sets))
+    roots = cut(components(_verified(star, _sets_of(star, sigs, docs))))
 
+    placed = shared.filter("at >= 0").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    parts = F.ceil(F.col("c") / group_rows)
+    own = F.pmod(F.xxhash64("node"), parts)
+    dealt = placed.withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    key = F.when(parts == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("_own", "_with"), F.greatest("_own", "_with")))
+    tries = dealt.select(key.alias("key"), "at", "node", "n", "fp", "part").repartition("key").sortWithinPartitions("key")
+    pairs = cut(tries.mapInArrow(_apart, "a long, b long").distinct().join(star, ["a", "b"], "left_anti"))
+    more = _verified(pairs, _sets_of(pairs, sigs, docs))
+    return roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
 
-def _prefix_pairs(sets: DataFrame, left: DataFrame) -> DataFrame:
-    """(a, b) for nodes (node, n, part) of different parts that may reach the threshold.
 
-    A node's shingles are ordered from the rarest among those left, by how many hold them. Two sets that reach the threshold share one of the first few
-    of the smaller and one of the first few more of the larger; where they meet first, what is left of both must still be able to
-    reach the overlap. A shingle that one node alone holds comes first and meets nobody.
-    """
-    rows = sets.join(left.select("node"), "node", "left_semi").mapInArrow(_shingles, "node long, h long")
-    held = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    shared = rows.join(held, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("r")).join(left, "node")
-    own, n = F.col("n") - F.size("r"), F.col("n")
-    first = n - F.floor((STAGE_PERCENT * n + 99) / 100) + 1  # as the larger of two
-    few = n - F.floor((2 * STAGE_PERCENT * n + 99 + STAGE_PERCENT) / (100 + STAGE_PERCENT)) + 1  # as the smaller
-    ahead = F.slice("r", F.lit(1), F.greatest(F.lit(0), first - own).cast("int"))
-    placed = cut(shared.select("node", "n", "part", own.alias("own"), few.alias("few"), F.posexplode(F.transform(ahead, lambda x: x["h"])).alias("i", "h")).withColumn("at", F.col("own") + F.col("i")).drop("own", "i"))
-    small = placed.filter("at < few").select("h", F.col("node").alias("a"), F.col("n").alias("n1"), F.col("part").alias("part1"), F.col("at").alias("at1"))
-    large = placed.select("h", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("part").alias("part2"), F.col("at").alias("at2"))
-    can = (F.col("part1") != F.col("part2")) & (F.struct("n1", "a") < F.struct("n2", "b")) & (100 * F.col("n1") >= STAGE_PERCENT * F.col("n2")) & _reaches(F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")), F.col("n1") + F.col("n2"))
-    met = small.join(large, (small["h"] == large["h"]) & can)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _sets_of(pairs: DataFrame, sigs: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, shingles of the nodes in pairs (a, b), from one text of each."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(sigs.select("node", "t").join(named, "node", "left_semi").groupBy("node").agg(F.min("t").alias("t")).select("t"))
+    read = docs.join(checked_broadcast(wanted), "t", "left_semi").select("text")
+    return cut(read.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]))
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """One row of each component of texts at a 5-word-shingle Jaccard similarity of 0.8 and more stays: one that bears the component's smallest id, or
     any one where none has an id. Rows that repeat a text, whatever their ids, are of one component; so are rows without any word.
 
-    Links are exact on shingle hashes. A pair of similarity s shares none of the bands, and so may go unseen, with
-    probability (1 - s^4)^24: 3.3e-6 at 0.8, less above. Texts with equal shingle sets always share a component. A text is known by the 128 bits of
-    its MD5 sum between the steps.
+    Links are exact on shingle hashes. A pair of similarity 0.8 and more may go unseen only where its fingerprints differ in more bits than the budget, with a
+    probability of 1.1e-6 at most. Texts with equal shingle sets always share a component. A text is known by the 128 bits of its MD5 sum between the steps.
     """
     name = F.unhex(F.md5(text_or_empty(text)))
     docs = df.select(F.col(id_column).cast("long").alias("id"), name.alias("t"), text_or_empty(text).alias("text"))
-    sigs = cut(docs.select("t", "text").mapInArrow(_signatures, "t binary, node long, n long, bands array<long>"))
-    roots = cut(components(jaccard_links(sigs, docs.select("t", "text"))))
+    signed = docs.select("t", "text").mapInArrow(_signatures(frequencies(docs)), "t binary, node long, n int, fp long, mean float, rare binary")
+    sigs = cut(signed)
+    roots = components(jaccard_links(sigs, docs.select("t", "text")))
     by_text = sigs.groupBy("t").agg(F.first("node").alias("node")).join(roots, "node", "left").select("t", F.coalesce("root", "node").alias("root"))
     first = docs.groupBy("t").agg(F.min("id").alias("first"))
     # of a component, the text that holds the smallest id; one text of a component is enough, so texts are compared by name
