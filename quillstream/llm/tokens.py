@@ -17,6 +17,8 @@ import numpy as np
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 _END, _GAP = "\x01", "\x02"
+#: ASCII signs: neither letters, numbers nor white space.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Outside the fast way: control characters, the marks of special tokens, soft hyphen and all above Latin Extended-B.
 _ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9fİɐ-\U0010ffff]|<\|")
 
@@ -75,10 +77,15 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.entries = cache_entries
 
+    def _marked(self, chunk: str) -> str:
+        """The chunk's pieces, each with an end. Letters alone are one piece, and signs after them one more; all else is for the pattern to split."""
+        body = chunk.rstrip(_SIGNS)
+        if body.isalpha():
+            return body + _END if len(body) == len(chunk) else body + _END + chunk[len(body) :] + _END
+        return "".join([p + _END for p in self.pieces.findall(chunk)])
+
     def _learn(self, chunks: list[str]) -> None:
-        split = self.pieces.findall
-        # letters alone are one piece
-        joined = _GAP.join([c + _END if c.isalpha() else "".join([p + _END for p in split(c)]) for c in chunks])
+        joined = _GAP.join([self._marked(c) for c in chunks])
         ids = np.asarray(self.fast.encode_to_numpy(joined, disallowed_special=())).astype("<u2")
         at = np.flatnonzero(ids == self.gap_id) * 2
         raw = ids.tobytes()

@@ -3,7 +3,7 @@
 import numpy as np
 
 from quillstream.llm import packing
-from quillstream.llm.tokens import END_ID
+from quillstream.llm.tokens import END_ID, encoder
 
 
 def brute(texts, seed, k1=packing.K1, b=packing.B):
@@ -31,3 +31,23 @@ def test_neighbours_use_all_terms():
         got = index.neighbours(seed, unused, len(texts))
         assert set(got.tolist()) == {i for i in range(len(texts)) if want[i] > 0 and i != seed}
         assert (np.diff(want[got]) <= 1e-3).all()
+
+
+def test_letters_and_signs_after_them_need_no_pattern():
+    enc = encoder()
+    chunks = ["plain", "comma,", "stars***", "äpfel.", "o'", "it''", "it's", "a,b", "1.", "x1,", ",", "'s", "don't,", "(in", "²", "a²,", "l'été,"]
+    want = ["".join(p + "\x01" for p in enc.pieces.findall(c)) for c in chunks]
+    asked = []
+    real = enc.pieces
+
+    class Counting:
+        def findall(self, chunk):
+            asked.append(chunk)
+            return real.findall(chunk)
+
+    enc.pieces = Counting()
+    try:
+        assert [enc._marked(c) for c in chunks] == want
+    finally:
+        enc.pieces = real
+    assert asked == chunks[6:]
