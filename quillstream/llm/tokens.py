@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Texts of about so many characters are split and numbered together; no more are held as chunks at once.
-LOT_CHARS = 4_000_000
+LOT_CHARS = 1_000_000
 _END = "\x01"
 #: ASCII signs: neither letters, numbers nor white space.
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -63,11 +64,9 @@ class Encoder:
 
     def __init__(self, path: str | None = None, cache_entries: int = 350_000):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        path = path or vocabulary_path()
-        self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
+        self.path = path or vocabulary_path()
+        with open(self.path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         letters = _byte_of_letter()
         ranks: dict[bytes, int] = {}
@@ -90,6 +89,13 @@ class Encoder:
         #: Whether a later lot has had the row's chunk, since there was last no room.
         self.again = np.zeros(0, bool)
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, about 30 MB; loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _marked(self, chunk: str) -> str:
         """The chunk's pieces, each with an end. Letters alone are one piece, and signs after them one more; all else is for the pattern to split."""
         body = chunk.rstrip(_SIGNS)

@@ -106,3 +106,12 @@ def test_a_full_cache_keeps_chunks_that_came_again(monkeypatch):
     got = enc.encode(texts)
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [enc.whole.encode(t, add_special_tokens=False).ids for t in texts]
     assert learnt == [["a", "b"], ["c"], ["d", "e"], ["d", "e", "f", "g"], ["h", "i", "j", "k", "l"]]
+
+
+def test_the_tokenizer_itself_is_loaded_when_needed():
+    enc = Encoder()
+    plain = enc.encode(["plain words, été", None])
+    assert "whole" not in vars(enc)
+    odd = enc.encode(["ἀλφα"])
+    assert "whole" in vars(enc)
+    assert [np.frombuffer(x, "<u2").tolist() for x in (plain[0], odd[0])] == [enc.whole.encode(t, add_special_tokens=False).ids for t in ("plain words, été", "ἀλφα")]
