@@ -289,6 +289,8 @@ def replace(docs: DataFrame, key: str, text: str = "text", counts: bool = False)
     else:
         entry = F.struct(F.concat_ws(":", "kind", "canon").alias("k"), F.col("new").alias("v"))
         per = values.distinct().join(changed, ["kind", "canon"]).groupBy("text_hash").agg(F.map_from_entries(F.collect_set(entry)).alias("m"))
+        # nullable from here on: lambdas that read the map after the left join keep the type it has now, and most texts have none
+        per = per.withColumn("m", F.when(F.size("m") > 0, F.col("m")))
         per = cut(per.select(F.struct("text_hash", "m").alias(fresh(docs, "_map"))))
         known = per[per.columns[0]]
         hashed = F.xxhash64(docs[text])

@@ -90,3 +90,13 @@ def test_keys_and_rows(spark):
     assert sorted(r[2:] for r in one) == sorted(r[2:] for r in rows)
     assert len({r[1] for r in one if r[0] is None}) == 1 and one != other
     assert [r for r in one if r[1] is None] == [(5, None, "g", "h")]
+
+
+def test_texts_without_changed_surrogates_beside_some_with(spark):
+    """Surrogates of one letter equal real addresses and are made anew; texts that name none of these have no map."""
+    texts = [f"ask {c}@example.com now" for c in "abcdefghijkl"] + ["plain words", "from 10.1.2.3", "write long.name.here@mail.example.com", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace(df, "k", counts=True).select("doc_id", "text", "n_entities", "kinds").collect()}
+    assert len(got) == len(set(got.values())) == len(texts) and got[12] == "plain words" and got[15] is None
+    real = {t.split()[1] for t in texts[:12]}
+    assert not real & {got[i].split()[1] for i in range(12)} and "10.1.2.3" not in got[13] and "long.name" not in got[14]
