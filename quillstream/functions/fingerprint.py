@@ -59,6 +59,11 @@ def _power(k: int) -> Column:
     return F.lit(str(1 << k)).cast("decimal(20,0)")
 
 
+def wrapped(c: Column) -> Column:
+    """A whole number of any size as the stored fingerprint that its last 64 bits are."""
+    return signed(F.pmod(c.cast("decimal(38,0)"), _power(64)))
+
+
 def unsigned(c: Column) -> Column:
     """A stored fingerprint as the number that its bits are."""
     n = c.cast("decimal(20,0)")
