@@ -153,15 +153,16 @@ def fuse(channels: DataFrame, query_id: str = "query_id", constant: int = RRF) -
     )
 
 
-def identifier_channel(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, pos): documents that share a case number or tax id with the query, newest first, unknown times ahead."""
+def identifier_channel(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, doc_id, pos): documents that share a case number or tax id with the query, newest first, unknown times ahead; all of them without k."""
     def marked(kind: str) -> Column:
         return F.transform(F.filter(F.coalesce(kind, F.array().cast("array<string>")), lambda x: x != ""), lambda x: F.concat(F.lit(f"{kind}:"), x))
 
     marks = lambda rows, key: rows.select(key, F.explode(F.concat(marked("case_numbers"), marked("tax_ids"))).alias("mark")).distinct()
     hit = marks(docs, "doc_id").join(marks(queries, "query_id"), "mark").select("query_id", "doc_id").distinct().join(docs.select("doc_id", "published_at"), "doc_id")
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_first("published_at"), "doc_id")
-    return hit.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k).select("query_id", "doc_id", "pos")
+    placed = hit.withColumn("pos", F.row_number().over(w)).select("query_id", "doc_id", "pos")
+    return placed if k is None else placed.filter(F.col("pos") <= k)
 
 
 def hybrid_search(docs: DataFrame, queries: DataFrame, query_vectors: DataFrame | None = None, top_k: int = TOP_K, per_channel: int = PER_CHANNEL) -> DataFrame:
@@ -184,7 +185,7 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, query_vectors: DataFrame
             rows = query_vectors.filter(F.col("channel") == r["channel"])
             got = vector_channel(base, rows, per_channel).select("query_id", "doc_id", F.lit(r["channel"]).alias("channel"), "pos")
             channels = channels.unionByName(got)
-    pins = identifier_channel(base, queries, per_channel).select("query_id", "doc_id", F.col("pos").alias("pin"))
+    pins = identifier_channel(base, queries).select("query_id", "doc_id", F.col("pos").alias("pin"))
     both = fuse(channels).join(pins, ["query_id", "doc_id"], "full_outer")
     own = F.create_map(F.lit("identifier"), F.col("pin"))
     all_ = F.when(F.col("pin").isNull(), F.col("channels")).when(F.col("channels").isNull(), own).otherwise(F.map_concat("channels", own))

@@ -14,3 +14,11 @@ def test_signs_of_keys_beyond_a_long(spark, tmp_path):
     got = {r.o_orderkey: (int(r.as_unsigned), r.back) for r in QUERIES["H10_signs"].run(spark, str(tmp_path)).collect()}
     want = {s: s * 1234567890123 % 2**64 for k in keys for s in {k, -k}}
     assert got == {s: (u, u - 2**64 if u >= 2**63 else u) for s, u in want.items()}
+
+
+def test_all_documents_that_share_an_identifier_are_pinned(spark):
+    schema = "doc_id long, text string, embedding array<float>, case_numbers array<string>, tax_ids array<string>, published_at timestamp, canonical_of long"
+    docs = spark.createDataFrame([(i, f"word{i} alpha", None, ["c-1"] if i < 5 else [], [], None, None) for i in range(8)], schema)
+    asked = spark.createDataFrame([(1, "alpha", [], ["c-1"], [])], "query_id long, identity string, support array<string>, case_numbers array<string>, tax_ids array<string>")
+    got = search.hybrid_search(docs, asked, top_k=2, per_channel=2).filter("pinned").collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 2, 3, 4]
