@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstream.functions.text import to_halfwidth
 
-#: Year, category, number; parts may be spaced and the year's second character left out.
-CASE = r"(?U)(\d{2,3})\s*年\s*度?\s*([一-鿿]{1,8}?)\s*字\s*第?\s*(\d{1,7})\s*號"
+#: Year, category, number; parts may be spaced and the year's second character left out. A number may have any length.
+CASE = r"(?U)(\d{2,3})\s*年\s*度?\s*([一-鿿]{1,8}?)\s*字\s*第?\s*(\d+)\s*號"
 #: Fixed value: checksum weights of the eight digits.
 WEIGHTS = (1, 2, 1, 2, 1, 2, 4, 1)
 
@@ -18,7 +18,7 @@ def extract_case_numbers(c: Column) -> Column:
     t = F.coalesce(to_halfwidth(c), F.lit(""))
     part = lambda k: F.regexp_extract_all(t, F.lit(CASE), F.lit(k))
     z = F.arrays_zip(part(1).alias("y"), part(2).alias("k"), part(3).alias("n"))
-    whole = lambda x: F.concat(x["y"].cast("int").cast("string"), F.lit("年度"), F.translate(x["k"], "臺", "台"), F.lit("字第"), x["n"].cast("int").cast("string"), F.lit("號"))
+    whole = lambda x: F.concat(x["y"].cast("int").cast("string"), F.lit("年度"), F.translate(x["k"], "臺", "台"), F.lit("字第"), F.regexp_replace(x["n"], "^0+(?=.)", ""), F.lit("號"))
     return F.array_distinct(F.transform(z, whole))
 
 

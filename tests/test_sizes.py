@@ -22,3 +22,9 @@ def test_all_documents_that_share_an_identifier_are_pinned(spark):
     asked = spark.createDataFrame([(1, "alpha", [], ["c-1"], [])], "query_id long, identity string, support array<string>, case_numbers array<string>, tax_ids array<string>")
     got = search.hybrid_search(docs, asked, top_k=2, per_channel=2).filter("pinned").collect()
     assert sorted(r.doc_id for r in got) == [0, 1, 2, 3, 4]
+
+
+def test_case_numbers_of_many_digits(spark):
+    cases = [("99年度金訴字第01234567號", "99年度金訴字第1234567號"), ("99年度金訴字第35549999號", "99年度金訴字第35549999號"), ("99年度金訴字第000號", "99年度金訴字第0號")]
+    df = spark.createDataFrame([(x,) for x, _ in cases], "x string").select(ident.normalize_case_number(F.col("x")).alias("got"))
+    assert [r.got for r in df.collect()] == [want for _, want in cases]
