@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,28 +20,77 @@ def feature_hash(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
 
 
-def _of_tokens(words: list[str] | None, known: dict[str, int]) -> int:
-    if not words:
-        return 0
-    counts = Counter(words)
-    for w in counts.keys() - known.keys():
-        known[w] = feature_hash(w)
-    n = np.fromiter(counts.values(), np.int64)
-    bits = np.unpackbits(np.array([known[w] for w in counts], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    return int(np.packbits(2 * (n @ bits) > n.sum()).view(">i8")[0])
+#: Texts taken at a time, and hashes kept from one lot to the next.
+LOT, KNOWN = 1000, 500_000
+#: The lower-case byte of an ASCII letter or digit, 0 for all else.
+_BYTE = np.zeros(256, np.uint8)
+_BYTE[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = list(b"0123456789abcdefghijklmnopqrstuvwxyz")
+_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = list(b"abcdefghijklmnopqrstuvwxyz")
+
+
+def _plain_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The ASCII words of all texts, one after another, and how many each text has."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    low = _BYTE[np.frombuffer(held, np.uint8)[ends[0] : ends[-1]]] if held is not None else np.zeros(0, np.uint8)
+    inside = low != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = ends[:-1] - ends[0]
+    at = at[at < len(low)]
+    begins[at] = inside[at]  # words never go from one text to the next
+    places = np.r_[0, np.cumsum(begins)]
+    offsets = np.r_[np.flatnonzero(begins[inside]), np.count_nonzero(inside)].astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(low[inside]))
+    return words, np.diff(places[ends - ends[0]])
+
+
+def _simhashes(words: pa.Array, counts: np.ndarray, known: dict[str, int]) -> np.ndarray:
+    """The SimHash of each of the texts that have so many of the words, which stand one after another."""
+    out = np.zeros(len(counts), np.int64)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    coded = words.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    if len(known) > KNOWN:
+        known.clear()
+    for w in names:
+        if w not in known:
+            known[w] = feature_hash(w)
+    # a byte for each bit of a hash; eight of them are added at a time, over 255 words at most
+    bits = np.unpackbits(np.array([known[w] for w in names], ">u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+    n = counts[full]
+    parts = -(-n // 255)
+    first = np.cumsum(parts) - parts
+    place = np.repeat(np.cumsum(n) - n, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    sums = np.add.reduceat(bits[coded.indices.to_numpy()], place, axis=0).view(np.uint8)
+    sums = np.add.reduceat(sums, first, axis=0, dtype=np.int64)
+    out[full] = np.packbits(2 * sums > n[:, None], axis=1).view(">i8")[:, 0]
+    return out
 
 
 def with_simhash(rows: DataFrame, id_column: str, text: str) -> DataFrame:
-    """(id, simhash): a bit is set where the tokens that have it outweigh those that have not; 0 without tokens. Signed, as stored."""
+    """(id, simhash): a bit is set where the tokens that have it outweigh those that have not; 0 without tokens. Signed, as stored.
+
+    Texts with CJK or full-width characters are split by the library's tokens; the tokens of all others are their ASCII words, split by bytes.
+    """
     kind = rows.schema[id_column].dataType.simpleString()
 
     def run(batches):
         known: dict[str, int] = {}
-        for b in batches:
-            found = [_of_tokens(x, known) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["id", "simhash"])
-
-    tokens = rows.select(F.col(id_column).alias("id"), tx.tokenize(F.coalesce(text, F.lit(""))).alias("tokens"))
+        for whole in batches:
+            for k in range(0, whole.num_rows, LOT):
+                b = whole.slice(k, LOT)
+                listed = b.column(2)
+                words = listed.flatten().cast(pa.large_string())
+                found = _simhashes(words, listed.value_lengths().fill_null(0).to_numpy().astype(np.int64), known) | _simhashes(*_plain_tokens(b.column(1)), known)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["id", "simhash"])
+
+    t = F.coalesce(text, F.lit(""))
+    wide = t.rlike(f"[{tx.CJK}{tx.FULL[0]}-{tx.FULL[-2]}]")
+    tokens = rows.select(F.col(id_column).alias("id"), F.when(~wide, t).alias("text"), F.when(wide, tx.tokenize(t)).alias("tokens"))
     return tokens.mapInArrow(run, f"id {kind}, simhash long").withColumnRenamed("id", id_column)
 
 

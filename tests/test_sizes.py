@@ -1,9 +1,13 @@
 """What only shows on larger tables or rarer values, made small."""
 
+import re
+from collections import Counter
+
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstream.functions import ident
+from quillstream.functions import fingerprint, ident
 from quillstream.operators import search
 from quillstream.plans.registry import QUERIES
 
@@ -38,3 +42,21 @@ def test_titles_of_one_character(spark, tmp_path):
         con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     got = QUERIES["P24_event_queries"].run(spark, str(tmp_path)).select("event_id", "identity", "support")
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(QUERIES["P24_event_queries"].sql).select("event_id, identity, support").fetchall())
+
+
+def test_simhash_of_texts_split_by_bytes(spark):
+    """Only texts with CJK or full-width characters have tokens of Spark's; words keep to their texts, also at the edges of lots."""
+    odd = [None, "", "end", "start x", "   ", "é-É", "word " * 700, "檢 a b A", "ＡＢ c1", "y x-Z9", "9", "a" * 3000]
+    rows = [(i, odd[i % len(odd)] if i % 5 else f"Text {i} of-many {i % 7}") for i in range(2100)]
+    df = spark.createDataFrame(rows, "i long, text string").coalesce(1)
+
+    def want(text):
+        text = "".join(chr(ord(c) - 0xFEE0) if "\uff01" <= c <= "\uff5e" else c for c in text or "")
+        counts = Counter(re.findall("[a-z0-9]+|檢", re.sub("[A-Z]", lambda m: m[0].lower(), text)))
+        got = sum((sum(n for w, n in counts.items() if fingerprint.feature_hash(w) >> b & 1) * 2 > sum(counts.values())) << b for b in range(64))
+        return got - (1 << 64) if got >> 63 else got
+
+    known = {text: want(text) for _, text in rows}
+    simhash = fingerprint.with_simhash(df, "i", "text")
+    assert {r.i: r.simhash for r in simhash.collect()} == {i: known[text] for i, text in rows}
+    assert [len(w) for w in fingerprint._plain_tokens(pa.array(["x", None, "a b", "ab", "", "c-d-e"]).slice(1))] == [6, 5]
