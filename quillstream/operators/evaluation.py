@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import ident
+from quillstream.operators.tables import cut
 
 CUTOFFS = (10, 20, 50, 100)
 #: How many core terms, of how many counted, in how many documents at least.
 CORE_TERMS, CORE_COUNTED, CORE_DOCUMENTS = 12, 24, 2
-BODY_CHARS, ANCHOR_CHARS, PIECE = 200, 40, 512
+BODY_CHARS = 200
+#: Bytes at a body's head that a payload's are compared with, of a gram that is hashed, and taken at a time; a factor for hashes.
+HEAD, GRAM, BLOCK, _ODD = 200, 40, 1 << 20, np.uint64(0x9E3779B97F4A7C15)
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def recall(positives: DataFrame, ranked: DataFrame, cutoffs: tuple[int, ...] = CUTOFFS) -> DataFrame:
@@ -102,20 +109,70 @@ def grounding(rows: DataFrame) -> DataFrame:
     return rows.select("id", n.alias("checked"), (n - F.size(lost)).alias("grounded"), lost.alias("ungrounded"), F.when(n > 0, (n - F.size(lost)) / n).otherwise(F.lit(1.0)).alias("rate"))
 
 
+def _least_hashes(texts: pa.Array, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash): of every HEAD bytes in a row the least hash of their GRAM-byte grams, told where it changes; with first, of a text's first HEAD bytes."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data, ends = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    power = np.r_[np.uint64(1), np.full(BLOCK + HEAD, _ODD)].cumprod(dtype=np.uint64)
+    back = np.r_[np.uint64(1), np.full(BLOCK + HEAD, np.uint64(pow(int(_ODD), -1, 1 << 64)))].cumprod(dtype=np.uint64)
+    rows, hashes = [], []
+    for at in range(0, len(data) - HEAD + 1, BLOCK):
+        part = data[at : at + BLOCK + HEAD - 1].astype(np.uint64) + np.uint64(1)
+        sums = np.r_[np.uint64(0), np.cumsum(part * power[: len(part)], dtype=np.uint64)]
+        h = (sums[GRAM:] - sums[:-GRAM]) * back[: len(part) - GRAM + 1]
+        h = (h ^ (h >> np.uint64(32))) * _ODD
+        h ^= h >> np.uint64(29)
+        width, n = 1, HEAD - GRAM + 1
+        while 2 * width <= n:
+            h, width = np.minimum(h[:-width], h[width:]), 2 * width
+        h = np.minimum(h[: len(h) - (n - width)], h[n - width :])
+        start = at + np.arange(len(h))
+        own = np.searchsorted(ends, start, "right") - 1
+        whole = start + HEAD <= ends[own + 1]
+        told = whole & (start == ends[own]) if first else whole & np.r_[True, ~whole[:-1] | (own[1:] != own[:-1]) | (h[1:] != h[:-1])]
+        rows.append(own[told])
+        hashes.append(h[told].view(np.int64))
+    return (np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _anchors(texts: DataFrame, first: bool) -> DataFrame:
+    """(key, anchor) of rows (key, text)."""
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1000):
+                b = whole.slice(k, 1000)
+                rows, hashes = _least_hashes(b.column(1), first)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(hashes)], ["key", "anchor"])
+
+    return texts.mapInArrow(run, "key string, anchor long")
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def leaks(payloads: DataFrame, corpus: DataFrame) -> DataFrame:
     """(payload_id, doc_id): protected bodies of over BODY_CHARS characters that stand word for word in a payload.
 
-    A payload that holds a body holds its first ANCHOR_CHARS characters; hashes of those meet the hashes of a payload's windows
-    of that length, and the bodies of what meets are compared, so no payload is compared with every body.
+    A payload that holds a body holds its first HEAD bytes and so their gram of least hash, and tells that one too: of every HEAD bytes in a row it
+    tells the least, about one for eighty bytes. The same holds for bytes in the middle and at the end, so that bodies of one beginning don't meet all of
+    its payloads. Where all three meet, different texts are compared once each, whatever their copies.
     """
-    bodies = corpus.filter(F.length("body") > BODY_CHARS).select("doc_id", "body", F.xxhash64(F.left("body", F.lit(ANCHOR_CHARS))).alias("anchor"))
-    # windows are taken from pieces, since finding the i-th character takes i steps
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("payload") - ANCHOR_CHARS) / PIECE).cast("int")), lambda k: F.substring("payload", k * PIECE + 1, F.lit(PIECE + ANCHOR_CHARS - 1)))
-    hashes = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - ANCHOR_CHARS + 1), lambda i: F.xxhash64(F.substring(p, i, F.lit(ANCHOR_CHARS))))
-    windows = payloads.filter(F.length("payload") > BODY_CHARS).select("payload_id", F.explode(pieces).alias("piece")).select("payload_id", F.explode(hashes(F.col("piece"))).alias("anchor"))
-    met = windows.join(bodies.select("doc_id", "anchor"), "anchor").select("payload_id", "doc_id").distinct()
-    both = met.join(payloads, "payload_id").join(bodies.select("doc_id", "body"), "doc_id")
-    return both.filter(F.contains("payload", F.col("body"))).select("payload_id", "doc_id")
+    bodies = corpus.filter(F.length("body") > BODY_CHARS).select("doc_id", "body", F.md5("body").alias("body_key"))
+    held = payloads.filter(F.length("payload") > BODY_CHARS).select("payload_id", "payload", F.md5("payload").alias("key"))
+    middle = F.substring("body", ((F.length("body") - HEAD) / 2).cast("int") + 1, F.lit(HEAD))
+    places = F.posexplode(F.array(F.left("body", F.lit(HEAD)), middle, F.right("body", F.lit(HEAD)))).alias("place", "part")
+    parts = bodies.select("body_key", places).select(F.concat_ws(":", "place", "body_key").alias("key"), "part")
+    asked = _anchors(parts, True).select(F.substring_index("key", ":", 1).cast("int").alias("place"), F.substring_index("key", ":", -1).alias("body_key"), "anchor")
+    meets = _anchors(held.select("key", "payload"), False).join(_sent(cut(asked.distinct())), "anchor")
+    met = cut(meets.groupBy("key", "body_key").agg(F.count_distinct("place").alias("n")).filter("n = 3").select("key", "body_key"))
+    texts = held.join(_sent(met.select("key").distinct()), "key", "left_semi").select("key", "payload").dropDuplicates(["key"])
+    both = texts.join(met, "key").join(bodies.select("body_key", "body").dropDuplicates(["body_key"]), "body_key")
+    found = cut(both.filter(F.contains("payload", F.col("body"))).select("key", "body_key"))
+    return held.select("payload_id", "key").join(_sent(found), "key").join(bodies.select("doc_id", "body_key"), "body_key").select("payload_id", "doc_id")
 
 
 def unique_slugs(wanted: DataFrame, taken: DataFrame, base: str = "base", order: str = "id") -> DataFrame:

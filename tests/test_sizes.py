@@ -1,5 +1,6 @@
 """What only shows on larger tables or rarer values, made small."""
 
+import random
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillstream.functions import fingerprint, ident
-from quillstream.operators import search
+from quillstream.operators import evaluation, search
 from quillstream.plans.registry import QUERIES
 
 
@@ -60,3 +61,16 @@ def test_simhash_of_texts_split_by_bytes(spark):
     simhash = fingerprint.with_simhash(df, "i", "text")
     assert {r.i: r.simhash for r in simhash.collect()} == {i: known[text] for i, text in rows}
     assert [len(w) for w in fingerprint._plain_tokens(pa.array(["x", None, "a b", "ab", "", "c-d-e"]).slice(1))] == [6, 5]
+
+
+def test_payloads_tell_few_grams_and_find_all_bodies(spark):
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("abc dé字") for _ in range(n))
+    head = prose(250)
+    corpus = [(i, (head if i < 6 else "") + prose(rng.choice([201, 260, 900]))) for i in range(12)] + [(12, head + "q"), (13, "a" * 300)]
+    payloads = [(k, prose(rng.randrange(300)) + "".join(corpus[i][1] for i in own) + prose(rng.randrange(90))) for k, own in enumerate([(0,), (1, 7), (), (8, 9, 10, 11), (2,), (13,), (12,)])] * 2
+    got = evaluation.leaks(spark.createDataFrame(payloads, "payload_id long, payload string"), spark.createDataFrame(corpus, "doc_id long, body string"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, i) for k, p in payloads for i, b in corpus if b in p and len(b) > 200)
+    long_ = pa.array([prose(1_500_000), prose(60), prose(40_000)])
+    rows, hashes = evaluation._least_hashes(long_, False)
+    assert set(rows) == {0, 2} and len(hashes) < sum(len(x.as_py().encode()) for x in long_) / 40
