@@ -80,16 +80,22 @@ def label_confidence(in_title: Column, mentions: Column, corroborated: Column) -
     return F.when(in_title & (corroborated > 0), "high").when((corroborated >= 2) & (mentions >= 2), "medium").when(in_title | ((mentions >= 3) & (corroborated > 0)), "medium").otherwise("low")
 
 
-def label_set(matches: DataFrame, per_event: int) -> DataFrame:
-    """The rows to label of each event: of the newest four times per_event, those of best confidence, then most mentions.
+def label_set(docs: DataFrame, events: DataFrame, per_event: int) -> DataFrame:
+    """The rows to label of each event: of the newest four times per_event that hold its keyword, those of best confidence, then most mentions.
 
-    matches: event_id, keyword, corroborators (array), doc_id, title, body, published_at (not null).
+    docs: doc_id, title, body, published_at (not null). events: event_id, keyword, corroborators (array). Only ids and times are ranked, once for each
+    keyword; texts are read again for the few that are left.
     """
+    named = docs.withColumn("_text", F.xxhash64("title", "body"))  # tells rows of one id apart
+    held = named.join(F.broadcast(events.select("keyword").distinct()), F.contains("body", F.col("keyword"))).select("keyword", "doc_id", "_text", "published_at")
+    ranked = held.withColumn("_r", F.row_number().over(Window.partitionBy("keyword").orderBy(F.desc("published_at"), "doc_id")))
+    newest = cut(ranked.filter(F.col("_r") <= 4 * per_event))
+    few = named.join(F.broadcast(newest.select("doc_id", "_text").distinct()), ["doc_id", "_text"], "left_semi").dropDuplicates(["doc_id", "_text"]).drop("published_at")
+    matches = few.join(newest, ["doc_id", "_text"]).join(events, "keyword")
     text = F.concat_ws("\n", "title", "body")
-    newest = matches.withColumn("_r", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("published_at"), "doc_id"))).filter(F.col("_r") <= 4 * per_event)
     mentions = F.size(F.split("body", F.concat(F.lit("\\Q"), F.col("keyword"), F.lit("\\E")), -1)) - 1
     seen = F.size(F.filter("corroborators", lambda c: F.contains(text, c)))
-    scored = newest.withColumn("mentions", mentions).withColumn("confidence", label_confidence(F.contains("title", F.col("keyword")), F.col("mentions"), seen))
+    scored = matches.withColumn("mentions", mentions).withColumn("confidence", label_confidence(F.contains("title", F.col("keyword")), F.col("mentions"), seen))
     rank = F.array_position(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), F.col("confidence"))
     w = Window.partitionBy("event_id").orderBy(rank, F.desc("mentions"), "_r")
     flat = lambda c, n: F.left(F.translate(c, "\n\r\t", "   "), F.lit(n))

@@ -1,5 +1,6 @@
 """What only shows on larger tables or rarer values, made small."""
 
+import datetime as dt
 import random
 import re
 from collections import Counter
@@ -74,3 +75,14 @@ def test_payloads_tell_few_grams_and_find_all_bodies(spark):
     long_ = pa.array([prose(1_500_000), prose(60), prose(40_000)])
     rows, hashes = evaluation._least_hashes(long_, False)
     assert set(rows) == {0, 2} and len(hashes) < sum(len(x.as_py().encode()) for x in long_) / 40
+
+
+def test_label_set_ranks_ids_alone(spark):
+    at = dt.datetime(2024, 1, 1)
+    docs = spark.createDataFrame([(i, f"alpha {i}" if i % 3 else "none", f"alpha beta {i} " * (i % 4 + 1), at + dt.timedelta(hours=i % 7)) for i in range(60)] + [(5, "alpha 5", "alpha beta 5 alpha beta 5 ", at)] * 2, "doc_id long, title string, body string, published_at timestamp")
+    events = spark.createDataFrame([(1, "alpha", ["beta"]), (2, "alpha", ["zeta"]), (3, "nowhere", [])], "event_id long, keyword string, corroborators array<string>")
+    got = evaluation.label_set(docs, events, 2)
+    newest = sorted(docs.collect(), key=lambda r: (-r.published_at.timestamp(), r.doc_id))[:8]
+    level = lambda r, beta: (0 if "alpha" in r.title and beta else 1 if "alpha" in r.title or (beta and r.body.count("alpha") >= 3) else 2, -r.body.count("alpha"))
+    want = {(e, r.doc_id, k + 1) for e, beta in ((1, True), (2, False)) for k, r in enumerate(sorted(newest, key=lambda r: level(r, beta))[:2])}
+    assert {(r.event_id, r.doc_id, r.pos) for r in got.collect()} == want
