@@ -28,7 +28,7 @@ _BYTE[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = list(b"0123456789abcdefgh
 _BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = list(b"abcdefghijklmnopqrstuvwxyz")
 
 
-def _plain_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def plain_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The ASCII words of all texts, one after another, and how many each text has."""
     texts = texts.fill_null("").cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -71,6 +71,34 @@ def _simhashes(words: pa.Array, counts: np.ndarray, known: dict[str, int]) -> np
     return out
 
 
+#: An odd factor for hashes of bytes.
+_ODD = 0x9E3779B97F4A7C15
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word, the same on every machine."""
+    coded = words.dictionary_encode()
+    names = coded.dictionary.cast(pa.large_string())
+    if not len(names):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    data = np.frombuffer(names.buffers()[2], np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    powers = lambda f: np.r_[np.uint64(1), np.full(len(data), np.uint64(f))].cumprod(dtype=np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum(data * powers(_ODD)[:-1], dtype=np.uint64)]
+    ends = ends - ends[0]
+    h = (sums[ends[1:]] - sums[ends[:-1]]) * powers(pow(_ODD, -1, 1 << 64))[ends[:-1]]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_ODD)
+    h ^= h >> np.uint64(29)
+    return h.view(np.int64)[coded.indices.to_numpy()]
+
+
+def split(text: Column) -> list[Column]:
+    """Two columns: the text, where its tokens are its ASCII words, which `plain_tokens` splits; else its tokens."""
+    t = F.coalesce(text, F.lit(""))
+    wide = t.rlike(f"[{tx.CJK}{tx.FULL[0]}-{tx.FULL[-2]}]")
+    return [F.when(~wide, t).alias("_plain"), F.when(wide, tx.tokenize(t)).alias("_tokens")]
+
+
 def with_simhash(rows: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, simhash): a bit is set where the tokens that have it outweigh those that have not; 0 without tokens. Signed, as stored.
 
@@ -85,12 +113,10 @@ def with_simhash(rows: DataFrame, id_column: str, text: str) -> DataFrame:
                 b = whole.slice(k, LOT)
                 listed = b.column(2)
                 words = listed.flatten().cast(pa.large_string())
-                found = _simhashes(words, listed.value_lengths().fill_null(0).to_numpy().astype(np.int64), known) | _simhashes(*_plain_tokens(b.column(1)), known)
+                found = _simhashes(words, listed.value_lengths().fill_null(0).to_numpy().astype(np.int64), known) | _simhashes(*plain_tokens(b.column(1)), known)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["id", "simhash"])
 
-    t = F.coalesce(text, F.lit(""))
-    wide = t.rlike(f"[{tx.CJK}{tx.FULL[0]}-{tx.FULL[-2]}]")
-    tokens = rows.select(F.col(id_column).alias("id"), F.when(~wide, t).alias("text"), F.when(wide, tx.tokenize(t)).alias("tokens"))
+    tokens = rows.select(F.col(id_column).alias("id"), *split(F.col(text)))
     return tokens.mapInArrow(run, f"id {kind}, simhash long").withColumnRenamed("id", id_column)
 
 

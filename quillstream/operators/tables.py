@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files of queries that nothing refers to any more: the driver's objects go first, which Python tells the JVM from a
+    thread of its own, then what they held."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
+
+
 def _filled(new: Column, old: Column) -> Column:
     return F.coalesce(F.when(new.cast("string") != "", new), old)
 

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as tx
-from quillstream.operators.near_duplicates import text_pairs
+from quillstream.operators.near_duplicates import hashed_sets, parted, text_pairs
 from quillstream.operators.search import RRF, fuse, keyword_channel, keyword_matches, postings, vector_channel
-from quillstream.operators.tables import cut
 from quillstream.operators.vector_index import VectorIndex
 from quillstream.plans.registry import frame_query, read
 
@@ -108,9 +107,9 @@ _SETS = "sets as (select doc_id, list_distinct([lower(x) for x in regexp_extract
 @frame_query("J11_near_duplicates", f"with {_SETS} select a.doc_id as left_id, b.doc_id as right_id, round(len(list_intersect(a.s, b.s))::double / (a.n + b.n - len(list_intersect(a.s, b.s))), 6) as jaccard from rare a join rare b on a.doc_id > b.doc_id and (a.doc_id % 720) - (b.doc_id % 720) between -72 and 72 where least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) and len(list_intersect(a.s, b.s))::double / (a.n + b.n - len(list_intersect(a.s, b.s))) >= 0.7")
 def j11(spark: SparkSession, d: str) -> DataFrame:
     """Token-set Jaccard of 0.7 and more within 72 hours. Different sets are compared once each; their documents are paired after."""
-    docs = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 720).alias("at"), F.array_sort(F.array_distinct(tx.tokenize(F.col("text")))).alias("s"))
-    sized = cut(docs.filter(F.size("s") >= 40).withColumn("key", F.xxhash64("s")).withColumn("band", F.floor(F.col("at") / 73)))
-    scored = text_pairs(sized, 0.7).filter("key < other")
+    docs = hashed_sets(read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 720).alias("at"), "text"))
+    sized, sets = parted(docs.filter(F.size("s") >= 40).withColumn("band", F.floor(F.col("at") / 73)))
+    scored = text_pairs(sets, sized.select("key", "band").distinct(), 0.7).filter("key < other")
     own = sized.select("key", F.col("key").alias("other"), F.lit(1.0).alias("score")).distinct()
     # bands of neighbours only: a group of copies is cut by time before its documents are paired
     left = sized.select("key", F.col("doc_id").alias("x"), F.col("at").alias("x_at"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))

@@ -15,6 +15,7 @@ alone. Rows later than the delay are not linked and are told as `late`. A batch
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,9 @@ from quillstream.operators import near_duplicates as nd
 from quillstream.operators.tables import cut
 from quillstream.streaming import versions
 
-DOCS = "doc_id long, key string, at long, state string, canonical_of long, score double"
-SETS = "key string, s array<string>, rare array<string>"
-PAIRS = "key string, other string, score double"
+DOCS = "doc_id long, key long, at long, state string, canonical_of long, score double"
+SETS = "key long, s array<long>, rare array<int>"
+PAIRS = "key long, other long, score double"
 OUT = "doc_id long, canonical_of long, score double, state string"
 MARK = "watermark long"
 END = (1 << 62) - 1
@@ -39,16 +40,16 @@ class Links:
 
     def __init__(self, spark: SparkSession, folder: str, frequencies: DataFrame | None = None, threshold: float = nd.THRESHOLD, hours: int = nd.HOURS, delay_hours: int = nd.HOURS):
         self.spark, self.folder, self.threshold, self.span, self.delay = spark, folder, threshold, hours * 3600, delay_hours * 3600
-        self.frequencies = frequencies
+        self.frequencies, self._counters = frequencies, None
 
     def _old(self, name: str, schema: str, number: int) -> DataFrame:
         return versions.current(self.spark, f"{self.folder}/{name}", schema, before=number)
 
     def _rare(self, sets: DataFrame) -> DataFrame:
         """sets with the rarest tokens of each."""
-        tokens = sets.select(F.explode("s").alias("token")).distinct()
-        order = tokens.join(self.frequencies, "token") if self.frequencies is not None else tokens.withColumn("df", F.xxhash64("token"))
-        rare = nd.rare_tokens(sets, order, self.threshold)
+        if self._counters is None:
+            self._counters = nd.known_frequencies(self.frequencies) if self.frequencies is not None else np.zeros(nd.COUNTERS, np.int32)
+        rare = nd.rare_tokens(sets, self._counters, self.threshold)
         listed = rare.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("r"))
         return sets.join(listed.select("key", F.col("r.token").alias("rare")), "key")
 

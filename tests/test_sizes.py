@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import fingerprint, ident
 from quillstream.operators import evaluation, search
+from quillstream.operators import near_duplicates as nd
 from quillstream.plans.registry import QUERIES
 
 
@@ -61,7 +62,7 @@ def test_simhash_of_texts_split_by_bytes(spark):
     known = {text: want(text) for _, text in rows}
     simhash = fingerprint.with_simhash(df, "i", "text")
     assert {r.i: r.simhash for r in simhash.collect()} == {i: known[text] for i, text in rows}
-    assert [len(w) for w in fingerprint._plain_tokens(pa.array(["x", None, "a b", "ab", "", "c-d-e"]).slice(1))] == [6, 5]
+    assert [len(w) for w in fingerprint.plain_tokens(pa.array(["x", None, "a b", "ab", "", "c-d-e"]).slice(1))] == [6, 5]
 
 
 def test_payloads_tell_few_grams_and_find_all_bodies(spark):
@@ -86,3 +87,21 @@ def test_label_set_ranks_ids_alone(spark):
     level = lambda r, beta: (0 if "alpha" in r.title and beta else 1 if "alpha" in r.title or (beta and r.body.count("alpha") >= 3) else 2, -r.body.count("alpha"))
     want = {(e, r.doc_id, k + 1) for e, beta in ((1, True), (2, False)) for k, r in enumerate(sorted(newest, key=lambda r: level(r, beta))[:2])}
     assert {(r.event_id, r.doc_id, r.pos) for r in got.collect()} == want
+
+
+def test_sets_meet_on_several_rare_tokens(spark):
+    """All pairs within reach by brute force, and texts that share but one or two rare tokens never meet."""
+    rng = random.Random(7)
+    base = [[f"w{rng.randrange(4000)}" for _ in range(rng.choice([40, 60, 150]))] for _ in range(12)]
+    texts = [[w if rng.random() > rng.choice([0.02, 0.1, 0.16, 0.2]) else f"x{rng.randrange(9000)}" for w in base[i % 12]] for i in range(140)] + [["檢", "rare1"] + [f"y{k}x{j}" for j in range(45)] for k in range(30)]
+    rows = [(i, " ".join(t).upper() if i % 2 else "，".join(t), rng.randrange(5)) for i, t in enumerate(texts)]
+    sized, sets = nd.parted(nd.hashed_sets(spark.createDataFrame(rows, "i long, text string, band long")))
+    key = {r.i: r.key for r in sized.collect()}
+    got = {(r.key, r.other): r.score for r in nd.text_pairs(sets, sized.select("key", "band").distinct(), 0.7).collect()}
+    words = {i: set(t) for i, t in enumerate(texts)}
+    near = lambda i, j: len({*map(str.lower, words[i])} & {*map(str.lower, words[j])}) / len(words[i] | words[j])
+    want = {(key[i], key[j]): near(i, j) for i, _, a in rows for j, _, b in rows if key[i] != key[j] and abs(a - b) <= 1 and near(i, j) >= 0.7}
+    assert got == want and len(want) > 100
+    placed = nd.rare_tokens(sets, nd.frequencies(sets), 0.7, whole=True).join(sized.select("key", "band").distinct(), "key")
+    alone = {key[i] for i in range(140, 170)}
+    assert not any(r.key in alone for r in nd.meetings(placed, placed, 0.7).collect())
