@@ -17,6 +17,8 @@ THRESHOLD, HOURS, MIN_TOKENS = 0.7, 72, 40
 MAX_ROUNDS = 200
 #: Rare tokens that two sets must share to be compared; counters of how frequent tokens are; texts taken at a time.
 SHARED, COUNTERS, LOT = 3, 1 << 20, 1000
+#: Parts of the bands that texts meet at one after another.
+TURNS = 4
 #: Rows up to which a side of a join is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -101,13 +103,14 @@ def rare_tokens(sets: DataFrame, counters: np.ndarray, threshold: float, whole:
     return sets.select("key", "s").mapInArrow(run, "key long, n int, at int, token int")
 
 
-def meetings(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def meetings(left: DataFrame, right: DataFrame, threshold: float, turn: int | None = None) -> DataFrame:
     """(key, other) for rows (key, n, at, token, band) of either side that share SHARED tokens in the same or a neighbouring band, as far as they can still
-    reach the overlap that the threshold asks for; for one and the same side, each pair once."""
+    reach the overlap that the threshold asks for; for one and the same side, each pair once. turn: only at every TURNS-th band from that one on."""
     one = left is right
     # a row waits at its own band and at the next; two that both wait at the next have met before
     bands = F.explode(F.array(F.struct(F.col("band").alias("slot"), F.lit(False).alias("next")), F.struct((F.col("band") + 1).alias("slot"), F.lit(True).alias("next")))).alias("b")
-    placed = lambda rows: rows.select("key", "n", "at", "token", bands).select("token", "b.slot", "key", "n", "at", "b.next")
+    due = F.lit(True) if turn is None else F.pmod("slot", F.lit(TURNS)) == turn
+    placed = lambda rows: rows.select("key", "n", "at", "token", bands).select("token", "b.slot", "key", "n", "at", "b.next").filter(due)
     x, y = placed(left), placed(right).toDF("token", "slot", "other", "m", "at2", "next2")
     least = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("m")) - 1e-9)
     apart = F.col("key") < F.col("other") if one else F.col("key") != F.col("other")
@@ -142,8 +145,12 @@ def text_pairs(sets: DataFrame, places: DataFrame, threshold: float) -> DataFram
     spark = sets.sparkSession
     release(spark)
     placed = rare_tokens(sets, frequencies(sets), threshold, whole=True).join(places, "key")
-    met = cut(meetings(placed, placed, threshold))
-    release(spark)
+    met = None
+    for turn in range(TURNS):  # two that meet at a band share all their tokens there, so bands can be taken one after another, which keeps shuffles small
+        got = cut(meetings(placed, placed, threshold, turn))
+        release(spark)
+        met = got if met is None else met.unionByName(got)
+    met = cut(met.distinct())
     scored = cut(scores(met, sets, threshold))
     release(spark)
     return both_ways(scored)
